@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, simhash
 
 
 def queries():
-    return {"op1_line_dedup": line_dedup.op1_line_dedup}
+    return {"op1_line_dedup": line_dedup.op1_line_dedup, "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup}
 
 
 def oracle_sql():
