@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, simhash
+from . import line_dedup, mixing, simhash
 
 
 def queries():
-    return {"op1_line_dedup": line_dedup.op1_line_dedup, "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup}
+    return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+        "op8_mix_sources": mixing.op8_mix_sources,
+    }
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.OP1_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op8_mix_sources": mixing.OP8_SQL}
