@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, simhash
+from . import line_dedup, mixing, quality, simhash, toxicity
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+        "op6_quality_classifier": quality.op6_quality_classifier,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
