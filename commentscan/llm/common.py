@@ -62,3 +62,8 @@ def text_or_empty(df: DataFrame, column: str = "text") -> Column:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint only for a counted size; past the limit Spark joins by shuffle."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row: inside a lambda, Spark would compute a spelled-out one at each step."""
+    return F.get(F.transform(F.array(value), body), 0)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality, simhash, toxicity
+from . import decontaminate, line_dedup, mixing, quality, simhash, toxicity
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_quality_classifier": quality.op6_quality_classifier,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op10_toxicity": toxicity.op10_toxicity,
@@ -16,4 +17,8 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op8_mix_sources": mixing.OP8_SQL}
+    return {
+        "op1_line_dedup": line_dedup.OP1_SQL,
+        "op5_decontaminate": decontaminate.OP5_SQL,
+        "op8_mix_sources": mixing.OP8_SQL,
+    }
