@@ -1,7 +1,63 @@
-"""The corpus pipeline."""
+"""From raw documents to a training mix, in five stages.
 
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; `run` writes each result as Parquet
+to the shared folder and reads it back, so a lost executor costs tasks of one stage only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from commentscan.llm import common, decontaminate, line_dedup, mixing, quality, simhash
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from `labels`."""
+    return quality.accepted(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that an earlier document holds; n_chars, where present, follows the text."""
+    done = line_dedup.dedup_lines(docs)
+    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {"text": text}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return done.select(*(v.alias(c) for c, v in columns.items()))
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each near-copy group."""
+    return simhash.keep_one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of `benchmark`."""
+    return decontaminate.without_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each epoch that takes a document, with epoch and n_words to take."""
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_dedup_stage),
+    ("simhash", simhash_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+]
+
+#: A trained classifier and hashes decide here, so the rows are compared with a brute-force version in the tests.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = common.written(docs, name)
+    return docs
