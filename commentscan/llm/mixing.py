@@ -18,7 +18,7 @@ WEIGHTS = (5, 2, 1)
 #: A source is taken at most so many times over.
 MAX_EPOCHS = 3
 #: Documents in a key range, on average and at most.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
