@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, quality, simhash, toxicity
+from . import decontaminate, line_dedup, mixing, quality, simhash, substring_dedup, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_quality_classifier": quality.op6_quality_classifier,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
@@ -21,4 +22,5 @@ def oracle_sql():
         "op1_line_dedup": line_dedup.OP1_SQL,
         "op5_decontaminate": decontaminate.OP5_SQL,
         "op8_mix_sources": mixing.OP8_SQL,
+        "op9_substring_dedup": substring_dedup.OP9_SQL,
     }
