@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, quality, simhash, substring_dedup, toxicity
+from . import decontaminate, line_dedup, mixing, quality, secret_scan, simhash, substring_dedup, toxicity
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_quality_classifier": quality.op6_quality_classifier,
@@ -20,6 +21,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_line_dedup": line_dedup.OP1_SQL,
+        "op3_secret_scan": secret_scan.op3_sql(),
         "op5_decontaminate": decontaminate.OP5_SQL,
         "op8_mix_sources": mixing.OP8_SQL,
         "op9_substring_dedup": substring_dedup.OP9_SQL,
