@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, quality, secret_scan, simhash, substring_dedup, toxicity
+from . import decontaminate, embedding_dups, line_dedup, mixing, quality, secret_scan, simhash, substring_dedup, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_quality_classifier": quality.op6_quality_classifier,
+        "op7_embedding_near_dedup": embedding_dups.op7_embedding_near_dedup,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
@@ -23,6 +24,7 @@ def oracle_sql():
         "op1_line_dedup": line_dedup.OP1_SQL,
         "op3_secret_scan": secret_scan.op3_sql(),
         "op5_decontaminate": decontaminate.OP5_SQL,
+        "op7_embedding_near_dedup": embedding_dups.OP7_SQL,
         "op8_mix_sources": mixing.OP8_SQL,
         "op9_substring_dedup": substring_dedup.OP9_SQL,
     }
