@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dups, line_dedup, mixing, quality, secret_scan, simhash, substring_dedup, toxicity
+from . import decontaminate, embedding_dups, line_dedup, mixing, pii, quality, secret_scan, simhash, substring_dedup, toxicity
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_personal_data": pii.op2_personal_data,
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_decontaminate": decontaminate.op5_decontaminate,
