@@ -61,18 +61,18 @@ def moderation_state(actions: DataFrame) -> DataFrame:
     own = actions.filter(F.col("item_id").isNotNull() & F.col("action").isin("flag", "hide", "unhide", "delete", "correct")).crossJoin(F.broadcast(known))
     steps = own.select("item_id", F.floor(F.col("seq") / CHUNK).alias("chunk"), F.struct("seq", "action", last("clear_flagged").alias("cleared_flagged"), last("clear_hidden").alias("cleared_hidden")).alias("step"))
     chunks = steps.groupBy("item_id", "chunk").agg(F.array_sort(F.collect_list("step")).alias("steps"))
-    # What an item is at the start of a chunk: some state, entered before it.
-    before = F.lit(-1).cast("long")
-    ends = chunks.select("item_id", "chunk", "steps", *(_folded(F.col("steps"), F.lit(s), before).alias(f"from_{s}") for s in (NONE, FLAGGED, HIDDEN)), F.get("steps", 0)["cleared_flagged"].alias("cf"), F.get("steps", 0)["cleared_hidden"].alias("ch"))
-    log = ends.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "from_0", "from_1", "from_2", "cf", "ch"))).alias("log"))
+    # What an item is at the start of a chunk: some state, entered before it and not cleared since.
+    before = F.get("steps", 0)["seq"] - 1
+    ends = chunks.select("item_id", "chunk", "steps", *(_folded(F.col("steps"), F.lit(s), before).alias(f"from_{s}") for s in (NONE, FLAGGED, HIDDEN)), F.get("steps", 0)["cleared_flagged"].alias("cf"), F.get("steps", 0)["cleared_hidden"].alias("ch"), F.get("steps", 0)["seq"].alias("first"))
+    log = ends.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "from_0", "from_1", "from_2", "cf", "ch", "first"))).alias("log"))
 
     def step(acc: Column, c: Column) -> Column:
         cleared = F.when(acc["state"] == FLAGGED, c["cf"]).when(acc["state"] == HIDDEN, c["ch"])
         now = F.when(F.coalesce(acc["since"] < cleared, F.lit(False)), NONE).otherwise(acc["state"])
-        end = F.when(now == NONE, c["from_0"]).when(now == FLAGGED, F.when(c["from_1"]["since"] >= 0, c["from_1"]).otherwise(F.struct(F.lit(FLAGGED).alias("state"), acc["since"].alias("since"))))
-        return end.otherwise(F.when(c["from_2"]["since"] >= 0, c["from_2"]).otherwise(F.struct(F.lit(HIDDEN).alias("state"), acc["since"].alias("since"))))
+        end = F.when(now == NONE, c["from_0"]).when(now == FLAGGED, F.when(c["from_1"]["since"] >= c["first"], c["from_1"]).otherwise(F.struct(F.lit(FLAGGED).alias("state"), acc["since"].alias("since"))))
+        return end.otherwise(F.when(c["from_2"]["since"] >= c["first"], c["from_2"]).otherwise(F.struct(F.lit(HIDDEN).alias("state"), acc["since"].alias("since"))))
 
-    done = log.select("item_id", F.aggregate("log", F.struct(F.lit(NONE).alias("state"), before.alias("since")), step).alias("end")).crossJoin(F.broadcast(known))
+    done = log.select("item_id", F.aggregate("log", F.struct(F.lit(NONE).alias("state"), F.lit(-1).cast("long").alias("since")), step).alias("end")).crossJoin(F.broadcast(known))
     newest = F.when(F.col("end.state") == FLAGGED, F.array_max("clear_flagged")).when(F.col("end.state") == HIDDEN, F.array_max("clear_hidden"))
     state = F.when(F.coalesce(F.col("end.since") < newest, F.lit(False)), NONE).otherwise(F.col("end.state"))
     names = F.when(state == FLAGGED, "flagged").when(state == HIDDEN, "hidden").otherwise("none")
