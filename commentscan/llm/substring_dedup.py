@@ -51,8 +51,9 @@ class Hasher:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        for w in set(words) - memo.keys():
-            memo[w] = xxhash.xxh64_intdigest(w, 42)
+        for w in set(words):
+            if w not in memo:
+                memo[w] = xxhash.xxh64_intdigest(w, 42)
         return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
     def sums(self, hashes: np.ndarray, k: int = 0) -> np.ndarray:
@@ -85,7 +86,8 @@ class Anchored:
             starts = np.arange(n - SHINGLE + 1)
             runs = hasher.runs(self.sums, starts, starts + SHINGLE)
             views = np.lib.stride_tricks.sliding_window_view(runs, AROUND)
-            self.at = np.unique(views.argmin(1) + np.arange(len(views)))
+            at = views.argmin(1) + np.arange(len(views))  # never falls
+            self.at = at[np.r_[True, at[1:] != at[:-1]]]
             self.anchor = runs[self.at].view(np.int64)
         self.first = np.maximum(self.at - AROUND + 1, 0)
         self.end = np.minimum(self.at + WINDOW, n)
@@ -94,59 +96,66 @@ class Anchored:
             self.anchor = self.at
 
 
+#: Stands for the position of a context that occurs in its document more than once.
+REPEATED = (1 << 31) - 1
+
+
+def _stamp(data: bytes) -> int:
+    """Tells rows apart that share an id: a place is stamp << 31 | position."""
+    return zlib.crc32(data)
+
+
 def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for batch in batches:
         found = []
         for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-            doc = Anchored(text.as_buffer().to_pybytes().split(), hasher)
+            data = text.as_buffer().to_pybytes()
+            doc = Anchored(data.split(), hasher)
             if len(doc.at):
-                both = np.unique(np.stack([doc.anchor, doc.context], 1), axis=0)
-                found.append(np.c_[both, np.full(len(both), i)])
+                _, once, times = np.unique(doc.anchor ^ (doc.context * 3), return_index=True, return_counts=True)
+                place = np.where(times == 1, doc.at[once], REPEATED) | (_stamp(data) << 31)
+                found.append(np.stack([doc.anchor[once], doc.context[once], np.full(len(once), i), place], 1))
         if found:
             rows = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["anchor", "context", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], ["anchor", "context", "id", "place"])
 
 
 def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, context, id) to (id, context, anchor, open): open 0 for a context that an earlier
+    """Rows sorted by (anchor, context, id) to (anchor, context, id, place, open): open 0 for a context that an earlier
     document holds, 1 for the first document of one of several contexts of an anchor, or at an end of the range."""
-    names = ["id", "context", "anchor", "open"]
-    held = None  # the last row: its anchor, context, the first id of that context; then whether an open owner waits
+    names = ["anchor", "context", "id", "place", "open"]
+    held = None  # the last row's anchor and context, and the first id of that context
+    waiting = None  # the last owner of a context, and whether it is open already
 
-    def batch(i, c, a, kind):
-        return pa.RecordBatch.from_arrays([pa.array(i), pa.array(c), pa.array(a), pa.array(np.full(len(i), kind, np.int32))], names)
+    def batch(rows: np.ndarray, kind: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(4)), pa.array(np.full(len(rows), kind, np.int32))], names)
 
-    for rows in batches:
-        a, c, i = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        if not len(a):
+    for part in batches:
+        if not len(part):
             continue
-        if held is None:
-            held = (a[0] + 1 if a[0] < 0 else a[0] - 1, c[0], i[0])
-            waiting = None
-        new = np.r_[(a[0] != held[0]) | (c[0] != held[1]), (a[1:] != a[:-1]) | (c[1:] != c[:-1])]
+        rows = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in range(4)], 1)
+        a, c, i = rows[:, 0], rows[:, 1], rows[:, 2]
+        starts = held is None or (a[0], c[0]) != held[:2]
+        new = np.r_[starts, (a[1:] != a[:-1]) | (c[1:] != c[:-1])]
         at = np.flatnonzero(new)
         which = np.cumsum(new) - 1
-        first = np.where(which >= 0, i[at[np.maximum(which, 0)]] if len(at) else held[2], held[2])
-        later = ~new & (i > first)
-        yield batch(i[later], c[later], a[later], 0)
+        first = np.where(which >= 0, i[at[np.maximum(which, 0)]] if len(at) else 0, 0 if held is None else held[2])
+        yield batch(rows[~new & (i > first)], 0)
         if len(at):
-            # Owners in order, the waiting one in front. A first owner of the range is open as well.
-            oa, oc, oi = a[at], c[at], i[at]
+            owners, mark = rows[at], np.zeros(len(at), bool)
             if waiting is None:
-                mark = np.r_[True, np.zeros(len(oa) - 1, bool)]
+                mark[0] = True  # the range may begin inside a group
             else:
-                oa, oc, oi = np.r_[waiting[0], oa], np.r_[waiting[1], oc], np.r_[waiting[2], oi]
-                mark = np.r_[waiting[3], np.zeros(len(oa) - 1, bool)]
-            same = oa[1:] == oa[:-1]
+                owners, mark = np.concatenate([waiting[0][None], owners]), np.r_[waiting[1], mark]
+            same = owners[1:, 0] == owners[:-1, 0]
             mark[1:] |= same
             mark[:-1] |= same
-            done = mark[:-1]
-            yield batch(oi[:-1][done], oc[:-1][done], oa[:-1][done], 1)
-            waiting = (oa[-1], oc[-1], oi[-1], mark[-1])
+            yield batch(owners[:-1][mark[:-1]], 1)
+            waiting = (owners[-1], mark[-1])
         held = (a[-1], c[-1], first[-1])
-    if held is not None and waiting is not None:
-        yield batch(*(np.array([waiting[k]], np.int64) for k in (2, 1, 0)), 1)
+    if waiting is not None:
+        yield batch(waiting[0][None], 1)  # and end inside one
 
 
 class SuffixAutomaton:
@@ -200,13 +209,13 @@ class SuffixAutomaton:
 
 
 def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, id), with passages, to (id, context, mask): bit j for the window that starts at word j."""
-    names = ["id", "context", "mask"]
+    """Rows sorted by (key, id), with passages, to (id, context, place, mask): bit j for the window that starts at word j."""
+    names = ["id", "context", "place", "mask"]
     key = last = automaton = None
     fresh: list[list[bytes]] = []
     for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        for k, i, context, passage in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "context", "passage")), strict=True):
+        out: list[tuple[int, int, int, int]] = []
+        for k, i, context, place, passage in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "context", "place", "passage")), strict=True):
             words = passage.split()
             if k != key:
                 key, automaton, fresh = k, SuffixAutomaton(), []
@@ -218,8 +227,8 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mask = sum(1 << (e + 1 - WINDOW) for e, n in enumerate(automaton.matching(words)) if n >= WINDOW)
             fresh.append(words)
             if mask:
-                out.append((i, context, mask))
-        columns = zip(*out, strict=True) if out else ([], [], [])
+                out.append((i, context, place, mask))
+        columns = zip(*out, strict=True) if out else ([], [], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
 
 
@@ -238,56 +247,71 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["doc_id"], F.lit(LAST_ID)).cast("long").alias("id"), common.text_or_empty(docs).alias("text"))
 
 
+def _bounds(place: int, n: int) -> tuple[int, int]:
+    at = place & REPEATED
+    return max(at - AROUND + 1, 0), min(at + WINDOW, n)
+
+
+def _repeats(words: list[bytes], contexts: set[int], hasher: Hasher) -> dict[int, list[tuple[int, int]]]:
+    """Where contexts that occur more than once stand."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    if contexts:
+        doc = Anchored(words, hasher)
+        for k in np.flatnonzero(np.isin(doc.context, np.fromiter(contexts, np.int64))):
+            found.setdefault(int(doc.context[k]), []).append((int(doc.first[k]), int(doc.end[k])))
+    return found
+
+
 def _passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with the contexts they must show, to passages, or to single windows of hot anchors."""
     hasher = Hasher()
     for b in batches:
         out = []
         for i, packed, wanted in zip(*(b.column(c).to_pylist() for c in ("id", "packed", "wanted")), strict=True):
-            doc = Anchored(zlib.decompress(packed).split(), hasher)
-            wanted = {x["context"]: x["hot"] for x in wanted}
-            shown = set()
-            for k in np.flatnonzero(np.isin(doc.context, np.fromiter(wanted, np.int64))):
-                context, first, end = int(doc.context[k]), int(doc.first[k]), int(doc.end[k])
-                if context in shown:
-                    continue
-                shown.add(context)
-                if wanted[context]:
-                    starts = np.arange(first, end - WINDOW + 1)
-                    twice = (hasher.runs(hasher.sums(hasher.words(doc.words), h), starts, starts + WINDOW, h).view(np.int64).tolist() for h in (0, 1))
-                    out += [(x, y, i, context, j, None) for j, (x, y) in enumerate(zip(*twice, strict=True))]
+            data = zlib.decompress(packed)
+            words, stamp = data.split(), _stamp(data)
+            wanted = [w for w in wanted if w["place"] >> 31 == stamp]
+            again = _repeats(words, {w["context"] for w in wanted if w["place"] & REPEATED == REPEATED}, hasher)
+            for w in wanted:
+                context, place = w["context"], w["place"]
+                first, end = again[context][0] if place & REPEATED == REPEATED else _bounds(place, len(words))
+                if w["hot"]:
+                    starts = np.arange(end - first - WINDOW + 1)
+                    hashes = hasher.words(words[first:end])
+                    twice = (hasher.runs(hasher.sums(hashes, h), starts, starts + WINDOW, h).view(np.int64).tolist() for h in (0, 1))
+                    out += [(x, y, i, context, place, j, None) for j, (x, y) in enumerate(zip(*twice, strict=True))]
                 else:
-                    out.append((int(doc.anchor[k]), 0, i, context, -1, b" ".join(doc.words[first:end])))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["key", "key2", "id", "context", "nth", "passage"])
+                    out.append((w["anchor"], 0, i, context, place, -1, b" ".join(words[first:end])))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 7
+        kinds = (*[pa.int64()] * 5, pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["key", "key2", "id", "context", "place", "nth", "passage"])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(id, context, mask): windows of documents that a document with a smaller id holds too.
+    """(id, context, place, mask): windows of documents that a document with a smaller id holds too.
 
-    id is doc_id, or LAST_ID for null. context is the hash of an anchor's context in the document; bit j of mask
-    stands for the window that starts at its word j; -1 for all of them.
+    id is doc_id, or LAST_ID for null. context is the hash of an anchor's context in the document, place where its
+    anchor stands; bit j of mask stands for the window that starts at its word j; -1 for all of them.
     """
     spark = docs.sparkSession
     n = common.partitions(spark)
-    rows = _plain(docs).select("id", "text").mapInArrow(_anchor_rows, "anchor long, context long, id long")
+    rows = common.written(_plain(docs).select("id", "text").mapInArrow(_anchor_rows, "anchor long, context long, id long, place long"), "anchors")
     sorted_ = rows.repartitionByRange(n, "anchor", "context", "id").sortWithinPartitions("anchor", "context", "id")
-    judged = common.written(sorted_.mapInArrow(_judge, "id long, context long, anchor long, open int"), "contexts")
+    judged = common.written(sorted_.mapInArrow(_judge, "anchor long, context long, id long, place long, open int"), "contexts")
 
     open_ = judged.filter("open = 1")
     hot = open_.groupBy("anchor").count().filter(F.col("count") > MAX_CONTEXTS).select("anchor", F.lit(True).alias("hot"))
-    marked = open_.join(hot, "anchor", "left").select("id", F.struct("context", F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
-    wanted = marked.groupBy("id").agg(F.collect_set("x").alias("wanted"))
+    marked = open_.join(hot, "anchor", "left").select("id", F.struct("anchor", "context", "place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
+    wanted = marked.groupBy("id").agg(F.collect_list("x").alias("wanted"))
     shown = _packed(docs).select("id", "packed").join(wanted, "id")
-    passages = common.written(shown.mapInArrow(_passages, "key long, key2 long, id long, context long, nth int, passage binary"), "passages")
+    passages = common.written(shown.mapInArrow(_passages, "key long, key2 long, id long, context long, place long, nth int, passage binary"), "passages")
 
-    shards = passages.filter("nth < 0").select("key", "id", "context", "passage").repartition(n, "key").sortWithinPartitions("key", "id")
-    by_automata = shards.mapInArrow(_shards, "id long, context long, mask long")
-    windows = passages.filter("nth >= 0").select("key", "key2", "id", "context", "nth")
+    shards = passages.filter("nth < 0").select("key", "id", "context", "place", "passage").repartition(n, "key").sortWithinPartitions("key", "id")
+    by_automata = shards.mapInArrow(_shards, "id long, context long, place long, mask long")
+    windows = passages.filter("nth >= 0").select("key", "key2", "id", "context", "place", "nth")
     firsts = windows.groupBy("key", "key2").agg(F.min("id").alias("first"))
-    one_by_one = windows.join(firsts, ["key", "key2"]).filter("id > first").select("id", "context", F.expr("shiftleft(1L, nth)").alias("mask"))
-    whole = judged.filter("open = 0").select("id", "context", F.lit(-1).cast("long").alias("mask"))
+    one_by_one = windows.join(firsts, ["key", "key2"]).filter("id > first").select("id", "context", "place", F.expr("shiftleft(1L, nth)").alias("mask"))
+    whole = judged.filter("open = 0").select("id", "context", "place", F.lit(-1).cast("long").alias("mask"))
     return whole.unionByName(by_automata).unionByName(one_by_one)
 
 
@@ -296,18 +320,24 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for doc_id, packed, marks in zip(*(b.column(c).to_pylist() for c in ("doc_id", "packed", "marks")), strict=True):
-            words = zlib.decompress(packed).split()
-            gone = np.zeros(len(words) + 1, np.int64)
-            if marks:
-                doc = Anchored(words, hasher)
-                mask: dict[int, int] = {}
-                for x in marks:
-                    mask[x["context"]] = mask.get(x["context"], 0) | x["mask"]
-                for k in np.flatnonzero(np.isin(doc.context, np.fromiter(mask, np.int64))):
-                    for j in range(int(doc.end[k] - doc.first[k]) - WINDOW + 1):
-                        if mask[int(doc.context[k])] >> j & 1:
-                            gone[doc.first[k] + j] += 1
-                            gone[doc.first[k] + j + WINDOW] -= 1
+            data = zlib.decompress(packed)
+            words, stamp = data.split(), _stamp(data)
+            mine = [(x["context"], x["place"], x["mask"]) for x in marks or () if x["place"] >> 31 == stamp]
+            if not mine:
+                out.append((doc_id, len(words), 0, [], b" ".join(words)))
+                continue
+            again = _repeats(words, {context for context, place, _ in mine if place & REPEATED == REPEATED}, hasher)
+            firsts, ends = [], []
+            for context, place, mask in mine:
+                for first, end in again[context] if place & REPEATED == REPEATED else (_bounds(place, len(words)),):
+                    if mask == -1:
+                        firsts.append(first)
+                        ends.append(end)
+                    else:
+                        starts = [first + j for j in range(end - first - WINDOW + 1) if mask >> j & 1]
+                        firsts += starts
+                        ends += [x + WINDOW for x in starts]
+            gone = np.bincount(firsts, minlength=len(words) + 1) - np.bincount(ends, minlength=len(words) + 1)
             cover = np.cumsum(gone[:-1]) > 0
             edges = np.flatnonzero(np.diff(np.r_[False, cover, False])).reshape(-1, 2)
             kept = b" ".join(w for w, c in zip(words, cover.tolist(), strict=True) if not c)
@@ -328,7 +358,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     A null text has no words; texts of under WINDOW words stay whole. A null doc_id counts as the largest. Rows
     that share a doc_id count as one document: they do not remove from each other.
     """
-    marks = repeated_windows(docs).groupBy("id").agg(F.collect_list(F.struct("context", "mask")).alias("marks"))
+    marks = repeated_windows(docs).groupBy("id").agg(F.collect_list(F.struct("context", "place", "mask")).alias("marks"))
     both = _packed(docs).join(marks, "id", "left").select("doc_id", "packed", "marks")
     return both.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, removed array<array<bigint>>, kept_text string")
 
