@@ -43,12 +43,18 @@ def word_features(word: bytes) -> list[int]:
     return [zlib.crc32(p) % DIM for p in parts]
 
 
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Rows of numbers as one Arrow array, without a Python object for each number."""
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, kind.to_pandas_dtype())]), kind))
+
+
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def feature_ids(texts: pa.Array) -> pa.Array:
-    def ids(data: bytes) -> list[int]:
-        return sorted({f for w in distinct_words(data) for f in word_features(w)})
+    def ids(data: bytes) -> np.ndarray:
+        return np.unique(np.fromiter((f for w in distinct_words(data) for f in word_features(w)), np.int32))
 
-    return pa.array([ids(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts], pa.list_(pa.int32()))
+    return _lists([ids(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts], pa.int32())
 
 
 class Counter:
@@ -72,8 +78,8 @@ class Counter:
 
 def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), by Adam."""
-    p, u = x[positive], x[~positive]
-    w, b = np.zeros(x.shape[1]), float(np.log(prior / (1 - prior)))
+    p, u = x[positive].astype(np.float32), x[~positive].astype(np.float32)
+    w, b = np.zeros(x.shape[1], np.float32), float(np.log(prior / (1 - prior)))
     if not len(p) or not len(u):
         return w, b
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -87,10 +93,10 @@ def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 300, rat
             cp, cu = prior * ((sp - 1) / len(p) - up), uu
         else:
             cp, cu = prior * up, -uu
-        g = np.r_[p.T @ cp + u.T @ cu + ridge * w, cp.sum() + cu.sum()]
+        g = np.r_[p.T @ cp.astype(np.float32) + u.T @ cu.astype(np.float32) + ridge * w, cp.sum() + cu.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = w - step[:-1].astype(np.float32), b - step[-1]
     return w, b
 
 
@@ -106,7 +112,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     text = common.text_or_empty(docs)
     joined = docs.select(docs["doc_id"].alias("id"), text.alias("text")).join(F.broadcast(rows), "id")  # at most the two limits
     sample = joined.orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "positive").limit(MAX_POSITIVES + MAX_UNLABELLED)
-    return common.written(sample.select("text", "positive"), "toxicity-sample"), min(0.9, max(1e-3, toxic / n)) if n else PRIOR
+    spread = sample.select("text", "positive").repartition(common.partitions(docs.sparkSession))  # the limit leaves one partition
+    return common.written(spread, "toxicity-sample"), min(0.9, max(1e-3, toxic / n)) if n else PRIOR
 
 
 def choose(sample: DataFrame, prior: float) -> list[int]:
@@ -126,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[int], np.ndarray, fl
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def counts(texts: pa.Array) -> pa.Array:
         count = Counter(chosen)
-        return pa.array([count(t.as_buffer().to_pybytes()).tolist() for t in texts], pa.list_(pa.float32()))
+        return _lists([count(t.as_buffer().to_pybytes()).astype(np.float32) for t in texts], pa.float32())
 
     if not chosen:
         return [], np.zeros(0), float(np.log(prior / (1 - prior)))
