@@ -12,8 +12,8 @@ from commentscan.functions import lexicon as L
 from commentscan.functions import text as T
 
 Model = Callable[[Column], Column]
-#: rows (comment_id, text) to rows (comment_id, opinion_score)
-Opinion = Callable[[DataFrame], DataFrame]
+#: Text to a score, or null for no opinion. The text is null in rows that are not asked, so a Python function skips those.
+Opinion = Callable[[Column], Column]
 # The keyword opinion's words and scores.
 OPINION_WORDS, OPINION_YES, OPINION_NO = ("fuck", "kill", "hate"), 0.85, 0.15
 
@@ -36,9 +36,8 @@ def keyword_label(text: Column) -> Column:
     return F.when(found, "hate").otherwise("not_hate")
 
 
-def keyword_opinion(rows: DataFrame) -> DataFrame:
-    score = F.when(keyword_label(F.col("text")) == "hate", L.single(OPINION_YES)).otherwise(L.single(OPINION_NO))
-    return rows.select("comment_id", score.alias("opinion_score"))
+def keyword_opinion(text: Column) -> Column:
+    return F.when(text.isNull(), None).when(keyword_label(text) == "hate", L.single(OPINION_YES)).otherwise(L.single(OPINION_NO))
 
 
 def parse_opinion(json: Column) -> Column:
@@ -57,14 +56,14 @@ def with_rule_scores(comments: DataFrame, phrases: DataFrame, model: Model = no_
 
 
 def with_second_opinion(scored: DataFrame, config: ScanConfig, opinion: Opinion | None) -> DataFrame:
-    """Adds asked, and raises the score of borderline rows to the opinion's. Only those rows reach the opinion."""
-    marked = scored.withColumn("asked", borderline(F.col("score"), config.threshold) & F.lit(bool(opinion and config.use_opinion)))
-    if not (opinion and config.use_opinion):
+    """Adds asked, and raises the score of borderline rows to the opinion's, in one pass. Only their texts reach the opinion."""
+    on = bool(opinion and config.use_opinion)
+    marked = scored.withColumn("asked", borderline(F.col("score"), config.threshold) & F.lit(on))
+    if not on:
         return marked
-    said = opinion(marked.filter("asked").select("comment_id", "text"))
-    raised = F.greatest("score", F.coalesce("opinion_score", L.single(0)))
-    asked = marked.filter("asked").join(said, "comment_id", "left").withColumn("score", raised).drop("opinion_score")
-    return marked.filter(~F.col("asked")).unionByName(asked)
+    said = marked.withColumn("_said", opinion(F.when(F.col("asked"), F.col("text"))))
+    raised = F.greatest("score", F.coalesce(T.clamp(F.col("_said"), 0, 1), L.single(0)))
+    return said.withColumn("score", F.when(F.col("asked"), raised).otherwise(F.col("score"))).drop("_said")
 
 
 def with_decision(scored: DataFrame, threshold: float) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from commentscan.config import CAPS
 from commentscan.functions import text as T
 from commentscan.operators import state as M
-from commentscan.plans.scan_queries import DECIDED, LABELLED, decided, documents, labelled, phrase_row, table
+from commentscan.plans.scan_queries import DECIDED, LABELLED, decided, documents, labelled, phrase_row
 from commentscan.sources.scratch import scratch
+from commentscan.sources.tables import table
 from commentscan.streaming import scan_stream as R
 
 MAPPED = {"view": "flag", "click": "hide", "purchase": "unhide", "error": "delete", "signup": "report"}

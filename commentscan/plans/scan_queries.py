@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commentscan.config import ScanConfig
@@ -10,16 +10,13 @@ from commentscan.functions import lexicon as L
 from commentscan.functions import text as T
 from commentscan.operators import scan as S
 from commentscan.sources import comments as C
+from commentscan.sources.tables import spread, table
 
 HATE, SAFE = ("idiot",), ("trash", "die")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("comment_id"), "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("comment_id"), "text", "lang", "source"))
 
 
 def phrase_row(spark, hate=HATE, safe=SAFE) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from commentscan.functions import text as T
-from commentscan.plans.scan_queries import DECIDED, decided, table
+from commentscan.plans.scan_queries import DECIDED, decided
 from commentscan.sources import comments as C
 from commentscan.sources import delimited as D
 from commentscan.sources.scratch import scratch
+from commentscan.sources.tables import table
 
 
 def turns(spark, sf_dir):
