@@ -93,7 +93,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, containment: flo
 
 
 def op5_decontaminate(spark, sf_dir):
-    pairs = contaminated(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
+    pairs = contaminated(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")), common.table(spark, sf_dir, "benchmark"))
     return pairs.select("doc_id", "item_id", "n_shingles", "n_found", "containment")
 
 

@@ -103,7 +103,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op1_line_dedup(spark, sf_dir):
-    done = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = dedup_lines(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
     return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -104,7 +104,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 
 
 def op8_mix_sources(spark, sf_dir):
-    done = mix(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    done = mix(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
     return done.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -351,7 +351,7 @@ def joined(spans: Column) -> Column:
 
 
 def op2_personal_data(spark, sf_dir):
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     done = find_personal_data(docs, train(docs))
     counts = [F.size(F.filter("base_spans", lambda s: s["rank"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]  # noqa: B023
     return done.select("doc_id", *counts, F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -207,7 +207,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[str, ...] = tuple(RULES)) -> Data
 
 
 def op3_secret_scan(spark, sf_dir):
-    done = scan_secrets(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = scan_secrets(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     counts = [F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}") for name in BASE]  # noqa: B023
     return done.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

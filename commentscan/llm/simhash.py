@@ -229,5 +229,5 @@ def _plain_id(name: str) -> Column:
 
 
 def op4_simhash_near_dedup(spark, sf_dir):
-    groups = simhash_groups(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    groups = simhash_groups(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

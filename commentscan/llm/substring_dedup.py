@@ -364,7 +364,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
 
 def op9_substring_dedup(spark, sf_dir):
-    done = dedup_substrings(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = dedup_substrings(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
