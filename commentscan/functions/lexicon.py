@@ -36,13 +36,17 @@ def base_score(text: Column) -> Column:
 def hits(text: Column, phrases: Column) -> Column:
     """The phrases of an array that occur in the text; blank ones never do."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(phrases, lambda p: ~p.rlike(r"(?U)^\s*$") & F.contains(lowered, p))
+    return T.let(lowered, lambda t: F.filter(phrases, lambda p: F.contains(t, p) & ~p.rlike(r"(?U)^\s*$")))
+
+
+def score_with_hits(text: Column, hate_hits: Column, safe_hits: Column) -> Column:
+    """The capped base score, plus and minus the weights of the phrases that occur; held to 0..1 at the end only."""
+    raised = F.aggregate(hate_hits, base_score(text), lambda s, _: (s + single(HATE_WEIGHT)).cast("float"))
+    return T.clamp(F.aggregate(safe_hits, raised, lambda s, _: (s - single(SAFE_WEIGHT)).cast("float")), 0, 1)
 
 
 def user_score(text: Column, hate: Column, safe: Column) -> Column:
-    """The capped base score, plus and minus the weights of the user's phrases; held to 0..1 at the end only."""
-    raised = F.aggregate(hits(text, hate), base_score(text), lambda s, _: (s + single(HATE_WEIGHT)).cast("float"))
-    return T.clamp(F.aggregate(hits(text, safe), raised, lambda s, _: (s - single(SAFE_WEIGHT)).cast("float")), 0, 1)
+    return score_with_hits(text, hits(text, hate), hits(text, safe))
 
 
 def build_lexicon(labels: DataFrame, cap: int | None = CAPS["phrases"]) -> DataFrame:

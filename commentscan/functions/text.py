@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 RECORD, FIELD = "\x01", "\x02"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row: spelled out inside a lambda, Spark would compute it at each step."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def trim_all(text: Column) -> Column:
     """Without white space of any script at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -51,8 +51,9 @@ def with_rule_scores(comments: DataFrame, phrases: DataFrame, model: Model = no_
     """comments with hate_hits, safe_hits and score, the larger of lexicon and model. phrases: the one row of phrase_arrays."""
     both = comments.crossJoin(F.broadcast(phrases))  # one row
     text = F.col("text")
-    score = F.greatest(L.user_score(text, F.col("hate"), F.col("safe")), T.clamp(F.coalesce(model(text), L.single(0)), 0, 1))
-    return both.select(*comments.columns, L.hits(text, F.col("hate")).alias("hate_hits"), L.hits(text, F.col("safe")).alias("safe_hits"), score.alias("score"))
+    found = both.select(*comments.columns, L.hits(text, F.col("hate")).alias("hate_hits"), L.hits(text, F.col("safe")).alias("safe_hits"))
+    rules = L.score_with_hits(text, F.col("hate_hits"), F.col("safe_hits"))
+    return found.withColumn("score", F.greatest(rules, T.clamp(F.coalesce(model(text), L.single(0)), 0, 1)))
 
 
 def with_second_opinion(scored: DataFrame, config: ScanConfig, opinion: Opinion | None) -> DataFrame:
