@@ -58,7 +58,10 @@ def feature_ids(texts: pa.Array) -> pa.Array:
 
 
 class Counter:
-    """Logarithmic counts of the chosen features among a text's distinct words; remembers words it has seen."""
+    """Logarithmic counts of the chosen features among a text's distinct words, and of those words at the end.
+
+    Long texts hold more of any feature by chance; the last number lets the model allow for that. Remembers words it has seen.
+    """
 
     def __init__(self, chosen: list[int]):
         self.place = {f: k for k, f in enumerate(chosen)}
@@ -68,12 +71,15 @@ class Counter:
         if len(self.memo) > MEMO:
             self.memo.clear()
         hits: list[int] = []
-        for word in distinct_words(data):
+        words = distinct_words(data)
+        for word in words:
             found = self.memo.get(word)
             if found is None:
                 found = self.memo[word] = tuple(self.place[f] for f in word_features(word) if f in self.place)
             hits += found
-        return np.log1p(np.bincount(hits, minlength=len(self.place))) if hits else np.zeros(len(self.place))
+        counts = np.bincount(np.array(hits, np.int64), minlength=len(self.place) + 1)
+        counts[-1] = len(words)
+        return np.log1p(counts)
 
 
 def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -136,9 +142,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[int], np.ndarray, fl
         return _lists([count(t.as_buffer().to_pybytes()).astype(np.float32) for t in texts], pa.float32())
 
     if not chosen:
-        return [], np.zeros(0), float(np.log(prior / (1 - prior)))
+        return [], np.zeros(1), float(np.log(prior / (1 - prior)))
     found = sample.select(counts("text").alias("x"), "positive").toArrow()
-    x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(chosen))
+    x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(chosen) + 1)
     return chosen, *fit(x, np.array(found["positive"].to_pylist(), bool), prior)
 
 
