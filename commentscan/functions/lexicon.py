@@ -26,11 +26,14 @@ def single(value: float) -> Column:
 
 def base_score(text: Column) -> Column:
     """Each term that occurs counts once, wherever it stands; at most 1. Null texts score 0."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    total = single(0)
-    for term, weight in {**PHRASES, **WORDS}.items():
-        total = total + F.when(lowered.contains(term), single(weight)).otherwise(single(0))
-    return F.least(total, single(1))
+
+    def total(lowered: Column) -> Column:
+        score = single(0)
+        for term, weight in {**PHRASES, **WORDS}.items():
+            score = score + F.when(lowered.contains(term), single(weight)).otherwise(single(0))
+        return F.least(score, single(1))
+
+    return T.let(F.lower(F.coalesce(text, F.lit(""))), total)
 
 
 def hits(text: Column, phrases: Column) -> Column:
