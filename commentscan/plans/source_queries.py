@@ -58,16 +58,16 @@ def split_lines(spark, sf_dir):
 
 
 def comments_from_html(spark, sf_dir):
-    return C.comments_from_html(html_pages(spark, sf_dir)).select("source_url", "pos", F.md5("text").alias("text_md5"))
+    return C.comments_from_html(html_pages(spark, sf_dir), limit=None).select("source_url", "pos", F.md5("text").alias("text_md5"))
 
 
 def comments_from_json(spark, sf_dir):
     """All comments of all pages that are well-formed, in either shape."""
-    return C.comments_from_json(json_pages(spark, sf_dir)).select("source_url", "page_no", "pos", F.md5("text").alias("text_md5"))
+    return C.comments_from_json(json_pages(spark, sf_dir), limit=None).select("source_url", "page_no", "pos", F.md5("text").alias("text_md5"))
 
 
 def stitch_pages(spark, sf_dir):
-    return C.stitch_comment_pages(json_pages(spark, sf_dir)).select("source_url", "page_no", "pos", F.md5("text").alias("text_md5"))
+    return C.stitch_comment_pages(json_pages(spark, sf_dir), limit=None).select("source_url", "page_no", "pos", F.md5("text").alias("text_md5"))
 
 
 def first_per_url(spark, sf_dir):
@@ -93,7 +93,7 @@ def requests(spark, sf_dir):
 
 
 def route_by_url(spark, sf_dir):
-    done = C.comments_by_url(requests(spark, sf_dir), html_pages(spark, sf_dir), json_pages(spark, sf_dir))
+    done = C.comments_by_url(requests(spark, sf_dir), html_pages(spark, sf_dir), json_pages(spark, sf_dir), limit=None)
     return done.groupBy("source_url").agg(F.count("*").alias("n_comments"), F.sum(F.char_length("text")).alias("n_chars"))
 
 

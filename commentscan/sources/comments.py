@@ -27,13 +27,15 @@ def split_comments(df: DataFrame, column: str = "payload", separator: str = PAYL
     return parts.withColumn("text", T.trim_all(F.col("part"))).filter("text <> ''").drop("part")
 
 
-def first_per_url(df: DataFrame, limit: int | Column, *order: str) -> DataFrame:
-    """The first `limit` rows of each source_url."""
+def first_per_url(df: DataFrame, limit: int | Column | None, *order: str) -> DataFrame:
+    """The first `limit` rows of each source_url; all rows, unranked, if it is None."""
+    if limit is None:
+        return df
     rank = F.row_number().over(Window.partitionBy("source_url").orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
 
 
-def comments_from_html(pages: DataFrame, limit: int = PER_URL) -> DataFrame:
+def comments_from_html(pages: DataFrame, limit: int | None = PER_URL) -> DataFrame:
     """pages (url, html). Every quoted "text" value, up to the next quote, unescaped and trimmed; the first `limit` of a page."""
     found = F.regexp_extract_all("html", F.lit(r'(?s)"text":"(.*?)"'), 1)
     each = pages.select(F.col("url").alias("source_url"), F.lit(0).alias("page_no"), F.posexplode(found).alias("pos", "raw"))
@@ -57,13 +59,13 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def comments_from_json(pages: DataFrame, limit: int = PER_URL) -> DataFrame:
+def comments_from_json(pages: DataFrame, limit: int | None = PER_URL) -> DataFrame:
     """All comments of JSON pages, in either shape; the first `limit` of a shortcode."""
     each = parsed_pages(pages).select(F.col("shortcode").alias("source_url"), "page_no", F.posexplode("texts").alias("pos", "text"))
     return first_per_url(each, limit, "page_no", "pos")
 
 
-def stitch_comment_pages(pages: DataFrame, limit: int = PER_URL) -> DataFrame:
+def stitch_comment_pages(pages: DataFrame, limit: int | None = PER_URL) -> DataFrame:
     """As comments_from_json, but only of the pages from the first on that are there, well-formed and linked by a next page."""
     order = Window.partitionBy("shortcode").orderBy("page_no")
     good = parsed_pages(pages).withColumn("_in_place", F.col("page_no") == F.row_number().over(order) - 1)
@@ -73,7 +75,7 @@ def stitch_comment_pages(pages: DataFrame, limit: int = PER_URL) -> DataFrame:
     return first_per_url(each, limit, "page_no", "pos")
 
 
-def comments_by_url(requests: DataFrame, html_pages: DataFrame, json_pages: DataFrame, limit: int = PER_URL) -> DataFrame:
+def comments_by_url(requests: DataFrame, html_pages: DataFrame, json_pages: DataFrame, limit: int | None = PER_URL) -> DataFrame:
     """requests (url): posts and reels are read from JSON pages by their shortcode, other URLs from HTML."""
     urls = requests.select(T.trim_all(F.col("url")).alias("url")).distinct().withColumn("shortcode", T.shortcode(F.col("url")))
     posts = urls.filter("shortcode is not null")

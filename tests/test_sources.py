@@ -2,11 +2,15 @@
 
 import json
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from commentscan.functions import text as T
+from commentscan.plans import source_queries
 from commentscan.sources import comments as C
 from commentscan.sources import delimited as D
+from tests.test_queries import rows
 
 
 def one(spark, value, column):
@@ -60,6 +64,26 @@ def test_stitch(spark):
     assert stitched(spark, many, 50) == [f"a{k}" for k in range(50)]
 
 
+@pytest.fixture(scope="module")
+def long_conversation(tmp_path_factory):
+    """One conversation of 451 turns and one of 3, and the DuckDB connection that reads them."""
+    path = str(tmp_path_factory.mktemp("long"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations AS SELECT 1::BIGINT AS conv_id, i::INT AS turn, 'turn ' || i AS text FROM range(451) t(i) UNION ALL SELECT 2, i::INT, 'b' || i FROM range(3) t(i)")
+    con.execute(f"COPY conversations TO '{path}/conversations.parquet' (FORMAT parquet)")
+    return path, con
+
+
+@pytest.mark.parametrize("name", ["comments_from_html", "comments_from_json", "stitch_pages", "route_by_url", "first_per_url", "monitored_scan"])
+def test_long_conversations_are_whole(spark, long_conversation, name):
+    path, con = long_conversation
+    query, sql = source_queries.QUERIES[name]
+    got, want = query(spark, path).toPandas(), con.execute(sql).df()
+    assert rows(got) == rows(want)
+    if name not in ("first_per_url", "monitored_scan"):
+        assert (got["n_comments"].max() if name == "route_by_url" else len(got) - 3) == 451
+
+
 def test_source_priority_and_union(spark):
     row = lambda t: lambda s: s.createDataFrame([(t, 1)], "text string, seq long")
     sources = C.Sources("sample").register("graph", row("g")).register("session", row("s")).register("sample", row("d"))
