@@ -34,7 +34,8 @@ HIDDEN, EPOCHS, BATCH, RATE = 16, 14, 125, 0.02
 MARGIN = 2.0
 LANES = 1024
 
-_ANCHOR = re.compile(r"[0-9@]|[(\[]at[)\]]")
+#: Every text that plausible() accepts holds one of these; as there, case is ignored and digits are of any script.
+_ANCHOR = re.compile(r"[\d@]|[(\[]at[)\]]", re.I)
 _SYMBOLS = {c: k + 2 for k, c in enumerate("abcdefghijklmnopqrstuvwxyz@.-+() _:/[],|=\"\n")}  # 0: beyond the text, 1: any other
 _DIGIT = len(_SYMBOLS) + 2
 V, K = _DIGIT + 2, 1 + 2 * len(KINDS)

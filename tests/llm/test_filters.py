@@ -137,6 +137,34 @@ def test_tagger_gradient():
         assert abs((up - down) / (2 * step) - grad[name][at]) < 2e-3, name
 
 
+@pytest.fixture(scope="module")
+def tagger():
+    """A tagger that has learnt from the documents of sf0.1."""
+    found = [e for t in read("documents", "/root/testdata/sf0.1")["text"] if pii.base_spans(t) for e in pii.examples(t, zlib.crc32(t.encode()))]
+    found = sorted(found, key=lambda w: zlib.crc32(w[0].encode()))[: pii.MAX_WINDOWS]
+    x, y = np.zeros((len(found), pii.WIDTH), np.int64), np.zeros((len(found), pii.WIDTH), np.int64)
+    for k, (window, spans) in enumerate(found):
+        x[k, : len(window)] = pii.encoded(window)
+        for s, kind, e in spans:
+            y[k, s:e] = 2 + 2 * kind
+            y[k, s] = 1 + 2 * kind
+    return pii.Tagger().fit(x, y)
+
+
+@pytest.mark.parametrize("at", ["[at]", "[AT]", "(At)", "(aT)", " [AT] ", " (AT) "])
+def test_anchors_ignore_case(tagger, at):
+    text = f"please write to jane.roe{at}example.com about the garden and the house, or call nobody at all, as ever " + "and so on " * 20
+    assert pii.plausible(0, f"jane.roe{at}example.com") and pii.windows_of(text)
+    plain = text.replace(at, at.lower())
+    assert pii.added_spans([text], [[]], tagger) == pii.added_spans([plain], [[]], tagger) != [[]]
+    assert any(text[s:e] == f"jane.roe{at}example.com" for s, _, e in pii.added_spans([text], [[]], tagger)[0])
+
+
+def test_anchors_admit_digits_of_any_script():
+    text = "\u0661\u0662.\u0663.\u0664.\u0665"
+    assert pii.plausible(1, text) and pii.windows_of(text) == [0]
+
+
 def test_personal_data_query(spark):
     got = queries.queries()["op2_personal_data"](spark, SF).toPandas().set_index("doc_id")
     for r in read("documents", SF).itertuples():
