@@ -2,9 +2,10 @@
 
 The tagger learns from labelled spans: those that the base patterns find in a bounded sample of the corpus, each also
 rewritten in forms that the patterns miss (a bracketed "at", a phone number without +, a card number with dots). Texts
-are cut into overlapping windows, the stride leaving room for the longest span; each window is decoded on its own,
-and of overlapping spans from different windows the surest ones stay. Every kind of span holds a digit, an @ or a
-bracketed "at", so windows without any are all "no span" and not computed.
+are cut into overlapping windows, and each window is decoded on its own. A span that touches the edge of its window
+may be cut there: unless another window has it whole, it is decoded again in windows of twice the width, until it
+ends inside one. Of overlapping spans from different windows the surest ones stay. Every kind of span holds a digit,
+an @ or a bracketed "at", so windows without any are all "no span" and not computed.
 """
 
 from __future__ import annotations
@@ -294,21 +295,61 @@ def train(docs: DataFrame) -> Tagger | None:
     return Tagger().fit(x, y)
 
 
-def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
-    """Spans that the tagger adds to the base ones, none overlapping another: the surest first, over all windows."""
-    where = [(k, s) for k, t in enumerate(texts) for s in windows_of(t)]
-    found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+def extensible(kind: int, piece: str) -> bool:
+    """Whether a text that holds the piece can be plausible."""
+    if kind == 0:
+        return not re.search(r"[^\w.%+@()\[\] -]", piece)
+    if kind == 1:
+        return len(piece.strip()) <= 18
+    return len(_digits(piece)) <= (19 if kind == 2 else 15)
+
+
+def decoded(texts: list[str], where: list[tuple[int, int]], width: int, tagger: Tagger) -> Iterator[tuple[tuple[int, int], tuple[int, int, int, int, float, bool]]]:
+    """Windows (text, start) of that width with each span in them: (text, first, end, kind, margin, cut); a cut one touches an edge inside the text."""
     codes: dict[int, np.ndarray] = {}
-    for at in range(0, len(where), LANES):
-        part = where[at : at + LANES]
-        x = np.zeros((len(part), WIDTH), np.int64)
+    lanes = max(1, LANES * WIDTH // width)
+    for at in range(0, len(where), lanes):
+        part = where[at : at + lanes]
+        x = np.zeros((len(part), width), np.int64)
         for row, (k, s) in enumerate(part):
             if k not in codes:
                 codes = {k: encoded(texts[k])}
-            piece = codes[k][s : s + WIDTH]
+            piece = codes[k][s : s + width]
             x[row, : len(piece)] = piece
         for (k, s), spans in zip(part, tagger.decode(x), strict=True):
-            found[k] += [(-score, s + a, kind, s + e) for a, e, kind, score in spans if score >= MARGIN]
+            for a, e, kind, score in spans:
+                yield (k, s), (k, s + a, s + e, kind, score, (a == 0 and s > 0) or (e == width and s + width < len(texts[k])))
+
+
+def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
+    """Spans that the tagger adds to the base ones, none overlapping another: the surest first, over all windows."""
+    found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+    width = WIDTH
+    spans = {x for _, x in decoded(texts, [(k, s) for k, t in enumerate(texts) for s in windows_of(t)], width, tagger)}
+    while spans:
+        whole: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+        for k, s, e, kind, score, cut in spans:
+            if not cut:
+                whole.setdefault((k, kind, s // width), []).append((s, e))
+                if score >= MARGIN:
+                    found[k].append((-score, s, kind, e))
+        pieces: dict[tuple[int, int], list[tuple[int, int, int, float]]] = {}
+        for k, s, e, kind, score, cut in spans:
+            beside = [x for at in (s // width - 1, s // width) for x in whole.get((k, kind, at), ())] if cut else []
+            if cut and extensible(kind, texts[k][s:e]) and not any(a <= s and e <= b for a, b in beside) and not any(s < b and a < e for a, _, b in bases[k]):
+                start = max(0, min((s + e) // 2 - width, len(texts[k]) - 2 * width))
+                pieces.setdefault((k, start), []).append((s, e, kind, score))
+        width *= 2
+        wider: dict[tuple[int, int], list[tuple[int, int, int, int, float, bool]]] = {}
+        for (k, start), x in decoded(texts, sorted(pieces), width, tagger):
+            wider.setdefault((k, start), []).append(x)
+        spans = set()
+        for (k, start), cut_spans in pieces.items():
+            for s, e, kind, score in cut_spans:
+                again = [x for x in wider.get((k, start), ()) if x[1] < e and s < x[2]]
+                spans.update(again)
+                if score >= MARGIN and not any(x[5] or x[4] >= MARGIN for x in again):
+                    found[k].append((-score, s, kind, e))
     out = []
     for text, base, spans in zip(texts, bases, found, strict=True):
         taken = [(s, e) for s, _, e in base]

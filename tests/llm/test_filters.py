@@ -165,6 +165,31 @@ def test_anchors_admit_digits_of_any_script():
     assert pii.plausible(1, text) and pii.windows_of(text) == [0]
 
 
+class Runs:
+    """Stands for a tagger: an e-mail is a run of such characters around "[at]", as far as the window shows it."""
+
+    def decode(self, x):
+        names = {v: c for c, v in pii._SYMBOLS.items()}
+        texts = ["".join(names.get(v, "\n") for v in row) for row in x.tolist()]
+        return [[(m.start(), m.end(), 0, float(m.end() - m.start())) for m in re.finditer(r"[a-z.\[\]]+", t) if "[at]" in m[0]] for t in texts]
+
+
+@pytest.mark.parametrize("length", [60, 120, 700])
+def test_long_addresses_are_whole_at_every_offset(length):
+    address = "jane." + "a" * (length // 2 - 9) + "[at]" + "b" * (length - length // 2 - 8) + "[dot]edu"
+    for offset in range(2 * pii.STRIDE):
+        text = "|" * offset + f" {address} " + "|" * 2 * length
+        assert pii.added_spans([text, "", text[: offset + len(address) + 1]], [[], [], []], Runs()) == [[(offset + 1, 0, offset + 1 + len(address))], [], [(offset + 1, 0, offset + 1 + len(address))]]
+
+
+@pytest.mark.parametrize("parts", [4, 10])
+def test_tagger_finds_long_addresses(tagger, parts):
+    address = "desleleenpa.90 [at] mail9" + " [dot] mail4" * (parts - 2) + " [dot] example [dot] com"
+    for offset in range(pii.STRIDE):
+        text = ("the quick brown fox is in the garden " * 5)[-offset - 60 :] + f" contact {address} about it, " + "or come by and see the house " * 8
+        assert [text[s:e] for s, _, e in pii.added_spans([text], [[]], tagger)[0]] == [address]
+
+
 def test_personal_data_query(spark):
     got = queries.queries()["op2_personal_data"](spark, SF).toPandas().set_index("doc_id")
     for r in read("documents", SF).itertuples():
