@@ -227,6 +227,43 @@ def test_embeddings(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def by_hand(x, ids, cosine=0.9):
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = u @ u.T >= cosine
+    return {int(i): (int(n) - 1, int(c)) for i, n, c in zip(ids, linked.sum(1), closure(linked, ids), strict=True)}
+
+
+def test_embeddings_in_clusters_of_clusters(spark, monkeypatch):
+    """Pivots on several levels, blocks of a hot cell, and every pair found that brute force finds."""
+    monkeypatch.setattr(E, "BLOCK", 40)
+    monkeypatch.setattr(E, "CELL", 4)
+    rng = np.random.default_rng(9)
+    top = rng.normal(size=(5, 16))
+    middle = np.concatenate([t + 0.5 * rng.normal(size=(6, 16)) for t in top])
+    x = np.concatenate([m + s * rng.normal(size=(k, 16)) for m, s, k in zip(middle, [0.02, 0.1, 0.2, 0.3, 0.4] * 6, [9, 12, 15, 3, 130, 9] * 5, strict=True)])
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    router = E._routers(E._classes(df)[2], 0.447)[16]
+    depth = lambda at: 1 + max(map(depth, router.nodes[at][1])) if router.nodes[at] else 0
+    assert depth(0) > 2
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_vectors(df).collect()}
+    assert got == by_hand(x, ids)
+
+
+def test_embeddings_of_many_lengths(spark):
+    rng = np.random.default_rng(10)
+    rows = []
+    for length in range(1, 1101):
+        v = rng.normal(size=length)
+        rows += [(2 * length, v.tolist()), (2 * length + 1, (v + 0.01).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_vectors(df).collect()}
+    assert len(got) == 2200
+    for length in range(1, 1101):
+        pair = np.array([rows[2 * length - 2][1], rows[2 * length - 1][1]])
+        assert {k: got[k] for k in (2 * length, 2 * length + 1)} == by_hand(pair, [2 * length, 2 * length + 1])
+
+
 def test_embeddings_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (None, [2.0, 0.0]), (5, None), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [1.0]), (10, []), (11, [3.0]), (12, [None, 1.0])]
