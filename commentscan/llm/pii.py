@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,15 +23,22 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An address is what stands of LOCAL before an @, and a match of HOST from there on.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+HOST = re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+#: A number can only begin where no digit stands before it, so a long run of digits is read once.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Documents with base spans to learn from, and windows, at most.
+#: Documents with base spans to learn from (those whose texts have the smallest hashes), and windows, at most; and of each
+#: document the spans, and the windows around other numbers, to learn from. All four bound the training only.
 MAX_TEXTS, MAX_WINDOWS = 1_000, 2_500
+MAX_SPANS_EACH, MAX_NUMBERS_EACH = 6, 1
 WIDTH, STRIDE = 96, 48
 HIDDEN, EPOCHS, BATCH, RATE = 16, 14, 125, 0.02
+#: Characters of an added span, at most: windows grow no wider than twice that. Base spans may have any length.
+LONGEST = 1_024
 #: Log-odds by which a decoded span must beat "no span".
 MARGIN = 2.0
 LANES = 1024
@@ -55,25 +63,66 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def octet(part: str) -> bool:
+    """Whether a run of digits of any length is at most 255."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping addresses, from each @ outwards: every character is looked at a few times at most."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        before = text[free:at]
+        start = free + len(before.rstrip(LOCAL))
+        host = HOST.match(text, at) if start < at else None
+        if host:
+            yield start, host.end()
+        free = host.end() if host else at + 1
+        at = text.find("@", max(free, at + 1))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), sorted: leftmost non-overlapping matches per kind; those that fail the check are dropped."""
-    found = []
-    if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
-    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found = [(s, 0, e) for s, e in emails(text)]
+    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(map(octet, m[0].split(".")))]
     found += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         found += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return sorted(found)
 
 
+class Taken:
+    """Disjoint stretches of a text, sorted; those that overlap are joined."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        """Whether some stretch has a character of start:end."""
+        k = bisect_right(self.ends, start)
+        return k < len(self.starts) and self.starts[k] < end
+
+    def add(self, start: int, end: int) -> None:
+        k = bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+
+
 def plausible(kind: int, text: str) -> bool:
     """Whether a decoded span can be of its kind."""
     d = _digits(text)
     if kind == 0:
         return bool(re.fullmatch(r"[\w.%+-]+ ?(@|\(at\)|\[at\]) ?[\w-]+(( ?\(dot\) ?| ?\[dot\] ?|\.)[\w-]+)+", text, re.I))
     if kind == 1:
-        return bool(re.fullmatch(r"\d{1,3}([.,] ?\d{1,3}){3}", text)) and all(int(p) <= 255 for p in re.findall(r"\d+", text))
+        return bool(re.fullmatch(r"\d{1,3}([.,] ?\d{1,3}){3}", text)) and all(int(p) <= 255 for p in re.findall(r"\d{1,3}", text))
     if kind == 2:
         return 12 <= len(d) <= 19 and luhn(d)
     return 9 <= len(d) <= 15 and bool(re.fullmatch(r"[(+]?[\d]+[\x20().\d/-]*\d", text)) and not d == text
@@ -247,7 +296,7 @@ def examples(text: str, seed: int) -> list[tuple[str, list[tuple[int, int, int]]
     rng = np.random.default_rng(seed)
     spans = base_spans(text)
     out = []
-    for start, kind, end in spans[:6]:
+    for start, kind, end in spans[:MAX_SPANS_EACH]:
         if any(s < end and start < e and (s, k) != (start, kind) for s, k, e in spans) or end - start > STRIDE:
             continue
         for change in (False, True):
@@ -259,8 +308,9 @@ def examples(text: str, seed: int) -> list[tuple[str, list[tuple[int, int, int]]
             after = [(s, k, e) for s, k, e in spans if s < end + WIDTH and e > end]
             if not others and not after:
                 out.append((window, [(len(left), kind, len(left) + len(span))]))
-    clean = [m.start() for m in re.finditer(r"[0-9]+", text) if all(not (s < m.start() + WIDTH and e > m.start() - WIDTH) for s, _, e in spans)]
-    for at in clean[:1]:
+    taken = Taken((s, e) for s, _, e in spans)
+    clean = [m.start() for m in re.finditer(r"[0-9]+", text) if not taken.overlaps(m.start() - WIDTH, m.start() + WIDTH)]
+    for at in clean[:MAX_NUMBERS_EACH]:
         window = text[max(0, at - WIDTH // 2) :][:WIDTH]
         if not any(len(d) >= 9 for d in re.findall(r"[0-9]+", window)):
             out.append((window, []))
@@ -277,13 +327,17 @@ def _example_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def train(docs: DataFrame) -> Tagger | None:
-    """A tagger from at most MAX_TEXTS documents with digits beside spans (smallest hashes); None without spans."""
-    text = common.text_or_empty(docs)
-    some = docs.select(text.alias("text")).filter(F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9][\x20().0-9-]{8}|[0-9]{12}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"))
-    sample = some.distinct().orderBy(F.xxhash64("text"), "text").limit(MAX_TEXTS)
-    rows = sample.mapInArrow(_example_rows, "window string, spans array<int>").toArrow()
+    """A tagger from at most MAX_TEXTS texts that may hold spans, those with the smallest hashes; None without spans.
+
+    Hashes are chosen first, so that no task sees more than its share of the texts; windows are MAX_WINDOWS at most.
+    """
+    texts = docs.select(common.text_or_empty(docs).alias("text")).withColumn("hash", F.xxhash64("text"))
+    may = F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9][\x20().0-9-]{8}|[0-9]{12}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
+    chosen = common.written(texts.filter(may).select("hash").distinct().orderBy("hash").limit(MAX_TEXTS), "personal-data-sample")
+    sample = texts.join(F.broadcast(chosen), "hash").select("text")  # MAX_TEXTS hashes
+    rows = sample.mapInArrow(_example_rows, "window string, spans array<int>").distinct()
+    rows = rows.orderBy(F.crc32("window"), "window", "spans").limit(MAX_WINDOWS).toArrow()
     found = list(zip(rows["window"].to_pylist(), rows["spans"].to_pylist(), strict=True))
-    found = sorted(found, key=lambda w: zlib.crc32(w[0].encode()))[:MAX_WINDOWS]
     if not any(spans for _, spans in found):
         return None
     x, y = np.zeros((len(found), WIDTH), np.int64), np.zeros((len(found), WIDTH), np.int64)
@@ -322,7 +376,11 @@ def decoded(texts: list[str], where: list[tuple[int, int]], width: int, tagger:
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
-    """Spans that the tagger adds to the base ones, none overlapping another: the surest first, over all windows."""
+    """Spans that the tagger adds to the base ones, none overlapping another: the surest first, over all windows.
+
+    Of equally sure ones the one that starts first goes first, then by kind and end.
+    """
+    fixed = [Taken((s, e) for s, _, e in base) for base in bases]
     found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
     width = WIDTH
     spans = {x for _, x in decoded(texts, [(k, s) for k, t in enumerate(texts) for s in windows_of(t)], width, tagger)}
@@ -336,8 +394,8 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], tagge
         pieces: dict[tuple[int, int], list[tuple[int, int, int, float]]] = {}
         for k, s, e, kind, score, cut in spans:
             beside = [x for at in (s // width - 1, s // width) for x in whole.get((k, kind, at), ())] if cut else []
-            if cut and extensible(kind, texts[k][s:e]) and not any(a <= s and e <= b for a, b in beside) and not any(s < b and a < e for a, _, b in bases[k]):
-                start = max(0, min((s + e) // 2 - width, len(texts[k]) - 2 * width))
+            if cut and width < 2 * LONGEST and extensible(kind, texts[k][s:e]) and not any(a <= s and e <= b for a, b in beside) and not fixed[k].overlaps(s, e):
+                start = max(0, ((s + e) // 2 - width) // (width // 2) * (width // 2))  # few windows, however many pieces
                 pieces.setdefault((k, start), []).append((s, e, kind, score))
         width *= 2
         wider: dict[tuple[int, int], list[tuple[int, int, int, int, float, bool]]] = {}
@@ -351,13 +409,12 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], tagge
                 if score >= MARGIN and not any(x[5] or x[4] >= MARGIN for x in again):
                     found[k].append((-score, s, kind, e))
     out = []
-    for text, base, spans in zip(texts, bases, found, strict=True):
-        taken = [(s, e) for s, _, e in base]
+    for text, taken, spans in zip(texts, fixed, found, strict=True):
         new = []
         for _, s, kind, e in sorted(set(spans)):
             s, e = s + len(text[s:e]) - len(text[s:e].lstrip()), e - len(text[s:e]) + len(text[s:e].rstrip())
-            if plausible(kind, text[s:e]) and all(e <= a or b <= s for a, b in taken):
-                taken.append((s, e))
+            if s < e and not taken.overlaps(s, e) and plausible(kind, text[s:e]):
+                taken.add(s, e)
                 new.append((s, kind, e))
         out.append(new)
     return out
@@ -368,7 +425,8 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
 
     docs: text and any others (columns named like the added ones are replaced). Spans count code points, the end
     excluded. Null and empty texts have none. Added spans overlap neither base spans nor each other; base spans of
-    different kinds may overlap. Without a tagger there are base spans only. Repeated rows get equal spans.
+    different kinds may overlap. Without a tagger there are base spans only. Repeated rows get equal spans, whatever their
+    ids; an empty table gives no rows. Added spans have about LONGEST characters at most. Work grows with the length of a text, not with its square.
     """
     kind = "array<struct<start:int,rank:int,end:int>>"
 
