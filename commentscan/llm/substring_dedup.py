@@ -1,17 +1,19 @@
 """Substring dedup: words inside a passage that an earlier document holds too.
 
-A passage is WINDOW words long at least. Each window has an anchor, the SHINGLE-word run of smallest hash in it, so
-equal windows have equal anchors, and an anchor's context (all windows around it) is SPAN words at most. Three steps:
-
-1. Anchors are range-partitioned and sorted by (anchor, context, document). A streaming pass sees the first document
-   of each context; later ones lose the whole context, with no text moved. A range may end inside a group: rows at
-   its ends go on to step 2, so hot anchors spread over as many tasks as they need.
-2. Where an anchor has several contexts, the first document's text of each forms a reference shard. Documents stream
-   through its suffix automaton in order of id: matching statistics of WINDOW or more words mark the windows that an
-   earlier document holds, then the context joins the automaton. Automata live where their shard's rows are, as no
-   broadcast could hold all repeated text. An anchor with over MAX_CONTEXTS contexts would make a large automaton;
-   its windows are compared one by one instead, by a map-side minimum of document ids.
-3. Marked windows are gathered per document and taken out of the text.
+A passage is WINDOW words long at least. Hashes only say where to look; every word that goes has been matched by the
+suffix automaton of an earlier document's words. Each window has an anchor, the SHINGLE-word run of smallest hash in it, so
+equal windows have equal anchors, and an anchor's context (all windows around it) is SPAN words at most. Four steps:
+
+1. Anchors are range-partitioned and sorted by (anchor, context, document). A streaming pass names an earlier document,
+   the owner, for each later row of a context, with no text moved. A range may end inside a group: rows at its ends
+   count as contexts of their own, so hot anchors spread over as many tasks as they need.
+2. The owners' contexts make the reference. It is cut into shards: one for each stretch of BLOCK words of an owner, and
+   one for each anchor that has several contexts. A shard with many documents is repeated, and they are dealt over its
+   copies. An anchor with over MAX_CONTEXTS contexts would make a large automaton; its shards are single windows.
+3. A shard's documents stream, in order of id, through the suffix automaton of what came before: matching statistics of
+   WINDOW or more words mark windows. A shard's automaton lives where its documents are sent, as no broadcast could hold
+   all text that repeats in a large corpus.
+4. The marked spans of a document are united and taken out of its text.
 
 Texts travel compressed.
 """
@@ -33,7 +35,11 @@ WINDOW, SHINGLE = 13, 6
 #: Windows around an anchor, and the words they cover.
 AROUND = WINDOW - SHINGLE + 1
 SPAN = WINDOW + AROUND - 1
+#: Contexts of an anchor that one automaton holds.
 MAX_CONTEXTS = 2_000
+#: log2 of the words of an owner that one automaton holds; contexts that a copy of a shard matches, about; and shards with
+#: copies, or anchors of too many contexts, that are broadcast (past it Spark joins them by shuffle).
+BLOCK, LOAD, BROADCAST_ROWS = 12, 100_000, 200_000
 MEMO = 400_000
 LAST_ID = 2**63 - 1
 
@@ -43,8 +49,9 @@ _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 class Hasher:
     """Polynomial hashes of word runs; remembers the hashes of words it has seen."""
 
-    def __init__(self):
+    def __init__(self, bits: int = 64):
         self.memo: dict[bytes, int] = {}
+        self.mask = np.uint64((1 << bits) - 1)
         self.powers = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _STEP]  # of each step and of its inverse
 
     def words(self, words: list[bytes]) -> np.ndarray:
@@ -72,7 +79,7 @@ class Hasher:
         got = (sums[end] - sums[first]) * self.powers[k][1][first] + (end - first).astype(np.uint64)
         got ^= got >> np.uint64(32)
         got *= np.uint64(0xD6E8FEB86659FD93)
-        return got ^ (got >> np.uint64(32))
+        return (got ^ (got >> np.uint64(32))) & self.mask
 
 
 class Anchored:
@@ -105,8 +112,8 @@ def _stamp(data: bytes) -> int:
     return zlib.crc32(data)
 
 
-def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher()
+def _anchor_rows(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    hasher = Hasher(bits)
     for batch in batches:
         found = []
         for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
@@ -121,15 +128,24 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], ["anchor", "context", "id", "place"])
 
 
+#: What a row of step 1 asks of its document: to be matched against its owner, to be in its own shard's reference, or both
+#: for the shard of its anchor.
+MEMBER, OWNER, OPEN = 0, 1, 2
+JUDGED = "role int, id long, place long, context long, anchor long, owner long, owner_place long"
+
+
 def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, context, id) to (anchor, context, id, place, open): open 0 for a context that an earlier
-    document holds, 1 for the first document of one of several contexts of an anchor, or at an end of the range."""
-    names = ["anchor", "context", "id", "place", "open"]
-    held = None  # the last row's anchor and context, and the first id of that context
-    waiting = None  # the last owner of a context, and whether it is open already
+    """Rows sorted by (anchor, context, id) to rows of JUDGED.
 
-    def batch(rows: np.ndarray, kind: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(4)), pa.array(np.full(len(rows), kind, np.int32))], names)
+    A member is a row whose context an earlier document holds, its owner. Open rows are the first of one of several
+    contexts of an anchor, those of the same id beside it, and those at an end of the range.
+    """
+    held = None  # the last row's anchor and context, and the id and place of that context's first row
+    waiting = None  # the last open candidate, and whether it is open already
+
+    def batch(role: int, rows: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
+        columns = [rows[:, 2], rows[:, 3], rows[:, 1], rows[:, 0], owners[:, 0], owners[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), role, np.int32)), *map(pa.array, columns)], ["role", "id", "place", "context", "anchor", "owner", "owner_place"])
 
     for part in batches:
         if not len(part):
@@ -139,9 +155,15 @@ def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = held is None or (a[0], c[0]) != held[:2]
         new = np.r_[starts, (a[1:] != a[:-1]) | (c[1:] != c[:-1])]
         at = np.flatnonzero(new)
-        which = np.cumsum(new) - 1
-        first = np.where(which >= 0, i[at[np.maximum(which, 0)]] if len(at) else 0, 0 if held is None else held[2])
-        yield batch(rows[~new & (i > first)], 0)
+        which = np.cumsum(new)
+        firsts = np.concatenate([np.array([held[2:] if held else (0, 0)], np.int64), rows[at, 2:]])[which]
+        later = ~new & (i > firsts[:, 0])
+        yield batch(MEMBER, rows[later], firsts[later])
+        owned = np.unique(which[later], return_index=True)[1]
+        heads = rows[later][owned].copy()
+        heads[:, 2:] = firsts[later][owned]
+        yield batch(OWNER, heads, firsts[later][owned])
+        at = np.flatnonzero(~later)
         if len(at):
             owners, mark = rows[at], np.zeros(len(at), bool)
             if waiting is None:
@@ -151,11 +173,12 @@ def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = owners[1:, 0] == owners[:-1, 0]
             mark[1:] |= same
             mark[:-1] |= same
-            yield batch(owners[:-1][mark[:-1]], 1)
+            done = owners[:-1][mark[:-1]]
+            yield batch(OPEN, done, done[:, 2:])
             waiting = (owners[-1], mark[-1])
-        held = (a[-1], c[-1], first[-1])
+        held = (a[-1], c[-1], *firsts[-1].tolist())
     if waiting is not None:
-        yield batch(waiting[0][None], 1)  # and end inside one
+        yield batch(OPEN, waiting[0][None], waiting[0][None, 2:])  # and end inside one
 
 
 class SuffixAutomaton:
@@ -208,140 +231,226 @@ class SuffixAutomaton:
             yield n
 
 
+def _spans(automaton: SuffixAutomaton, words: list[bytes], first: int) -> Iterator[tuple[int, int]]:
+    """Maximal stretches of words, numbered from first, that lie in windows that the automaton holds."""
+    start = end = None
+    for at, n in enumerate(automaton.matching(words), first + 1):
+        if n >= WINDOW:
+            if end is not None and at - WINDOW > end:
+                yield start, end
+                start = None
+            start, end = at - WINDOW if start is None else start, at
+    if end is not None:
+        yield start, end
+
+
+def _marks(out: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+    ids, stamps, spans = zip(*out, strict=True) if out else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(stamps, pa.int64()), pa.array(spans, pa.list_(pa.int32()))], ["id", "stamp", "spans"])
+
+
+MARKS = "id long, stamp long, spans array<int>"
+PASSAGES = "k1 long, k2 long, id long, stamp long, adds boolean, firsts array<int>, texts array<binary>"
+
+
 def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, id), with passages, to (id, context, place, mask): bit j for the window that starts at word j."""
-    names = ["id", "context", "place", "mask"]
+    """Rows of PASSAGES, sorted by shard and id, to marks. What rows with `adds` say joins the automaton for later ids."""
     key = last = automaton = None
     fresh: list[list[bytes]] = []
     for batch in batches:
-        out: list[tuple[int, int, int, int]] = []
-        for k, i, context, place, passage in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "context", "place", "passage")), strict=True):
-            words = passage.split()
-            if k != key:
-                key, automaton, fresh = k, SuffixAutomaton(), []
-            elif i != last:
+        out = []
+        for k1, k2, i, stamp, adds, firsts, texts in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            if (k1, k2) != key:
+                key, automaton, fresh = (k1, k2), SuffixAutomaton(), []
+            elif i != last and fresh:
                 for x in fresh:
                     automaton.add(x)
                 fresh = []
             last = i
-            mask = sum(1 << (e + 1 - WINDOW) for e, n in enumerate(automaton.matching(words)) if n >= WINDOW)
-            fresh.append(words)
-            if mask:
-                out.append((i, context, place, mask))
-        columns = zip(*out, strict=True) if out else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
+            words = [t.split() for t in texts]
+            found = [v for first, w in zip(firsts, words, strict=True) for span in _spans(automaton, w, first) for v in span] if len(automaton.next) > 1 else []
+            if adds:
+                fresh += words
+            if found:
+                out.append((i, stamp, found))
+        yield _marks(out)
+
+
+def _single_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, stamp, at, words, first): windows and the same window, by its hash, of an earlier document; to marks."""
+    last = automaton = None
+    for batch in batches:
+        out = []
+        for i, stamp, at, words, first in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            if first != last:
+                last, automaton = first, SuffixAutomaton()
+                automaton.add(first.split())
+            found = [v for span in _spans(automaton, words.split(), at) for v in span]
+            if found:
+                out.append((i, stamp, found))
+        yield _marks(out)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, packed): texts compressed for the shuffle."""
+    """(doc_id, id, stamp, packed): texts compressed for the shuffle."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [zlib.compress(t.as_buffer().to_pybytes(), 1) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("id"), pa.array(texts, pa.binary())], ["doc_id", "id", "packed"])
+            texts = [t.as_buffer().to_pybytes() for t in b.column("text")]
+            columns = [pa.array(list(map(_stamp, texts)), pa.int64()), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("id"), *columns], ["doc_id", "id", "stamp", "packed"])
 
-    return _plain(docs).mapInArrow(pack, "doc_id long, id long, packed binary")
+    return _plain(docs).mapInArrow(pack, "doc_id long, id long, stamp long, packed binary")
 
 
 def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["doc_id"], F.lit(LAST_ID)).cast("long").alias("id"), common.text_or_empty(docs).alias("text"))
 
 
-def _bounds(place: int, n: int) -> tuple[int, int]:
-    at = place & REPEATED
-    return max(at - AROUND + 1, 0), min(at + WINDOW, n)
+def _located(b: pa.RecordBatch, words: list[list[bytes]], hasher: Hasher) -> tuple[np.ndarray, ...]:
+    """(doc, row, first, end): where each wanted context stands in its document. Repeated ones are looked for again."""
+    wanted = b.column("wanted")
+    doc = np.repeat(np.arange(len(b)), np.diff(wanted.offsets.to_numpy()))
+    rows, row = wanted.flatten(), np.arange(len(doc))
+    at = rows.field("place").to_numpy() & REPEATED
+    again = np.flatnonzero(at == REPEATED)
+    if len(again):
+        context = rows.field("context").to_numpy()
+        more = []
+        for d in np.unique(doc[again]).tolist():
+            whole = Anchored(words[d], hasher)
+            for r in again[doc[again] == d].tolist():
+                more += [(r, x) for x in whole.at[whole.context == context[r]].tolist()]
+        keep = at != REPEATED
+        row = np.r_[row[keep], np.array([r for r, _ in more], np.int64)]
+        at = np.r_[at[keep], np.array([x for _, x in more], np.int64)]
+        doc = doc[row]
+    return doc, row, np.maximum(at - AROUND + 1, 0), np.minimum(at + WINDOW, np.array([len(w) for w in words], np.int64)[doc])
+
+
+def _united(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted, and joined where they meet."""
+    out: list[tuple[int, int]] = []
+    for first, end in sorted(stretches):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((first, end))
+    return out
+
+
+def _passages(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Documents with what they are asked for, to rows of PASSAGES: of each shard all that it needs of a document."""
+    hasher = Hasher(bits)
+    for b in batches:
+        ids, stamps = b.column("id").to_numpy(), b.column("stamp").to_numpy()
+        words = [zlib.decompress(t.as_buffer()).split() for t in b.column("packed")]
+        doc, row, first, end = _located(b, words, hasher)
+        asked = b.column("wanted").flatten()
+        role, anchor, owner, place, copies = (asked.field(k).to_numpy()[row] for k in ("role", "anchor", "owner", "owner_place", "copies"))
+        # A member goes to one copy of its shard, an owner to all.
+        times = np.where(role == OWNER, copies, 1)
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        doc, first, end, role, anchor, owner, place, copies = (np.repeat(v, times) for v in (doc, first, end, role, anchor, owner, place, copies))
+        salt = np.where(role == MEMBER, (stamps[doc] + ids[doc] % 1009) % copies, nth)
+        k1 = np.where(role == OPEN, anchor, owner)
+        k2 = np.where(role == OPEN, -1, ((place >> 31) * 0x9E3779B1 + ((place & REPEATED) >> BLOCK) * 4096 + salt) & LAST_ID)
+        adds = role != MEMBER
+        order = np.lexsort((end, first, adds, k2, k1, doc))
+        doc, k1, k2, adds, first, end = (v[order] for v in (doc, k1, k2, adds, first, end))
+        new = np.ones(len(doc), bool)
+        new[1:] = np.any([v[1:] != v[:-1] for v in (doc, k1, k2, adds)], axis=0)
+        apart = new.copy()
+        apart[1:] |= first[1:] > end[:-1]  # contexts that meet are one stretch; ends rise with starts
+        at = np.flatnonzero(apart)
+        first, end = first[at], end[np.r_[at[1:] - 1, len(end) - 1]] if len(at) else end
+        texts = pa.array([b" ".join(words[d][s:e]) for d, s, e in zip(doc[at].tolist(), first.tolist(), end.tolist(), strict=True)], pa.binary())
+        heads = np.flatnonzero(new)
+        offsets = pa.array(np.searchsorted(at, np.r_[heads, len(doc)]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(first.astype(np.int32))), pa.ListArray.from_arrays(offsets, texts)]
+        columns = [*(pa.array(v) for v in (k1[heads], k2[heads], ids[doc[heads]], stamps[doc[heads]], adds[heads])), *lists]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PASSAGES.split(", ")])
+
+
+def _windows(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Documents with contexts of anchors that have too many, to single windows (k1, k2, id, stamp, at, words)."""
+    hasher = Hasher(bits)
+    kinds = (*[pa.int64()] * 4, pa.int32(), pa.binary())
+    for b in batches:
+        words = [zlib.decompress(t.as_buffer()).split() for t in b.column("packed")]
+        found, _, first, end = _located(b, words, hasher)
+        out = []
+        for d, (i, stamp) in enumerate(zip(b.column("id").to_pylist(), b.column("stamp").to_pylist(), strict=True)):
+            mine = zip(first[found == d].tolist(), end[found == d].tolist(), strict=True)
+            starts = np.array(sorted({s for f, e in mine for s in range(f, e - WINDOW + 1)}), np.int64)
+            hashes = hasher.words(words[d])
+            twice = (hasher.runs(hasher.sums(hashes, h), starts, starts + WINDOW, h).view(np.int64).tolist() for h in (0, 1))
+            out += [(x, y, i, stamp, s, b" ".join(words[d][s : s + WINDOW])) for s, x, y in zip(starts.tolist(), *twice, strict=True)]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["k1", "k2", "id", "stamp", "at", "words"])
 
 
-def _repeats(words: list[bytes], contexts: set[int], hasher: Hasher) -> dict[int, list[tuple[int, int]]]:
-    """Where contexts that occur more than once stand."""
-    found: dict[int, list[tuple[int, int]]] = {}
-    if contexts:
-        doc = Anchored(words, hasher)
-        for k in np.flatnonzero(np.isin(doc.context, np.fromiter(contexts, np.int64))):
-            found.setdefault(int(doc.context[k]), []).append((int(doc.first[k]), int(doc.end[k])))
-    return found
+def _asked(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Documents (id, stamp, packed) with all that rows (id, place, ...) ask of them."""
+    rest = [c for c in rows.columns if c != "id"]
+    wanted = rows.select("id", F.shiftright("place", 31).alias("stamp"), F.struct(*rest).alias("x")).groupBy("id", "stamp").agg(F.collect_set("x").alias("wanted"))
+    return _packed(docs).select("id", "stamp", "packed").join(wanted, ["id", "stamp"])
 
 
-def _passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with the contexts they must show, to passages, or to single windows of hot anchors."""
-    hasher = Hasher()
-    for b in batches:
-        out = []
-        for i, packed, wanted in zip(*(b.column(c).to_pylist() for c in ("id", "packed", "wanted")), strict=True):
-            data = zlib.decompress(packed)
-            words, stamp = data.split(), _stamp(data)
-            wanted = [w for w in wanted if w["place"] >> 31 == stamp]
-            again = _repeats(words, {w["context"] for w in wanted if w["place"] & REPEATED == REPEATED}, hasher)
-            for w in wanted:
-                context, place = w["context"], w["place"]
-                first, end = again[context][0] if place & REPEATED == REPEATED else _bounds(place, len(words))
-                if w["hot"]:
-                    starts = np.arange(end - first - WINDOW + 1)
-                    hashes = hasher.words(words[first:end])
-                    twice = (hasher.runs(hasher.sums(hashes, h), starts, starts + WINDOW, h).view(np.int64).tolist() for h in (0, 1))
-                    out += [(x, y, i, context, place, j, None) for j, (x, y) in enumerate(zip(*twice, strict=True))]
-                else:
-                    out.append((w["anchor"], 0, i, context, place, -1, b" ".join(words[first:end])))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 7
-        kinds = (*[pa.int64()] * 5, pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["key", "key2", "id", "context", "place", "nth", "passage"])
-
-
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(id, context, place, mask): windows of documents that a document with a smaller id holds too.
-
-    id is doc_id, or LAST_ID for null. context is the hash of an anchor's context in the document, place where its
-    anchor stands; bit j of mask stands for the window that starts at its word j; -1 for all of them.
+def repeated_spans(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """(id, stamp, spans): [first, end) word numbers, flat, of words in windows that a document with a smaller id holds.
+
+    id is doc_id, or LAST_ID for null; stamp tells texts of one id apart. hash_bits is for tests: with few bits hashes collide.
     """
     spark = docs.sparkSession
     n = common.partitions(spark)
-    rows = common.written(_plain(docs).select("id", "text").mapInArrow(_anchor_rows, "anchor long, context long, id long, place long"), "anchors")
+    rows = _plain(docs).select("id", "text").mapInArrow(lambda it: _anchor_rows(it, hash_bits), "anchor long, context long, id long, place long")
+    rows = common.written(rows, "anchors")
     sorted_ = rows.repartitionByRange(n, "anchor", "context", "id").sortWithinPartitions("anchor", "context", "id")
-    judged = common.written(sorted_.mapInArrow(_judge, "anchor long, context long, id long, place long, open int"), "contexts")
-
-    open_ = judged.filter("open = 1")
-    hot = open_.groupBy("anchor").count().filter(F.col("count") > MAX_CONTEXTS).select("anchor", F.lit(True).alias("hot"))
-    marked = open_.join(hot, "anchor", "left").select("id", F.struct("anchor", "context", "place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
-    wanted = marked.groupBy("id").agg(F.collect_list("x").alias("wanted"))
-    shown = _packed(docs).select("id", "packed").join(wanted, "id")
-    passages = common.written(shown.mapInArrow(_passages, "key long, key2 long, id long, context long, place long, nth int, passage binary"), "passages")
-
-    shards = passages.filter("nth < 0").select("key", "id", "context", "place", "passage").repartition(n, "key").sortWithinPartitions("key", "id")
-    by_automata = shards.mapInArrow(_shards, "id long, context long, place long, mask long")
-    windows = passages.filter("nth >= 0").select("key", "key2", "id", "context", "place", "nth")
-    firsts = windows.groupBy("key", "key2").agg(F.min("id").alias("first"))
-    one_by_one = windows.join(firsts, ["key", "key2"]).filter("id > first").select("id", "context", "place", F.expr("shiftleft(1L, nth)").alias("mask"))
-    whole = judged.filter("open = 0").select("id", "context", "place", F.lit(-1).cast("long").alias("mask"))
-    return whole.unionByName(by_automata).unionByName(one_by_one)
+    judged = common.written(sorted_.mapInArrow(_judge, JUDGED), "contexts")
+
+    # Anchors of too many contexts, and stretches of owners with too many members: few, and counted before they are broadcast.
+    open_ = judged.filter(F.col("role") == OPEN)
+    wide = common.written(open_.groupBy("anchor").count().filter(F.col("count") > MAX_CONTEXTS).select("anchor"), "wide-anchors")
+    n_wide = wide.count()
+    wide = common.broadcast_if_small(wide, n_wide, BROADCAST_ROWS)
+    stretch = lambda place: (F.shiftright(place, 31).alias("_stamp"), F.shiftright(F.col(place).bitwiseAND(REPEATED), BLOCK).alias("_block"))
+    load = judged.filter(F.col("role") == MEMBER).groupBy(F.col("owner").alias("_owner"), *stretch("owner_place")).count().filter(F.col("count") > LOAD)
+    busy = common.written(load.select("_owner", "_stamp", "_block", F.ceil(F.col("count") / LOAD).cast("int").alias("_copies")), "busy-owners")
+    n_busy = busy.count()
+    owned = judged.filter(F.col("role") != OPEN)
+    if n_busy:
+        owned = owned.select("*", *stretch("owner_place")).join(common.broadcast_if_small(busy.withColumnRenamed("_owner", "owner"), n_busy, BROADCAST_ROWS), ["owner", "_stamp", "_block"], "left")
+        owned = owned.withColumn("copies", F.coalesce("_copies", F.lit(1))).drop("_stamp", "_block", "_copies")
+    else:
+        owned = owned.withColumn("copies", F.lit(1))
+    narrow = open_.join(wide, "anchor", "left_anti") if n_wide else open_
+    asked = _asked(docs, owned.unionByName(narrow.withColumn("copies", F.lit(1))))
+    passages = asked.mapInArrow(lambda it: _passages(it, hash_bits), PASSAGES)
+    marks = passages.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", "id").mapInArrow(_shards, MARKS)
+    if not n_wide:
+        return marks
+    singles = _asked(docs, open_.join(wide, "anchor", "left_semi").select("id", "place", "context"))
+    windows = common.written(singles.mapInArrow(lambda it: _windows(it, hash_bits), "k1 long, k2 long, id long, stamp long, at int, words binary"), "windows")
+    firsts = windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "words")).alias("first"), F.max("id").alias("last")).filter("last > first.id").select("k1", "k2", "first")
+    meet = windows.join(firsts, ["k1", "k2"]).filter("id > first.id").select("id", "stamp", "at", "words", F.col("first.words").alias("first"))
+    return marks.unionByName(meet.mapInArrow(_single_windows, MARKS))
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher()
     for b in batches:
         out = []
         for doc_id, packed, marks in zip(*(b.column(c).to_pylist() for c in ("doc_id", "packed", "marks")), strict=True):
-            data = zlib.decompress(packed)
-            words, stamp = data.split(), _stamp(data)
-            mine = [(x["context"], x["place"], x["mask"]) for x in marks or () if x["place"] >> 31 == stamp]
-            if not mine:
+            words = zlib.decompress(packed).split()
+            if not marks:
                 out.append((doc_id, len(words), 0, [], b" ".join(words)))
                 continue
-            again = _repeats(words, {context for context, place, _ in mine if place & REPEATED == REPEATED}, hasher)
-            firsts, ends = [], []
-            for context, place, mask in mine:
-                for first, end in again[context] if place & REPEATED == REPEATED else (_bounds(place, len(words)),):
-                    if mask == -1:
-                        firsts.append(first)
-                        ends.append(end)
-                    else:
-                        starts = [first + j for j in range(end - first - WINDOW + 1) if mask >> j & 1]
-                        firsts += starts
-                        ends += [x + WINDOW for x in starts]
-            gone = np.bincount(firsts, minlength=len(words) + 1) - np.bincount(ends, minlength=len(words) + 1)
-            cover = np.cumsum(gone[:-1]) > 0
-            edges = np.flatnonzero(np.diff(np.r_[False, cover, False])).reshape(-1, 2)
-            kept = b" ".join(w for w, c in zip(words, cover.tolist(), strict=True) if not c)
-            out.append((doc_id, len(words), int(cover.sum()), edges.tolist(), kept))
+            gone = _united([(s, e) for spans in marks for s, e in zip(spans[::2], spans[1::2], strict=True)])
+            kept, at = [], 0
+            for s, e in gone:
+                kept += words[at:s]
+                at = e
+            out.append((doc_id, len(words), sum(e - s for s, e in gone), gone, b" ".join(kept + words[at:])))
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
         arrays = [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]
@@ -349,17 +458,18 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "removed", "kept_text"])
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
+def dedup_substrings(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, removed, kept_text.
 
     docs: doc_id, text; other columns are ignored. Words are runs without white space, unchanged. A word goes if some
     WINDOW consecutive words around it also occur in a document with a smaller doc_id, judged on the input. removed
     lists the maximal spans taken out as [first, end) word numbers; kept_text has the other words, joined by spaces.
-    A null text has no words; texts of under WINDOW words stay whole. A null doc_id counts as the largest. Rows
-    that share a doc_id count as one document: they do not remove from each other.
+    A null text has no words; texts of under WINDOW words stay whole; texts may be of any length. A null doc_id counts as
+    the largest (as LAST_ID, which should not be an id). Rows that share a doc_id count as one document: they do not
+    remove from each other, and equal rows lose the same words. An empty table gives no rows.
     """
-    marks = repeated_windows(docs).groupBy("id").agg(F.collect_list(F.struct("context", "place", "mask")).alias("marks"))
-    both = _packed(docs).join(marks, "id", "left").select("doc_id", "packed", "marks")
+    marks = repeated_spans(docs, hash_bits).groupBy("id", "stamp").agg(F.collect_list("spans").alias("marks"))
+    both = _packed(docs).join(marks, ["id", "stamp"], "left").select("doc_id", "packed", "marks")
     return both.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, removed array<array<bigint>>, kept_text string")
 
 

@@ -176,17 +176,46 @@ def substrings_by_hand(rows):
     return out
 
 
-@pytest.mark.parametrize("most", [0, 3, 2000])
-def test_substrings(spark, monkeypatch, most):
-    monkeypatch.setattr(SD, "MAX_CONTEXTS", most)
+def passages_rows():
     rng = random.Random(3)
+    long = " ".join(rng.choices([f"w{k}" for k in range(400)], k=9000))
     rows = [(k // 2 if k % 9 else None, t) for k, t in enumerate(made_up(rng, 80))] + [(90, "on " * 40), (91, "x " + "on " * 30), (92, None), (93, "")]
+    rows += [(94, long), (95, "a b " + long), (96, long[9000:]), (97, "on " * 40 + long[:4000] + " on" * 30)]
+    # Texts of one id, or of none, that share the words before a passage of an earlier document.
+    passage = " ".join(f"p{k}" for k in range(20))
+    return rows + [(98, "q r s " + passage), (None, "x y z " + passage + " one"), (None, "x y z " + passage + " two"), (99, "t u " + passage), (99, "t u " + passage + " more")]
+
+
+@pytest.mark.parametrize(("most", "load"), [(0, 5), (3, 100_000), (2000, 100_000), (2000, 5)])
+def test_substrings(spark, monkeypatch, most, load):
+    monkeypatch.setattr(SD, "MAX_CONTEXTS", most)
+    monkeypatch.setattr(SD, "LOAD", load)
+    rows = passages_rows()
     done = SD.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(repr, [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in done])) == sorted(map(repr, substrings_by_hand(rows)))
     for r in done:
         assert sum(b - a for a, b in r["removed"]) == r["n_removed"]
 
 
+@pytest.mark.parametrize("most", [0, 2000])
+@pytest.mark.parametrize("bits", [3, 8])
+def test_no_hash_alone_removes_words(spark, monkeypatch, most, bits):
+    """With hashes that collide all the time, passages are missed but nothing goes that no earlier document holds."""
+    monkeypatch.setattr(SD, "MAX_CONTEXTS", most)
+    rows = [(k, t) for k, (_, t) in enumerate(passages_rows())]
+    done = {r["doc_id"]: r for r in SD.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), bits).collect()}
+    held, removed = set(), 0
+    for i, t in rows:
+        words = (t or "").split()
+        windows = [tuple(words[s : s + 13]) for s in range(len(words) - 12)]
+        covered = {k for s, w in enumerate(windows) if w in held for k in range(s, s + 13)}
+        gone = {k for a, b in done[i]["removed"] for k in range(a, b)}
+        assert gone <= covered
+        removed += len(gone)
+        held.update(windows)
+    assert removed > 0 or bits == 3
+
+
 def test_substrings_edges(spark, edges):
     assert SD.dedup_substrings(edges).count() == len(ROWS)
     assert SD.dedup_substrings(edges.limit(0)).count() == 0
