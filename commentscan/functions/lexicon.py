@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from commentscan.config import CAPS
 from commentscan.functions import text as T
+from commentscan.functions.capped import capped_adds
 
 # Terms and weights of the base lexicon, in the order of summation, and what a user phrase adds or takes.
 PHRASES = {
@@ -53,14 +54,19 @@ def user_score(text: Column, hate: Column, safe: Column) -> Column:
 
 
 def build_lexicon(labels: DataFrame, cap: int | None = CAPS["phrases"]) -> DataFrame:
-    """labels (seq, text, label: hate or safe) to (polarity, phrase, seq): trimmed, lower case, first one wins, last `cap` kept."""
+    """labels (seq, text, label: hate or safe) to (polarity, phrase, seq): trimmed, lower case, at most `cap` a side.
+
+    A phrase keeps its place while it is there; each label that adds one caps at once, so a phrase that was pushed out and is
+    labelled again goes to the end. Without a cap, the first label of a phrase counts.
+    """
     phrase = F.lower(T.trim_all(F.col("text")))
     known = labels.select(F.col("label").alias("polarity"), phrase.alias("phrase"), "seq").filter("phrase <> '' and polarity in ('hate', 'safe')")
-    distinct = known.groupBy("polarity", "phrase").agg(F.min("seq").alias("seq"))
     if cap is None:
-        return distinct
-    sides = [distinct.filter(F.col("polarity") == side).orderBy(F.desc("seq"), "phrase").limit(cap) for side in ("hate", "safe")]
-    return sides[0].unionByName(sides[1])
+        return known.groupBy("polarity", "phrase").agg(F.min("seq").alias("seq"))
+    adds = known.select(F.col("polarity").alias("side"), "seq", F.sha2("phrase", 256).alias("key"), F.lit("add").alias("change"))
+    held = capped_adds(adds, cap)
+    places = F.broadcast(held.select(F.col("side").alias("polarity"), "seq"))  # cap rows a side
+    return known.join(places, ["polarity", "seq"]).select("polarity", "phrase", "seq")
 
 
 def phrase_arrays(lexicon: DataFrame) -> DataFrame:
@@ -69,9 +75,28 @@ def phrase_arrays(lexicon: DataFrame) -> DataFrame:
     return lexicon.agg(side("hate").alias("hate"), side("safe").alias("safe"))
 
 
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct runs of characters of those lengths in a text."""
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))) for n in sizes]  # noqa: B023
+    return F.array_distinct(F.concat(*runs))
+
+
 def phrase_hits(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(comment_id, n_hate_hits, n_safe_hits) through a join, for lexicons too large for an array."""
+    """(comment_id, n_hate_hits, n_safe_hits), for lexicons too large for an array. comments: comment_id (once each), text.
+
+    Each phrase is looked up by the one of its trigrams that fewest phrases share (itself, if it is shorter), in an equi-join
+    with the comments' trigrams; what is found is verified in the text. Blank phrases never occur.
+    """
     lowered = comments.select("comment_id", F.lower(F.coalesce("text", F.lit(""))).alias("lowered"))
-    found = lowered.join(lexicon.select("polarity", "phrase"), F.contains("lowered", "phrase"))
-    counts = found.groupBy("comment_id").agg(F.count_if(F.col("polarity") == "hate").alias("n_hate_hits"), F.count_if(F.col("polarity") == "safe").alias("n_safe_hits"))
-    return lowered.select("comment_id").join(counts, "comment_id", "left").na.fill(0)
+    phrases = lexicon.select("polarity", "phrase").filter(~F.col("phrase").rlike(r"(?U)^\s*$"))
+    sizes = sorted({r["n"] for r in phrases.select(F.least(F.lit(3), F.char_length("phrase")).alias("n")).distinct().collect()})  # three rows at most
+    if not sizes:
+        return comments.select("comment_id", F.lit(0).cast("long").alias("n_hate_hits"), F.lit(0).cast("long").alias("n_safe_hits"))
+    own = F.when(F.char_length("phrase") >= 3, _grams(F.col("phrase"), [3])).otherwise(F.array("phrase"))
+    each = phrases.select("polarity", "phrase", F.explode(own).alias("gram"))
+    shared = each.groupBy("gram").agg(F.count("*").alias("n"))
+    keyed = each.join(shared, "gram").groupBy("polarity", "phrase").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    found = lowered.select("comment_id", F.explode(_grams(F.col("lowered"), sizes)).alias("gram")).join(keyed, "gram").select("comment_id", "polarity", "phrase")
+    verified = lowered.join(found, "comment_id").filter(F.contains("lowered", "phrase"))
+    counts = verified.groupBy("comment_id").agg(F.count_if(F.col("polarity") == "hate").alias("n_hate_hits"), F.count_if(F.col("polarity") == "safe").alias("n_safe_hits"))
+    return lowered.select("comment_id").join(counts, "comment_id", "left").na.fill(0, ["n_hate_hits", "n_safe_hits"])

@@ -15,7 +15,7 @@ def let(value: Column, body) -> Column:
 
 def trim_all(text: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|(?<!\s)\s+$", "")  # a run inside the text is tried once, not at each of its blanks
 
 
 def blank_to_null(text: Column) -> Column:

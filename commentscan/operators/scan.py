@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +12,9 @@ from commentscan.config import BAND, ScanConfig
 from commentscan.functions import lexicon as L
 from commentscan.functions import text as T
 
+#: Text to a score, or to a struct of score and error (see `guarded`).
 Model = Callable[[Column], Column]
-#: Text to a score, or null for no opinion. The text is null in rows that are not asked, so a Python function skips those.
+#: Text to a score, or null for no opinion, or to such a struct. The text is null in rows that are not asked, so a Python function skips those.
 Opinion = Callable[[Column], Column]
 # The keyword opinion's words and scores.
 OPINION_WORDS, OPINION_YES, OPINION_NO = ("fuck", "kill", "hate"), 0.85, 0.15
@@ -29,15 +31,38 @@ def borderline(score: Column, threshold: float) -> Column:
 
 
 def keyword_label(text: Column) -> Column:
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    found = F.lit(False)
-    for word in OPINION_WORDS:
-        found = found | lowered.contains(word)
-    return F.when(found, "hate").otherwise("not_hate")
+    return F.when(T.let(F.lower(text), lambda t: F.exists(F.array(*map(F.lit, OPINION_WORDS)), lambda w: F.contains(t, w))), "hate").otherwise("not_hate")
 
 
 def keyword_opinion(text: Column) -> Column:
-    return F.when(text.isNull(), None).when(keyword_label(text) == "hate", L.single(OPINION_YES)).otherwise(L.single(OPINION_NO))
+    said = F.when(keyword_label(text) == "hate", L.single(OPINION_YES)).otherwise(L.single(OPINION_NO))
+    return F.when(text.isNotNull(), said)
+
+
+def guarded(score: Callable[[str], float]) -> Model:
+    """A Python function from a text to a score as a model or opinion; what it raises fails its own row only."""
+
+    @F.pandas_udf("score float, error string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        def one(text):
+            try:
+                return (None if text is None else float(score(text))), None
+            except Exception as e:  # whatever a plugged-in function raises
+                return None, str(e) or type(e).__name__
+
+        return pd.DataFrame([one(t) for t in texts], columns=["score", "error"]).astype({"score": "float32", "error": object})
+
+    return run
+
+
+def _asked_of(df: DataFrame, answer: Column) -> DataFrame:
+    """df with _score, and with error filled where the answer has one."""
+    both = df.withColumn("_answer", answer)
+    if both.schema["_answer"].dataType.typeName() == "struct":
+        both = both.withColumn("error", F.coalesce("error", "_answer.error")).withColumn("_score", F.col("_answer.score"))
+    else:
+        both = both.withColumn("_score", F.col("_answer"))
+    return both.drop("_answer")
 
 
 def parse_opinion(json: Column) -> Column:
@@ -48,12 +73,14 @@ def parse_opinion(json: Column) -> Column:
 
 
 def with_rule_scores(comments: DataFrame, phrases: DataFrame, model: Model = no_model) -> DataFrame:
-    """comments with hate_hits, safe_hits and score, the larger of lexicon and model. phrases: the one row of phrase_arrays."""
+    """comments with hate_hits, safe_hits, error (of the model, else null) and score, the larger of lexicon and model. phrases: the one row of phrase_arrays."""
     both = comments.crossJoin(F.broadcast(phrases))  # one row
     text = F.col("text")
     found = both.select(*comments.columns, L.hits(text, F.col("hate")).alias("hate_hits"), L.hits(text, F.col("safe")).alias("safe_hits"))
-    rules = L.score_with_hits(text, F.col("hate_hits"), F.col("safe_hits"))
-    return found.withColumn("score", F.greatest(rules, T.clamp(F.coalesce(model(text), L.single(0)), 0, 1)))
+    ruled = found.withColumn("error", F.lit(None).cast("string")).withColumn("score", L.score_with_hits(text, F.col("hate_hits"), F.col("safe_hits")))
+    if model is no_model:
+        return ruled
+    return _asked_of(ruled, model(text)).withColumn("score", F.greatest("score", T.clamp(F.coalesce("_score", L.single(0)), 0, 1))).drop("_score")
 
 
 def with_second_opinion(scored: DataFrame, config: ScanConfig, opinion: Opinion | None) -> DataFrame:
@@ -62,28 +89,31 @@ def with_second_opinion(scored: DataFrame, config: ScanConfig, opinion: Opinion
     marked = scored.withColumn("asked", borderline(F.col("score"), config.threshold) & F.lit(on))
     if not on:
         return marked
-    said = marked.withColumn("_said", opinion(F.when(F.col("asked"), F.col("text"))))
-    raised = F.greatest("score", F.coalesce(T.clamp(F.col("_said"), 0, 1), L.single(0)))
-    return said.withColumn("score", F.when(F.col("asked"), raised).otherwise(F.col("score"))).drop("_said")
+    said = _asked_of(marked, opinion(F.when(F.col("asked"), F.col("text"))))
+    raised = F.greatest("score", F.coalesce(T.clamp(F.col("_score"), 0, 1), L.single(0)))
+    return said.withColumn("score", F.when(F.col("asked"), raised).otherwise(F.col("score"))).drop("_score")
 
 
 def with_decision(scored: DataFrame, threshold: float) -> DataFrame:
-    """Adds override and flagged: a hate phrase flags, else a safe phrase clears, else the threshold decides. No score: not flagged."""
+    """Adds override and flagged: a hate phrase flags, else a safe phrase clears, else the threshold decides. No score, or an error: not flagged."""
     override = F.when(F.size("hate_hits") > 0, "hate").when(F.size("safe_hits") > 0, "safe")
     flagged = F.when(override == "hate", True).when(override == "safe", False).otherwise(F.coalesce(F.col("score") >= L.single(threshold), F.lit(False)))
-    return scored.withColumn("override", override).withColumn("flagged", flagged)
+    return scored.withColumn("override", override).withColumn("flagged", flagged & F.col("error").isNull())
 
 
 def decide(comments: DataFrame, phrases: DataFrame, config: ScanConfig | None = None, model: Model | None = None, opinion: Opinion | None = None) -> DataFrame:
-    """comments (comment_id, text, ...) with score, asked, override and flagged."""
+    """comments (comment_id, text, ...) with score, asked, error, override and flagged."""
     config = (config or ScanConfig()).clamped()
     scored = with_rule_scores(comments, phrases, model if model and config.use_model else no_model)
     return with_decision(with_second_opinion(scored, config, opinion), config.threshold)
 
 
 def decision_log(decisions: DataFrame) -> DataFrame:
-    line = F.concat(F.lit("scan: score="), T.two_places(F.col("score")), F.lit(" flagged="), F.col("flagged").cast("string"), F.lit(" "), T.preview(F.col("text")))
-    return decisions.withColumn("line", line)
+    """decisions with line, what the log says of each: the decision, or the error that kept it from being made."""
+    note = F.when(F.col("override").isNotNull(), F.concat(F.lit(" override="), F.col("override"))).otherwise("")
+    shown = F.concat(F.lit(" text='"), T.preview(F.coalesce("text", F.lit(""))), F.lit("'"))
+    line = F.concat(F.lit("scan:decision score="), T.two_places(F.col("score")), F.lit(" flagged="), F.col("flagged").cast("string"), note, shown)
+    return decisions.withColumn("line", F.when(F.col("error").isNull(), line).otherwise(F.concat(F.lit("scan:error "), "error")))
 
 
 def quick_check(comments: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -94,11 +124,29 @@ def quick_check(comments: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def not_known(found: DataFrame, *known: DataFrame) -> DataFrame:
-    """Rows of `found` whose text no known table holds, repeats kept. Stored texts have separators blanked, so both sides are."""
-    for table in known:
-        texts = table.select(T.without_separators(F.col("text")).alias("_key")).distinct()
-        found = found.withColumn("_key", T.without_separators(F.col("text"))).join(texts, "_key", "left_anti").drop("_key")
-    return found
+    """Rows of `found` whose text no known table holds, repeats kept. Stored texts have separators blanked, so both sides are.
+
+    Texts meet by a 256-bit hash, in one join over all known tables, so that no text is moved to be compared.
+    """
+    if not known:
+        return found
+    key = F.sha2(T.without_separators(F.col("text")), 256).alias("_key")
+    texts = known[0].select(key)
+    for table in known[1:]:
+        texts = texts.unionByName(table.select(key))
+    return found.withColumn("_key", key).join(texts.distinct(), "_key", "left_anti").drop("_key")
+
+
+def with_fresh(decisions: DataFrame, *known: DataFrame) -> DataFrame:
+    """decisions with fresh: flagged, and not held by a known table. One join, to which rows that are not flagged bring keys
+    of their own, so that none of them meet in one task."""
+    key = lambda text: F.sha2(T.without_separators(text), 256)
+    texts = known[0].select(key(F.col("text")).alias("_key"))
+    for table in known[1:]:
+        texts = texts.unionByName(table.select(key(F.col("text")).alias("_key")))
+    mine = F.when(F.col("flagged") & F.col("text").isNotNull(), key(F.col("text"))).otherwise(F.concat(F.lit("row "), F.col("comment_id").cast("string")))
+    both = decisions.withColumn("_key", mine).join(texts.distinct().withColumn("_held", F.lit(True)), "_key", "left")
+    return both.withColumn("fresh", F.col("flagged") & F.col("_held").isNull()).drop("_key", "_held")
 
 
 def scan_stats(decisions: DataFrame, *by: str) -> DataFrame:

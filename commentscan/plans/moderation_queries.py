@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from commentscan.config import CAPS
+from commentscan.config import CAPS, ScanConfig
+from commentscan.functions import lexicon as L
 from commentscan.functions import text as T
+from commentscan.operators import scan as S
 from commentscan.operators import state as M
-from commentscan.plans.scan_queries import DECIDED, LABELLED, decided, documents, labelled, phrase_row
+from commentscan.operators.scan import keyword_opinion
+from commentscan.plans.scan_queries import DECIDED, KNOWN, LABELLED, OPINED, decided, documents, known_tables, labelled, phrase_row
+from commentscan.sources import comments as C
+from commentscan.sources.logs import CappedLog
 from commentscan.sources.scratch import scratch
 from commentscan.sources.tables import table
 from commentscan.streaming import scan_stream as R
@@ -44,8 +49,57 @@ STATE = f"""SELECT user_id::VARCHAR AS item_id, CASE acc // 1000000000000 WHEN 1
   CASE WHEN acc >= 1000000000000 THEN acc % 1000000000000 ELSE -1 END AS since FROM ({FOLDED})"""
 
 
+def full_actions(spark, sf_dir):
+    """The events as a log with every action: errors delete or correct, sign-ups report or label, some events clear a table."""
+    seq, kind = F.col("event_id"), F.col("event_type")
+    action = F.when(seq % 97 == 0, "clear_flagged").when(seq % 101 == 0, "clear_hidden").when(kind == "view", "flag").when(kind == "click", "hide").when(kind == "purchase", "unhide")
+    action = action.when(kind == "error", F.when(seq % 2 == 0, "delete").otherwise("correct"))
+    action = action.when(kind == "signup", F.when(seq % 3 == 0, "report").when(seq % 3 == 1, "label_hate").otherwise("label_safe"))
+    named = table(spark, sf_dir, "events").withColumn("action", action).withColumn("user", F.col("user_id").cast("string"))
+    item = F.when(~F.col("action").startswith("clear"), F.col("user"))
+    return named.select(seq.alias("seq"), item.alias("item_id"), "action", F.when(seq % 5 == 0, "  ").otherwise(F.col("user")).alias("text"))
+
+
+def moderation_clears(spark, sf_dir):
+    """The state of each item where corrections and global clears come in between."""
+    return settled(M.moderation_state(full_actions(spark, sf_dir)))
+
+
 def action_metrics(spark, sf_dir):
-    return M.action_metrics(actions(spark, sf_dir))
+    """What the log did: moves count where they changed something."""
+    return M.action_metrics(full_actions(spark, sf_dir))
+
+
+#: One step at a time over each user's actions and all clears.
+WALK = """WITH RECURSIVE acts AS (
+  SELECT event_id AS seq, user_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'x' END AS says,
+    CASE WHEN event_id % 97 = 0 THEN 'clear_flagged' WHEN event_id % 101 = 0 THEN 'clear_hidden' WHEN event_type = 'view' THEN 'flag' WHEN event_type = 'click' THEN 'hide'
+         WHEN event_type = 'purchase' THEN 'unhide' WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'delete' ELSE 'correct' END
+         WHEN event_type = 'signup' THEN CASE event_id % 3 WHEN 0 THEN 'report' WHEN 1 THEN 'label_hate' ELSE 'label_safe' END END AS action
+  FROM events
+), moves AS (
+  SELECT seq, user_id, says, action FROM acts WHERE action IN ('flag', 'hide', 'unhide', 'delete', 'correct')
+), users AS (
+  SELECT DISTINCT user_id FROM moves
+), steps AS (
+  SELECT user_id, seq, says, action, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k
+  FROM (SELECT user_id, seq, says, action FROM moves UNION ALL SELECT u.user_id, a.seq, a.says, a.action FROM users u CROSS JOIN acts a WHERE a.action LIKE 'clear%')
+), fold AS (
+  SELECT user_id, 0::BIGINT AS k, 'none' AS state, -1::BIGINT AS since, 0 AS hid, 0 AS del, 0 AS cor, 0 AS saf FROM users
+  UNION ALL
+  SELECT f.user_id, s.k,
+    CASE WHEN s.action = 'flag' AND state = 'none' THEN 'flagged' WHEN s.action = 'hide' AND state = 'flagged' THEN 'hidden' WHEN s.action = 'unhide' AND state = 'hidden' THEN 'flagged'
+         WHEN s.action = 'delete' OR s.action = 'correct' AND state = 'flagged' OR s.action = 'clear_flagged' AND state = 'flagged' OR s.action = 'clear_hidden' AND state = 'hidden' THEN 'none'
+         ELSE state END,
+    CASE WHEN s.action = 'flag' AND state = 'none' OR s.action = 'hide' AND state = 'flagged' OR s.action = 'unhide' AND state = 'hidden' THEN s.seq ELSE since END,
+    hid + (s.action = 'hide' AND state = 'flagged')::INT, del + (s.action = 'delete' AND state <> 'none')::INT, cor + (s.action = 'correct' AND state = 'flagged')::INT,
+    saf + (s.action = 'correct' AND state = 'flagged' AND s.says <> '')::INT
+  FROM fold f JOIN steps s ON s.user_id = f.user_id AND s.k = f.k + 1
+), done AS (
+  SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1
+)"""
+METRICS = """SELECT sum(cor)::BIGINT AS false_positives, sum(hid)::BIGINT AS hidden, sum(del)::BIGINT AS deleted, (SELECT count(*) FROM acts WHERE action = 'report') AS reported,
+  (SELECT count(*) FROM acts WHERE action = 'label_hate' AND says <> '') AS trained_hate, (SELECT count(*) FROM acts WHERE action = 'label_safe' AND says <> '') + sum(saf)::BIGINT AS trained_safe FROM done"""
 
 
 def flagged_log(spark, sf_dir):
@@ -60,8 +114,65 @@ def keep_last_per_source(spark, sf_dir):
     return M.keep_last(documents(spark, sf_dir).withColumnRenamed("comment_id", "seq"), 5, by="source").select("source", "seq")
 
 
+def new_flag_log(spark, sf_dir):
+    """What a scan enqueues: flags that no table holds yet; and, after it, comments that someone flags by hand."""
+    fresh = S.not_known(decided(spark, sf_dir).filter("flagged"), *known_tables(spark, sf_dir)).select("text", F.col("comment_id").alias("seq"))
+    by_hand = documents(spark, sf_dir).filter("comment_id % 50 = 0").select("text", (F.col("comment_id") + 10**9).alias("seq"))
+    return fresh.unionByName(by_hand)
+
+
 def training_queue(spark, sf_dir):
-    return M.training_queue(flagged_log(spark, sf_dir), labelled(spark, sf_dir)).select("seq", F.md5("text").alias("text_md5"))
+    """A queue of 60, without what is labelled."""
+    return M.training_queue(new_flag_log(spark, sf_dir), labelled(spark, sf_dir), 60).select("seq", F.md5("text").alias("text_md5"))
+
+
+ENQUEUED = f"""SELECT comment_id AS seq, text FROM ({DECIDED}) WHERE flagged AND text NOT IN ({KNOWN})
+  UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 50 = 0"""
+
+
+def scanned(spark, sf_dir):
+    """The documents as scans of fifty."""
+    numbered = documents(spark, sf_dir).select((F.col("comment_id") + 1).alias("seq"), "text")
+    return C.scan_batches(numbered).withColumnRenamed("batch_id", "scan_id")
+
+
+def last_comments(spark, sf_dir):
+    """What the last scan leaves, and what is left of it once a person clears the table after it."""
+    rows = scanned(spark, sf_dir)
+    clears = spark.range(1).select(F.lit(-1).cast("long").alias("scan_id"))
+    kept = M.last_comments(rows, clears, 20).withColumn("cleared", F.lit(False))
+    gone = M.last_comments(rows, rows.select("scan_id"), 20).withColumn("cleared", F.lit(True))
+    return kept.unionByName(gone).select("seq", "cleared", F.md5("text").alias("text_md5"))
+
+
+def review_view(spark, sf_dir):
+    """Both views of the review: flagged items with their source, and all of the last scan, without."""
+    flagged = decided(spark, sf_dir).filter("flagged").select(F.col("comment_id").alias("seq"), "text", F.concat(F.lit("https://h/"), "source").alias("source_url"))
+    views = [M.review(flagged, M.last_comments(scanned(spark, sf_dir)), everything).withColumn("everything", F.lit(everything)) for everything in (False, True)]
+    return views[0].unionByName(views[1]).select("everything", "seq", "source_url", F.md5("text").alias("text_md5"))
+
+
+def append_then_cap(spark, sf_dir):
+    """Flags appended in three batches, one of them twice, to a table that holds 50; what it holds in the end."""
+    log = CappedLog(spark, scratch(spark, "flagged-log"), "seq long, text string", 50)
+    flags = flagged_log(spark, sf_dir).select("seq", "text")
+    for batch in (0, 1, 2, 1):
+        log.append(flags.filter(F.col("seq") % 3 == batch), batch)
+    return log.compact(scratch(spark, "flagged-log")).read().select("seq", F.md5("text").alias("text_md5"))
+
+
+def lexicon_capped(spark, sf_dir):
+    """Users as phrases, labelled again and again, in a lexicon of twenty a side: who is pushed out comes back at the end."""
+    label = F.when(F.col("event_type").isin("view", "click"), "hate").otherwise("safe")
+    labels = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit(" User "), F.col("user_id")).alias("text"), label.alias("label"))
+    return L.build_lexicon(labels, 20)
+
+
+#: A list of entries (key * 10^9 + seq): an add of a key that is there changes nothing, else it goes to the end and the oldest leaves; a remove (10^18 more) takes it out.
+FIFO = """list_reduce(list_prepend([]::BIGINT[], list([code] ORDER BY seq)), lambda acc, x:
+    CASE WHEN x[1] >= 1000000000000000000 THEN list_filter(acc, lambda e: e // 1000000000 <> (x[1] - 1000000000000000000) // 1000000000)
+         WHEN len(list_filter(acc, lambda e: e // 1000000000 = x[1] // 1000000000)) > 0 THEN acc
+         ELSE list_concat(acc, x)[-{cap}:] END)"""
 
 
 def id_map(spark, sf_dir):
@@ -166,6 +277,17 @@ def stream_scan(spark, sf_dir):
     return R.read_table(spark, f"{out}/flagged", R.FLAGGED).select(F.md5("text").alias("text_md5")).distinct()
 
 
+def stream_stats(spark, sf_dir):
+    """The statistics that the streamed scan writes, over its batches."""
+    out = scratch(spark, "stream-stats")
+    schema = table(spark, sf_dir, "documents").schema
+    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
+    comments = docs.select(F.col("doc_id").cast("string").alias("comment_id"), "text", F.lit(None).cast("string").alias("source_url"))
+    config = ScanConfig(use_opinion=True)
+    R.start_scan(comments, out, f"{out}/_state", lambda: phrase_row(spark), config, once=True, opinion=keyword_opinion).awaitTermination()
+    return R.read_table(spark, f"{out}/stats", R.STATS).agg(*(F.sum(c).alias(c) for c in ("total", "flagged", "asked", "errors", "new_flags")))
+
+
 def stream_moderation(spark, sf_dir):
     """The moderation log as a stream; the state after the last batch."""
     out = scratch(spark, "stream-moderation")
@@ -177,21 +299,39 @@ def stream_moderation(spark, sf_dir):
     return settled(R.latest_state(spark, out))
 
 
-COUNTED = "count(*) FILTER (event_type = '{}')"
 FLAGGED = f"SELECT comment_id AS seq, text FROM ({DECIDED}) WHERE flagged"
 LINE = "CASE event_type WHEN 'view' THEN 'scan:' WHEN 'click' THEN 'provider:' ELSE 'other:' END || event_type || ' ' || event_id"
 
 QUERIES = {
     "moderation_state": (moderation_state, STATE),
-    "action_metrics": (
-        action_metrics,
-        f"SELECT 0::BIGINT AS false_positives, {COUNTED.format('click')} AS hidden, {COUNTED.format('error')} AS deleted, {COUNTED.format('signup')} AS reported, 0::BIGINT AS trained_hate, 0::BIGINT AS trained_safe FROM events",
-    ),
+    "moderation_clears": (moderation_clears, f"{WALK} SELECT user_id::VARCHAR AS item_id, state, CASE WHEN state = 'none' THEN -1 ELSE since END AS since FROM done"),
+    "action_metrics": (action_metrics, f"{WALK} {METRICS}"),
     "keep_last_flagged": (keep_last_flagged, f"SELECT seq FROM ({FLAGGED}) ORDER BY seq DESC LIMIT 500"),
     "keep_last_per_source": (keep_last_per_source, "SELECT source, doc_id AS seq FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 5"),
     "training_queue": (
         training_queue,
-        f"SELECT seq, md5(text) AS text_md5 FROM ({FLAGGED}) WHERE text NOT IN (SELECT text FROM ({LABELLED})) ORDER BY seq DESC LIMIT 200",
+        f"SELECT seq, md5(text) AS text_md5 FROM (SELECT * FROM ({ENQUEUED}) ORDER BY seq DESC LIMIT 60) WHERE text NOT IN (SELECT text FROM ({LABELLED}))",
+    ),
+    "last_comments": (
+        last_comments,
+        "SELECT doc_id + 1 AS seq, false AS cleared, md5(text) AS text_md5 FROM documents WHERE doc_id // 50 = (SELECT max(doc_id) // 50 FROM documents) ORDER BY doc_id DESC LIMIT 20",
+    ),
+    "review_view": (
+        review_view,
+        f"""SELECT false AS everything, comment_id AS seq, 'https://h/' || source AS source_url, md5(text) AS text_md5 FROM ({DECIDED}) WHERE flagged
+            UNION ALL SELECT true, doc_id + 1, NULL, md5(text) FROM documents WHERE doc_id // 50 = (SELECT max(doc_id) // 50 FROM documents)""",
+    ),
+    "append_then_cap": (append_then_cap, f"SELECT seq, md5(text) AS text_md5 FROM ({FLAGGED}) ORDER BY seq DESC LIMIT 50"),
+    "lexicon_capped": (
+        lexicon_capped,
+        f"""SELECT polarity, 'user ' || (e // 1000000000) AS phrase, e % 1000000000 AS seq FROM (
+             SELECT polarity, unnest({FIFO.format(cap=20)}) AS e
+             FROM (SELECT CASE WHEN event_type IN ('view', 'click') THEN 'hate' ELSE 'safe' END AS polarity, event_id AS seq, (user_id * 1000000000 + event_id)::BIGINT AS code FROM events)
+             GROUP BY polarity)""",
+    ),
+    "stream_stats": (
+        stream_stats,
+        f"""SELECT count(*) AS total, count(*) FILTER (flagged) AS flagged, count(*) FILTER (borderline) AS asked, 0::BIGINT AS errors, count(*) FILTER (flagged) AS new_flags FROM ({OPINED})""",
     ),
     "comment_id_upsert": (
         comment_id_upsert,
@@ -221,9 +361,10 @@ QUERIES = {
     ),
     "maintain_urls": (
         maintain_urls,
-        """SELECT url, min(seq) AS seq FROM (
-             SELECT 'https://h/' || user_id AS url, event_id AS seq, max(event_id) FILTER (event_type = 'error') OVER (PARTITION BY user_id) AS removed, event_type FROM events)
-           WHERE event_type = 'view' AND seq > coalesce(removed, -1) GROUP BY url ORDER BY seq DESC LIMIT 100""",
+        f"""SELECT 'https://h/' || (e // 1000000000) AS url, e % 1000000000 AS seq FROM (
+             SELECT unnest({FIFO.format(cap=100)}) AS e
+             FROM (SELECT event_id AS seq, (user_id * 1000000000 + event_id + CASE event_type WHEN 'error' THEN 1000000000000000000 ELSE 0 END)::BIGINT AS code
+                   FROM events WHERE event_type IN ('view', 'error')))""",
     ),
     "stream_scan": (stream_scan, f"SELECT DISTINCT md5(text) AS text_md5 FROM ({FLAGGED})"),
     "stream_moderation": (stream_moderation, STATE),

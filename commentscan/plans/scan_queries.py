@@ -100,8 +100,8 @@ def quick_check(spark, sf_dir):
 
 
 def phrase_hits(spark, sf_dir):
-    """Hits of the words of the base lexicon as user phrases, through a join."""
-    words = [(w, "hate" if k % 2 else "safe", k) for k, w in enumerate(L.WORDS)]
+    """Hits of the words of the base lexicon as user phrases, through a join; blank phrases hit nothing, short ones do."""
+    words = [(w, "hate" if k % 2 else "safe", k) for k, w in enumerate(L.WORDS)] + [(" ", "hate", 98), ("", "safe", 99), ("q", "hate", 100), ("zu", "safe", 101)]
     return L.phrase_hits(documents(spark, sf_dir), spark.createDataFrame(words, "phrase string, polarity string, seq long"))
 
 
@@ -154,8 +154,7 @@ def new_flags(spark, sf_dir):
 
 
 def decision_log(spark, sf_dir):
-    done = S.decision_log(decided(spark, sf_dir))
-    return done.select("comment_id", T.two_places(F.col("score")).alias("shown"), "flagged", T.preview(F.col("text")).alias("preview"))
+    return S.decision_log(decided(spark, sf_dir)).select("comment_id", "line")
 
 
 def union_distinct_comments(spark, sf_dir):
@@ -168,8 +167,8 @@ def union_distinct_comments(spark, sf_dir):
 def scan(spark, sf_dir):
     """The whole scan: totals, flags before and after the known tables, opinions asked."""
     done = decided(spark, sf_dir, ScanConfig(use_opinion=True), opinion=S.keyword_opinion)
-    fresh = S.not_known(done.filter("flagged"), *known_tables(spark, sf_dir)).groupBy("source").agg(F.count("*").alias("new_flags"))
-    return S.scan_stats(done, "source").join(fresh, "source", "left").na.fill(0)
+    counts = F.count("*").alias("total"), *(F.count_if(c).alias(n) for c, n in (("flagged", "flagged"), ("asked", "asked"), ("fresh", "new_flags")))
+    return S.with_fresh(done, *known_tables(spark, sf_dir)).groupBy("source").agg(*counts)
 
 
 def fault_tolerance(spark, sf_dir):
@@ -178,6 +177,19 @@ def fault_tolerance(spark, sf_dir):
     return S.decide(holes, phrase_row(spark)).groupBy("source").agg(F.count("*").alias("total"), F.count_if("flagged").alias("flagged"))
 
 
+def brittle(text: str) -> float:
+    """Stands for a model that fails on some texts."""
+    if len(text) % 7 == 0:
+        raise ValueError("no answer")
+    return min(len(text), 512) / 512
+
+
+def row_errors(spark, sf_dir):
+    """A model that raises on some rows: those are not flagged and say why, the others are decided as ever."""
+    done = decided(spark, sf_dir, ScanConfig(use_model=True), model=S.guarded(brittle))
+    return done.groupBy("source").agg(F.count("*").alias("total"), F.count_if("flagged").alias("flagged"), F.count_if(F.col("error") == "no answer").alias("errors"))
+
+
 FINAL = f"""SELECT *, CASE WHEN borderline THEN greatest(score, {OPINION}) ELSE score END AS final FROM ({DECIDED})"""
 OPINED = f"""SELECT * EXCLUDE (flagged), CASE WHEN n_hate > 0 THEN true WHEN n_safe > 0 THEN false ELSE final >= 0.8::REAL END AS flagged FROM ({FINAL})"""
 FEATURE = "(least(length(text), 512) / 512.0)::REAL"
@@ -192,7 +204,7 @@ QUERIES = {
     "quick_check": (quick_check, f"SELECT comment_id, round(score::DOUBLE, 2) AS score, CASE WHEN score >= 0.8::REAL THEN 'Harmful' ELSE 'Okay' END AS verdict FROM ({SCORED})"),
     "phrase_hits": (
         phrase_hits,
-        f"SELECT doc_id AS comment_id, ({hit_sql(list(L.WORDS)[1::2])})::BIGINT AS n_hate_hits, ({hit_sql(list(L.WORDS)[::2])})::BIGINT AS n_safe_hits FROM documents",
+        f"SELECT doc_id AS comment_id, ({hit_sql([*list(L.WORDS)[1::2], 'q'])})::BIGINT AS n_hate_hits, ({hit_sql([*list(L.WORDS)[::2], 'zu'])})::BIGINT AS n_safe_hits FROM documents",
     ),
     "borderline_rows": (borderline_rows, f"SELECT comment_id FROM ({DECIDED}) WHERE borderline"),
     "second_opinion": (second_opinion, f"SELECT comment_id, borderline AS asked, round(final::DOUBLE, 2) AS score, flagged FROM ({OPINED})"),
@@ -209,7 +221,11 @@ QUERIES = {
             FROM ({SCORED}) GROUP BY source""",
     ),
     "new_flags": (new_flags, f"SELECT comment_id FROM ({DECIDED}) WHERE flagged AND text NOT IN ({KNOWN})"),
-    "decision_log": (decision_log, f"SELECT comment_id, format('{{:.2f}}', score::DOUBLE) AS shown, flagged, substr(text, 1, 40) AS preview FROM ({DECIDED})"),
+    "decision_log": (
+        decision_log,
+        f"""SELECT comment_id, 'scan:decision score=' || format('{{:.2f}}', score::DOUBLE) || ' flagged=' || CASE WHEN flagged THEN 'true' ELSE 'false' END
+            || CASE override WHEN 'hate' THEN ' override=hate' WHEN 'safe' THEN ' override=safe' ELSE '' END || ' text=' || chr(39) || substr(text, 1, 40) || chr(39) AS line FROM ({DECIDED})""",
+    ),
     "union_distinct_comments": (
         union_distinct_comments,
         "SELECT md5(text) AS text_md5, min(seq) AS seq FROM (SELECT text, doc_id AS seq FROM documents UNION ALL SELECT text, 1000000000 + conv_id * 1000 + turn FROM conversations) GROUP BY text",
@@ -223,4 +239,10 @@ QUERIES = {
         fault_tolerance,
         f"SELECT source, count(*) AS total, count(*) FILTER (flagged AND source <> 'src0') AS flagged FROM ({DECIDED}) GROUP BY source",
     ),
+    "row_errors": (
+        row_errors,
+        f"""SELECT source, count(*) AS total, count(*) FILTER (length(text) % 7 = 0) AS errors,
+            count(*) FILTER (length(text) % 7 <> 0 AND CASE WHEN n_hate > 0 THEN true WHEN n_safe > 0 THEN false ELSE greatest(score, {FEATURE}) >= 0.8::REAL END) AS flagged
+            FROM ({SCORED}) GROUP BY source""",
+    ),
 }

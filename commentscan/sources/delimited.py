@@ -26,11 +26,3 @@ def read_delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def with_legacy(current: DataFrame, legacy: DataFrame) -> DataFrame:
     """The current table, or the text-only one of old if that is empty."""
     return legacy.select("text", F.lit(None).cast("string").alias("source_url"), "seq") if current.isEmpty() else current
-
-
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
-def replace(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)

@@ -1,12 +1,41 @@
-"""Where a query may write for itself: under the folder that driver and executors share."""
+"""Where intermediate tables go: under the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from contextlib import suppress
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder. A local one stands in only where driver and executors are one process, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file:///tmp/checkpoints"
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may be gone by then
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path; what is written there goes when the Python process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def scratch_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written as Parquet and read back, so that what follows starts from files that outlive executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,12 +6,14 @@ under the batch id, and a batch that runs again after a failure replaces what it
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from commentscan.config import ScanConfig
+from commentscan.config import CAPS, ScanConfig
+from commentscan.functions import text as T
 from commentscan.operators import scan as S
 from commentscan.operators import state as M
 
@@ -32,18 +34,42 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 FLAGGED = "comment_id string, text string, source_url string, score float"
-STATS = "total long, flagged long, asked long, new_flags long"
+STATS = "total long, flagged long, asked long, errors long, new_flags long"
+LAST = "comment_id string, text string"
 
 
-def scan_batch(batch: DataFrame, batch_id: int, out: str, phrases: LexiconReader, config: ScanConfig, model=None, opinion=None) -> None:
-    """Scan one batch of comments (comment_id, text, source_url) into the tables under `out`."""
+def flagged_or_hidden(spark: SparkSession, out: str, before: int) -> DataFrame:
+    """Texts that earlier batches flagged and that no one has deleted, corrected or cleared since.
+
+    The moderation stream keeps the states in the same folder; a comment without one is as it was flagged.
+    """
+    flags = read_table(spark, f"{out}/flagged", FLAGGED).filter(F.col("batch_id") < before)
+    gone = latest_state(spark, out).filter("state = 'none'").select(F.col("item_id").alias("comment_id"))
+    return flags.join(gone, "comment_id", "left_anti")
+
+
+def scan_batch(batch: DataFrame, batch_id: int, out: str, phrases: LexiconReader, config: ScanConfig, model=None, opinion=None) -> dict[str, int]:
+    """Scan one batch of comments (comment_id, text, source_url) into the tables under `out`; returns its statistics.
+
+    They are observed while the flags are written, so decisions are made once.
+    """
     spark = batch.sparkSession
-    decisions = S.decide(batch, phrases(), config, model, opinion)
-    before = lambda name: read_table(spark, f"{out}/{name}", FLAGGED).filter(F.col("batch_id") != batch_id)
-    fresh = S.not_known(decisions.filter("flagged"), before("flagged"), before("hidden")).select("comment_id", "text", "source_url", "score")
-    _write_batch(fresh, f"{out}/flagged", batch_id)
-    new = spark.read.parquet(f"{out}/flagged/batch_id={batch_id}").agg(F.count("*").alias("new_flags"))
-    _write_batch(S.scan_stats(decisions).crossJoin(new), f"{out}/stats", batch_id)
+    seen, new = Observation(f"scan-{uuid.uuid4().hex}"), Observation(f"new-{uuid.uuid4().hex}")
+    counts = F.count("*").alias("total"), F.count_if("flagged").alias("flagged"), F.count_if("asked").alias("asked"), F.count("error").alias("errors")
+    decisions = S.decide(batch, phrases(), config, model, opinion).observe(seen, *counts)
+    fresh = S.not_known(decisions.filter("flagged"), flagged_or_hidden(spark, out, batch_id)).select("comment_id", "text", "source_url", "score")
+    _write_batch(fresh.observe(new, F.count("*").alias("new_flags")), f"{out}/flagged", batch_id)
+    stats = {**seen.get, **new.get}
+    _write_batch(spark.createDataFrame([stats], STATS), f"{out}/stats", batch_id)
+    last = batch.select("comment_id", T.without_separators(F.col("text"), both=False).alias("text")).orderBy(F.desc("comment_id")).limit(CAPS["last_comments"])
+    last.write.mode("overwrite").parquet(f"{out}/last/batch_id={batch_id}")
+    return stats
+
+
+def last_comments(spark: SparkSession, out: str) -> DataFrame:
+    """The comments of the last batch, at most as many as the table holds."""
+    table = read_table(spark, f"{out}/last", LAST)
+    return table.join(F.broadcast(table.agg(F.max("batch_id").alias("batch_id"))), "batch_id").drop("batch_id")  # one row
 
 
 def start_scan(comments: DataFrame, out: str, checkpoint: str, phrases: LexiconReader, config: ScanConfig | None = None, once: bool = False, model=None, opinion=None):
@@ -55,21 +81,52 @@ def start_scan(comments: DataFrame, out: str, checkpoint: str, phrases: LexiconR
 
 
 ACTIONS = "seq long, item_id string, action string"
+STATE = "item_id string, state int, since long, at long"
+#: Every so many batches the states of all items are written anew, so that a batch reads few files.
+SNAPSHOT = 50
 
 
-def start_moderation(actions: DataFrame, out: str, checkpoint: str, once: bool = False):
-    """Append the action log batch by batch and keep out/state, the fold of all of it, per batch."""
+def _ended(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """(item_id, state, since, at) of all items after the batches before that one: the last snapshot, and what changed since."""
+    earlier = F.lit(True) if before is None else F.col("batch_id") < before
+    full = read_table(spark, f"{out}/snapshot", STATE).filter(earlier)
+    last = full.agg(F.max("batch_id")).first()[0]
+    changed = read_table(spark, f"{out}/state", STATE).filter(earlier)
+    if last is not None:
+        changed = changed.filter(F.col("batch_id") > last).unionByName(full.filter(F.col("batch_id") == last))
+    latest = changed.groupBy("item_id").agg(F.max_by(F.struct("state", "since", "at"), "batch_id").alias("x"))
+    return latest.select("item_id", "x.*")
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch.select("seq", "item_id", "action"), f"{out}/actions", batch_id)
-        log = read_table(batch.sparkSession, f"{out}/actions", ACTIONS)
-        _write_batch(M.moderation_state(log), f"{out}/state", batch_id)
 
+def moderate_batch(batch: DataFrame, batch_id: int, out: str) -> None:
+    """Fold one batch of actions (seq, item_id, action) onto the states of the items that it touches.
+
+    Actions must come in order of seq from batch to batch. Clears are a small table of their own, applied where states are read.
+    """
+    spark = batch.sparkSession
+    clears = M.last_clears(batch)
+    _write_batch(clears, f"{out}/clears", batch_id)
+    done = M.folded(batch)
+    # A batch knows its own clears only; those of earlier batches count for what an item was before it.
+    known = read_table(spark, f"{out}/clears", CLEARS).filter(F.col("batch_id") < batch_id).agg(F.max("cleared_flagged").alias("_f"), F.max("cleared_hidden").alias("_h"))
+    done = done.crossJoin(F.broadcast(known))  # one row
+    done = done.withColumn("cleared_flagged", F.greatest("cleared_flagged", F.coalesce("_f", F.lit(-1)))).withColumn("cleared_hidden", F.greatest("cleared_hidden", F.coalesce("_h", F.lit(-1))))
+    _write_batch(M.onto(_ended(spark, out, batch_id), done.drop("_f", "_h")), f"{out}/state", batch_id)
+    if batch_id % SNAPSHOT == SNAPSHOT - 1:
+        _write_batch(_ended(spark, out, batch_id + 1), f"{out}/snapshot", batch_id)
+
+
+CLEARS = "cleared_flagged long, cleared_hidden long"
+
+
+def start_moderation(actions: DataFrame, out: str, checkpoint: str, once: bool = False):
+    """Keep the states of items under `out`, batch by batch of the action log; a batch that runs again replaces what it wrote."""
     trigger = {"availableNow": True} if once else {"processingTime": "1 minute"}
+    run = lambda batch, batch_id: moderate_batch(batch, batch_id, out)
     return actions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def latest_state(spark: SparkSession, out: str) -> DataFrame:
-    state = read_table(spark, f"{out}/state", "item_id string, state string, since long")
-    last = state.agg(F.max("batch_id").alias("batch_id"))
-    return state.join(F.broadcast(last), "batch_id").drop("batch_id")  # one row
+    """(item_id, state, since) after all batches."""
+    clears = read_table(spark, f"{out}/clears", CLEARS).agg(*(F.coalesce(F.max(n), F.lit(-1)).alias(n) for n in ("cleared_flagged", "cleared_hidden")))
+    return M.named_states(_ended(spark, out), clears)

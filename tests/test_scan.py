@@ -9,6 +9,7 @@ from commentscan.functions import lexicon as L
 from commentscan.operators import scan as S
 from commentscan.plans.scan_queries import phrase_row
 
+# The sample comments and the phrase that the scan must handle.
 SAMPLES = ["Great post!", "This is awful", "I disagree", "Please be kind", "Usual suspects", "I hate you", "AFD", "88"]
 GOLDEN = [
     ("Great post!", 0.0, False, False), ("This is awful", 0.5, False, False), ("I hate you", 0.7, False, True), ("fuck you", 0.9, True, True),
@@ -102,10 +103,46 @@ def test_lexicon_keeps_first_place_and_last_phrases(spark):
     rows = [(1, " AWFUL ", "hate"), (2, "awful", "hate"), (3, "  ", "hate"), (4, "ok", "safe"), (5, "x", "hate"), (6, "awful", "hate")]
     labels = spark.createDataFrame(rows, "seq long, text string, label string")
     assert {(r["polarity"], r["phrase"], r["seq"]) for r in L.build_lexicon(labels).collect()} == {("hate", "awful", 1), ("hate", "x", 5), ("safe", "ok", 4)}
-    assert {r["phrase"] for r in L.build_lexicon(labels, cap=1).collect()} == {"x", "ok"}
+    assert {r["phrase"] for r in L.build_lexicon(labels, cap=1).collect()} == {"awful", "ok"}  # pushed out by x, then added again
+    log = spark.createDataFrame([(k, t, "hate") for k, t in enumerate("abca")], "seq long, text string, label string")
+    assert {(r["phrase"], r["seq"]) for r in L.build_lexicon(log, cap=2).collect()} == {("c", 2), ("a", 3)}
     arrays = L.phrase_arrays(L.build_lexicon(labels)).first()
     assert arrays["hate"] == ["awful", "x"] and arrays["safe"] == ["ok"]
 
 
 def test_config_is_clamped():
     assert ScanConfig(threshold=0.2, max_per_url=9999, interval_minutes=1).clamped() == ScanConfig(threshold=0.5, max_per_url=5000, interval_minutes=15)
+
+
+def test_blank_and_short_phrases_in_the_join(spark):
+    lexicon = spark.createDataFrame([("hate", p) for p in (" ", "", "a", "ab", "abc", "abcd", "xyz")] + [("safe", "c")], "polarity string, phrase string")
+    got = {r["comment_id"]: (r["n_hate_hits"], r["n_safe_hits"]) for r in L.phrase_hits(comments(spark, ["ABCD", "", None, "ab", "a b c"]), lexicon).collect()}
+    assert got == {0: (4, 1), 1: (0, 0), 2: (0, 0), 3: (2, 0), 4: (1, 1)}
+    assert {r["n_hate_hits"] for r in L.phrase_hits(comments(spark, ["x", None]), lexicon.limit(0)).collect()} == {0}
+
+
+def test_failing_rows_are_not_flagged_and_say_why(spark):
+    def model(text):
+        if "bad" in text:
+            raise ValueError("cannot read")
+        return 0.9
+
+    for more in ({"model": S.guarded(model), "config": ScanConfig(use_model=True)}, {"opinion": S.guarded(model), "config": ScanConfig(use_opinion=True)}):
+        rows = decided(spark, ["you people bad", "you people", "fuck you bad"], hate=("bad",), **more)
+        failed = rows["you people bad"]
+        assert (failed["flagged"], failed["error"]) == ((False, "cannot read") if "model" in more else (True, None))
+        assert rows["you people"]["flagged"] and rows["you people"]["error"] is None
+    df = S.decide(comments(spark, ["bad", "trash pal", "fine'"]), phrase_row(spark, (), ("pal",)), ScanConfig(use_model=True), S.guarded(model))
+    lines = {r["text"]: r["line"] for r in S.decision_log(df).collect()}
+    assert lines["bad"] == "scan:error cannot read"
+    assert lines["trash pal"] == "scan:decision score=0.90 flagged=false override=safe text='trash pal'"
+    assert lines["fine'"] == "scan:decision score=0.90 flagged=true text='fine''"
+
+
+def test_trim_is_linear_in_inner_blanks(spark):
+    import time
+
+    began = time.time()
+    df = spark.createDataFrame([("\u00a0 a" + " " * 1_000_000 + "b \t\n",), (" " * 1_000_000,), ("",)], "t string").select(L.T.trim_all(F.col("t")).alias("t"))
+    assert sorted(len(r["t"]) for r in df.collect()) == [0, 0, 1_000_002]
+    assert time.time() - began < 20
