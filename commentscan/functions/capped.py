@@ -29,8 +29,9 @@ def _replay(cap: int):
                 held.pop(key, None)
             else:
                 held.clear()
-        n = len(held)
-        return pd.DataFrame({"side": [rows["side"].iloc[0]] * n, "stretch": [int(rows["stretch"].iloc[0])] * n, "seq": list(held.values()), "key": list(held)})
+        side, stretch = str(rows["side"].iloc[0]), int(rows["stretch"].iloc[0])
+        columns = {"side": [side] * len(held), "stretch": [stretch] * len(held), "seq": list(held.values()), "key": list(held)}
+        return pd.DataFrame({name: pd.Series(values, dtype=object if name in ("side", "key") else "int64") for name, values in columns.items()})
 
     return run
 
