@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-from contextlib import suppress
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commentscan.sources.scratch import remove, scratch
 from commentscan.sources.tables import spread, table  # noqa: F401
 
 #: The white space of all word and line rules here: space and U+0009 to U+000D.
@@ -16,32 +13,21 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file:///tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with suppress(Exception):  # the session may be gone by then
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: later stages start from files that outlive executors.
 
-    The files go when the Python process ends.
+    The files go when the Python process ends, or with `drop`.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.scratch_path = path
+    return read
+
+
+def drop(table: DataFrame) -> None:
+    """Remove a written table that nothing will read again."""
+    remove(table.sparkSession, table.scratch_path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -40,8 +40,9 @@ def components(links: DataFrame) -> DataFrame:
     now = common.written(links.select("u", "v").filter("u <> v").distinct(), "links")
     state = _state(now)
     while state[0]:
-        now = common.written(_small(_large(now)), "links")
+        before, now = now, common.written(_small(_large(now)), "links")
         was, state = state, _state(now)
+        common.drop(before)
         if was == state:
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -39,7 +39,7 @@ SPAN = WINDOW + AROUND - 1
 MAX_CONTEXTS = 2_000
 #: log2 of the words of an owner that one automaton holds; contexts that a copy of a shard matches, about; and shards with
 #: copies, or anchors of too many contexts, that are broadcast (past it Spark joins them by shuffle).
-BLOCK, LOAD, BROADCAST_ROWS = 12, 100_000, 200_000
+BLOCK, LOAD, BROADCAST_ROWS = 12, 20_000, 200_000
 MEMO = 400_000
 LAST_ID = 2**63 - 1
 
@@ -129,8 +129,9 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.Re
 
 
 #: What a row of step 1 asks of its document: to be matched against its owner, to be in its own shard's reference, or both
-#: for the shard of its anchor.
-MEMBER, OWNER, OPEN = 0, 1, 2
+#: for the shard of its anchor, which may have too many contexts. Numbers that a role has no use for are 0.
+MEMBER, OWNER, OPEN, WIDE = 0, 1, 2, 3
+WIDE_KEY = -2
 JUDGED = "role int, id long, place long, context long, anchor long, owner long, owner_place long"
 
 
@@ -144,7 +145,9 @@ def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting = None  # the last open candidate, and whether it is open already
 
     def batch(role: int, rows: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
-        columns = [rows[:, 2], rows[:, 3], rows[:, 1], rows[:, 0], owners[:, 0], owners[:, 1]]
+        none = np.zeros(len(rows), np.int64)
+        context = np.where(rows[:, 3] & REPEATED == REPEATED, rows[:, 1], 0)
+        columns = [rows[:, 2], rows[:, 3], context, rows[:, 0] if role == OPEN else none, *((owners[:, 0], owners[:, 1]) if role == MEMBER else (none, none))]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), role, np.int32)), *map(pa.array, columns)], ["role", "id", "place", "context", "anchor", "owner", "owner_place"])
 
     for part in batches:
@@ -162,7 +165,7 @@ def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owned = np.unique(which[later], return_index=True)[1]
         heads = rows[later][owned].copy()
         heads[:, 2:] = firsts[later][owned]
-        yield batch(OWNER, heads, firsts[later][owned])
+        yield batch(OWNER, heads, heads)
         at = np.flatnonzero(~later)
         if len(at):
             owners, mark = rows[at], np.zeros(len(at), bool)
@@ -174,11 +177,11 @@ def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mark[1:] |= same
             mark[:-1] |= same
             done = owners[:-1][mark[:-1]]
-            yield batch(OPEN, done, done[:, 2:])
+            yield batch(OPEN, done, done)
             waiting = (owners[-1], mark[-1])
         held = (a[-1], c[-1], *firsts[-1].tolist())
     if waiting is not None:
-        yield batch(OPEN, waiting[0][None], waiting[0][None, 2:])  # and end inside one
+        yield batch(OPEN, waiting[0][None], waiting[0][None])  # and end inside one
 
 
 class SuffixAutomaton:
@@ -251,6 +254,7 @@ def _marks(out: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
 
 MARKS = "id long, stamp long, spans array<int>"
 PASSAGES = "k1 long, k2 long, id long, stamp long, adds boolean, firsts array<int>, texts array<binary>"
+WINDOWS = "k1 long, k2 long, id long, stamp long, at int, words binary"
 
 
 def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,8 +357,9 @@ def _passages(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
         nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         doc, first, end, role, anchor, owner, place, copies = (np.repeat(v, times) for v in (doc, first, end, role, anchor, owner, place, copies))
         salt = np.where(role == MEMBER, (stamps[doc] + ids[doc] % 1009) % copies, nth)
-        k1 = np.where(role == OPEN, anchor, owner)
-        k2 = np.where(role == OPEN, -1, ((place >> 31) * 0x9E3779B1 + ((place & REPEATED) >> BLOCK) * 4096 + salt) & LAST_ID)
+        owner, place = np.where(role == OWNER, ids[doc], owner), np.where(role == OWNER, asked.field("place").to_numpy()[row][np.repeat(np.arange(len(times)), times)], place)
+        k1 = np.where(role == OPEN, anchor, np.where(role == WIDE, 0, owner))
+        k2 = np.where(role == WIDE, WIDE_KEY, np.where(role == OPEN, -1, ((place >> 31) * 0x9E3779B1 + ((place & REPEATED) >> BLOCK) * 4096 + salt) & LAST_ID))
         adds = role != MEMBER
         order = np.lexsort((end, first, adds, k2, k1, doc))
         doc, k1, k2, adds, first, end = (v[order] for v in (doc, k1, k2, adds, first, end))
@@ -373,21 +378,20 @@ def _passages(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
 
 
 def _windows(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Documents with contexts of anchors that have too many, to single windows (k1, k2, id, stamp, at, words)."""
+    """Rows of PASSAGES of anchors that have too many contexts, to rows of WINDOWS."""
     hasher = Hasher(bits)
     kinds = (*[pa.int64()] * 4, pa.int32(), pa.binary())
     for b in batches:
-        words = [zlib.decompress(t.as_buffer()).split() for t in b.column("packed")]
-        found, _, first, end = _located(b, words, hasher)
         out = []
-        for d, (i, stamp) in enumerate(zip(b.column("id").to_pylist(), b.column("stamp").to_pylist(), strict=True)):
-            mine = zip(first[found == d].tolist(), end[found == d].tolist(), strict=True)
-            starts = np.array(sorted({s for f, e in mine for s in range(f, e - WINDOW + 1)}), np.int64)
-            hashes = hasher.words(words[d])
-            twice = (hasher.runs(hasher.sums(hashes, h), starts, starts + WINDOW, h).view(np.int64).tolist() for h in (0, 1))
-            out += [(x, y, i, stamp, s, b" ".join(words[d][s : s + WINDOW])) for s, x, y in zip(starts.tolist(), *twice, strict=True)]
+        for i, stamp, firsts, texts in zip(*(b.column(c).to_pylist() for c in ("id", "stamp", "firsts", "texts")), strict=True):
+            for first, text in zip(firsts, texts, strict=True):
+                words = text.split()
+                starts = np.arange(len(words) - WINDOW + 1)
+                hashes = hasher.words(words)
+                twice = (hasher.runs(hasher.sums(hashes, h), starts, starts + WINDOW, h).view(np.int64).tolist() for h in (0, 1))
+                out += [(x, y, i, stamp, first + s, b" ".join(words[s : s + WINDOW])) for s, x, y in zip(starts.tolist(), *twice, strict=True)]
         columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["k1", "k2", "id", "stamp", "at", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in WINDOWS.split(", ")])
 
 
 def _asked(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -408,6 +412,7 @@ def repeated_spans(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     rows = common.written(rows, "anchors")
     sorted_ = rows.repartitionByRange(n, "anchor", "context", "id").sortWithinPartitions("anchor", "context", "id")
     judged = common.written(sorted_.mapInArrow(_judge, JUDGED), "contexts")
+    common.drop(rows)
 
     # Anchors of too many contexts, and stretches of owners with too many members: few, and counted before they are broadcast.
     open_ = judged.filter(F.col("role") == OPEN)
@@ -420,18 +425,24 @@ def repeated_spans(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     n_busy = busy.count()
     owned = judged.filter(F.col("role") != OPEN)
     if n_busy:
-        owned = owned.select("*", *stretch("owner_place")).join(common.broadcast_if_small(busy.withColumnRenamed("_owner", "owner"), n_busy, BROADCAST_ROWS), ["owner", "_stamp", "_block"], "left")
-        owned = owned.withColumn("copies", F.coalesce("_copies", F.lit(1))).drop("_stamp", "_block", "_copies")
+        is_owner = F.col("role") == OWNER
+        keyed = owned.select("*", F.when(is_owner, F.col("id")).otherwise(F.col("owner")).alias("_owner"), F.when(is_owner, F.col("place")).otherwise(F.col("owner_place")).alias("_place"))
+        keyed = keyed.select("*", *stretch("_place")).join(common.broadcast_if_small(busy, n_busy, BROADCAST_ROWS), ["_owner", "_stamp", "_block"], "left")
+        owned = keyed.withColumn("copies", F.coalesce("_copies", F.lit(1))).select(*judged.columns, "copies")
     else:
         owned = owned.withColumn("copies", F.lit(1))
-    narrow = open_.join(wide, "anchor", "left_anti") if n_wide else open_
-    asked = _asked(docs, owned.unionByName(narrow.withColumn("copies", F.lit(1))))
+    if n_wide:
+        open_ = open_.join(wide.withColumn("_wide", F.lit(True)), "anchor", "left").withColumn("role", F.when(F.col("_wide"), WIDE).otherwise(OPEN)).select(*judged.columns)
+    asked = _asked(docs, owned.unionByName(open_.withColumn("copies", F.lit(1))))
     passages = asked.mapInArrow(lambda it: _passages(it, hash_bits), PASSAGES)
-    marks = passages.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", "id").mapInArrow(_shards, MARKS)
+    if n_wide:
+        passages = common.written(passages, "passages")
+    shards = passages.filter(F.col("k2") != WIDE_KEY) if n_wide else passages
+    marks = shards.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", "id").mapInArrow(_shards, MARKS)
     if not n_wide:
         return marks
-    singles = _asked(docs, open_.join(wide, "anchor", "left_semi").select("id", "place", "context"))
-    windows = common.written(singles.mapInArrow(lambda it: _windows(it, hash_bits), "k1 long, k2 long, id long, stamp long, at int, words binary"), "windows")
+    windows = passages.filter(F.col("k2") == WIDE_KEY).mapInArrow(lambda it: _windows(it, hash_bits), WINDOWS)
+    windows = common.written(windows, "windows")
     firsts = windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "words")).alias("first"), F.max("id").alias("last")).filter("last > first.id").select("k1", "k2", "first")
     meet = windows.join(firsts, ["k1", "k2"]).filter("id > first.id").select("id", "stamp", "at", "words", F.col("first.words").alias("first"))
     return marks.unionByName(meet.mapInArrow(_single_windows, MARKS))
