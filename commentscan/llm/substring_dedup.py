@@ -40,7 +40,8 @@ MAX_CONTEXTS = 2_000
 #: log2 of the words of an owner that one automaton holds; contexts that a copy of a shard matches, about; and shards with
 #: copies, or anchors of too many contexts, that are broadcast (past it Spark joins them by shuffle).
 BLOCK, LOAD, BROADCAST_ROWS = 12, 20_000, 200_000
-MEMO = 400_000
+#: Words that a process remembers, and bytes of texts that it splits at a time.
+MEMO, HELD = 200_000, 1 << 20
 LAST_ID = 2**63 - 1
 
 _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -114,7 +115,7 @@ def _stamp(data: bytes) -> int:
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     hasher = Hasher(bits)
-    for batch in batches:
+    for batch in _slices(batches):
         found = []
         for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
             data = text.as_buffer().to_pybytes()
@@ -261,7 +262,7 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of PASSAGES, sorted by shard and id, to marks. What rows with `adds` say joins the automaton for later ids."""
     key = last = automaton = None
     fresh: list[list[bytes]] = []
-    for batch in batches:
+    for batch in _slices(batches):
         out = []
         for k1, k2, i, stamp, adds, firsts, texts in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
             if (k1, k2) != key:
@@ -314,7 +315,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 def _located(b: pa.RecordBatch, words: list[list[bytes]], hasher: Hasher) -> tuple[np.ndarray, ...]:
     """(doc, row, first, end): where each wanted context stands in its document. Repeated ones are looked for again."""
     wanted = b.column("wanted")
-    doc = np.repeat(np.arange(len(b)), np.diff(wanted.offsets.to_numpy()))
+    doc = np.repeat(np.arange(len(b)), np.diff(wanted.offsets.to_numpy()))  # of a slice too: flatten starts where it does
     rows, row = wanted.flatten(), np.arange(len(doc))
     at = rows.field("place").to_numpy() & REPEATED
     again = np.flatnonzero(at == REPEATED)
@@ -343,10 +344,17 @@ def _united(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to HELD bytes or so, a row at least."""
+    for b in batches:
+        rows = max(1, int(len(b) * HELD / max(1, b.nbytes)))
+        yield from (b.slice(at, rows) for at in range(0, len(b), rows))
+
+
 def _passages(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Documents with what they are asked for, to rows of PASSAGES: of each shard all that it needs of a document."""
     hasher = Hasher(bits)
-    for b in batches:
+    for b in _slices(batches):
         ids, stamps = b.column("id").to_numpy(), b.column("stamp").to_numpy()
         words = [zlib.decompress(t.as_buffer()).split() for t in b.column("packed")]
         doc, row, first, end = _located(b, words, hasher)
@@ -449,7 +457,7 @@ def repeated_spans(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _slices(batches):
         out = []
         for doc_id, packed, marks in zip(*(b.column(c).to_pylist() for c in ("doc_id", "packed", "marks")), strict=True):
             words = zlib.decompress(packed).split()
