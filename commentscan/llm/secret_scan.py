@@ -3,7 +3,7 @@
 From each rule's regular expression follows a Boolean trigram query: what any match must contain, in lower case. The
 index holds, for each trigram that some query asks for, the documents with it, in blocks of document ids. Queries
 intersect and unite those postings; only the candidates' texts are searched for the rule. A rule that must contain no
-trigram is searched for in every text.
+trigram is searched for in every text. Texts stay where they are read: what joins are ids, hashes and spans.
 """
 
 from __future__ import annotations
@@ -37,7 +37,15 @@ RULES = {
     "web_token": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     "url_login": (r"[a-z]+://[A-Za-z0-9._-]+:[^\x20\x09-\x0D/:@]+@", 0, 0),
 }
+#: Patterns with the same long enough matches that look at a long run of letters once, not at each of them. The parts of
+#: RULES are what queries derive from, and what SQL without lookbehind can run.
+QUICK = {"hex": r"(?<![0-9a-f])[0-9a-f]{24,}", "url_login": r"(?<![a-z])" + RULES["url_login"][0]}
 BASE = ("assign", "access", "hex")
+#: Candidates that are broadcast; past it Spark joins by shuffle, with a filter on the larger side.
+BROADCAST_ROWS = 200_000
+#: Matches whose places are added up at a time.
+STEP = 256
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 #: Document ids in a block of postings, at most.
 BLOCK = 4096
 MAX_EXACT = 16
@@ -106,25 +114,14 @@ def vocabulary(queries: dict[str, Query]) -> list[str]:
     return sorted({t for q in queries.values() for clause in q for option in clause for t in option})
 
 
-def _lookahead(trigrams: list[str]) -> str:
-    """Finds, at each place, the trigram of the list that starts there."""
-    rest: dict[str, dict[str, list[str]]] = {}
-    for t in trigrams:
-        rest.setdefault(t[0], {}).setdefault(t[1], []).append(t[2])
-    quote = lambda c: re.escape(c) if not c.isalnum() else c
-    tails = lambda b: "|".join(f"{quote(k)}[{''.join(map(quote, sorted(v)))}]" for k, v in sorted(b.items()))
-    firsts = "|".join(f"{quote(a)}(?:{tails(b)})" for a, b in sorted(rest.items()))
-    return f"(?=({firsts}))"
-
-
 def _id(docs: DataFrame) -> Column:
     return F.coalesce(docs["doc_id"], F.lit(-(2**63))).cast("long")
 
 
 def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """(block, trigram, ids): documents that hold a trigram, by blocks of at most BLOCK document ids."""
-    text = common.ascii_lower(common.text_or_empty(docs))
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_lookahead(trigrams)), 1))
+    lowered = common.ascii_lower(common.text_or_empty(docs))
+    found = common.let(lowered, lambda text: F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(text, t)))
     postings = docs.select(_id(docs).alias("id"), F.explode(found).alias("trigram")).withColumn("block", F.expr(f"floor(id / {BLOCK})"))
     return postings.groupBy("block", "trigram").agg(F.collect_set("id").alias("ids"))
 
@@ -152,19 +149,34 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return each.groupBy("id").agg(F.collect_set("rule").alias("rules"))
 
 
+def _starts(lengths: Column) -> Column:
+    """Where matches start, from the lengths of the gap before each and of the match: sums in two steps, so that the work
+    does not grow with the square of their number."""
+
+    def sums(parts: Column, length) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("befores"))
+        return F.aggregate(parts, start, lambda acc, p: F.struct((acc["at"] + length(p)).alias("at"), F.concat(acc["befores"], F.array(acc["at"])).alias("befores")))
+
+    firsts = F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(STEP))
+    blocks = F.transform(firsts, lambda k: sums(F.slice(lengths, k + 1, STEP), lambda p: p["gap"] + p["long"]))
+
+    def whole(b: Column) -> Column:
+        return F.flatten(F.zip_with(b, sums(b, lambda x: x["at"])["befores"], lambda x, at: F.transform(x["befores"], lambda v: v + at)))
+
+    return F.zip_with(common.let(blocks, whole), lengths, lambda at, p: at + p["gap"])
+
+
 def spans_of(text: Column, rule: str) -> Column:
     """Spans (start, rank, end, kind) of a rule's leftmost non-overlapping matches that are long enough, in code points.
 
     What split leaves between the matches gives their places.
     """
     pattern, group, least = RULES[rule]
-    empty = "cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)"
+    pattern = QUICK.get(rule, pattern)
 
     def placed(x: Column) -> Column:
         lengths = F.transform(F.arrays_zip(x["gaps"], x["all"]), lambda p: F.struct(F.char_length(p["gaps"]).alias("gap"), F.coalesce(F.char_length(p["all"]), F.lit(0)).alias("long")))
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
-        at = F.aggregate(lengths, start, lambda acc, p: F.struct((acc["at"] + p["gap"] + p["long"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + p["gap"])).alias("starts")))["starts"]
-        each = F.transform(F.arrays_zip(at.alias("at"), x["all"].alias("all"), x["sized"].alias("sized")), lambda p: p)
+        each = F.arrays_zip(common.let(lengths, _starts).alias("at"), x["all"].alias("all"), x["sized"].alias("sized"))
         good = F.filter(each, lambda p: F.char_length(p["sized"]) >= least)
         return F.transform(
             good,
@@ -178,8 +190,7 @@ def spans_of(text: Column, rule: str) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), 0).alias("all"),
         F.regexp_extract_all(text, F.lit(pattern), group).alias("sized"),
     )
-    needs = pattern if rule != "hex" else f"[0-9a-f]{{{least}}}"
-    return F.when(text.rlike(needs), common.let(found, placed)).otherwise(F.expr(empty))
+    return F.when(text.rlike(pattern), common.let(found, placed)).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
 
 def joined(spans: Column) -> Column:
@@ -187,23 +198,29 @@ def joined(spans: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[str, ...] = tuple(RULES)) -> DataFrame:
-    """One row per row of docs: doc_id, text and spans, an array of (start, rank, end, kind) sorted by start and rank.
+    """One row per row of docs: doc_id, text_key and spans, an array of (start, rank, end, kind) sorted by start and rank.
 
-    docs: doc_id, text; other columns are ignored. Spans count code points, the end excluded. Each rule's matches are
-    its leftmost non-overlapping ones; those too short are dropped, not retried. Null and empty texts have no spans.
-    Null and repeated ids are searched like others: the index may then name more candidates, never fewer.
+    docs: doc_id, text; other columns are ignored. text_key is the hash of the text, null ones being empty. Spans count code
+    points, the end excluded. Each rule's matches are its leftmost non-overlapping ones; those too short are dropped, not
+    retried. Null and empty texts have no spans; texts may be of any length. Null and repeated ids are searched like
+    others: the index may then name more candidates, never fewer. Repeated rows get equal spans; an empty table gives none.
     """
     queries = {r: trigram_query(RULES[r][0]) for r in rules}
     words = vocabulary(queries)
     text = common.text_or_empty(docs)
-    mine = docs.select(docs["doc_id"].alias("doc_id"), _id(docs).alias("id"), text.alias("text"))
-    if words:
-        mine = mine.join(candidates(trigram_index(docs, words), queries), "id", "left")
-    else:
-        mine = mine.withColumn("rules", F.expr("cast(null as array<string>)"))
-    nothing = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
-    per_rule = [F.when(F.array_contains("rules", r), spans_of(F.col("text"), r)).otherwise(nothing) if queries[r] else spans_of(F.col("text"), r) for r in rules]
-    return mine.select("doc_id", "text", F.array_sort(F.concat(*per_rule)).alias("spans"))
+    mine = docs.select(docs["doc_id"].alias("doc_id"), _id(docs).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    nothing = F.expr(f"cast(array() as {SPANS})")
+    everywhere = F.concat(nothing, *(spans_of(F.col("text"), r) for r in rules if not queries[r]))
+    base = mine.select("doc_id", "id", "text_key", everywhere.alias("base"))
+    if not words:
+        return base.select("doc_id", "text_key", F.array_sort("base").alias("spans"))
+    named = common.written(candidates(trigram_index(docs, words), queries), "candidates")
+    named = common.broadcast_if_small(named, named.count(), BROADCAST_ROWS)
+    per_rule = [F.when(F.array_contains("rules", r), spans_of(F.col("text"), r)).otherwise(nothing) for r in rules if queries[r]]
+    verified = mine.join(named, "id").select("id", "text_key", F.concat(*per_rule).alias("more")).filter(F.size("more") > 0)
+    once = verified.groupBy("id", "text_key").agg(F.first("more").alias("more"))
+    both = base.join(once, ["id", "text_key"], "left")
+    return both.select("doc_id", "text_key", F.array_sort(F.concat("base", F.coalesce("more", nothing))).alias("spans"))
 
 
 def op3_secret_scan(spark, sf_dir):
