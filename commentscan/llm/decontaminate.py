@@ -1,10 +1,11 @@
 """Benchmark decontamination: short test items inside long documents, by MinHash containment search.
 
 A MinHash of a whole document says nothing about a short item inside it, so the search is one-sided. Items are
-partitioned by size, and each gets a bottom-m sketch: the m smallest hashes of its shingles. m follows from the size
-partition so that a document that contains the threshold's share of the item has one of the m at least; nothing is
-lost. Documents keep only hashes up to the largest sketch value, look them up, and are counted exactly, on the shingle
-texts, where one is found. A document too small for an item's threshold is never paired with it.
+partitioned by size, and each gets a bottom-m sketch: the m smallest hashes of its shingles, m being the number of
+which a document that contains the threshold's share of the item must have one; nothing is lost. Sizes with one m are a
+partition, with its own ceiling, the largest hash of its sketches. Of a document's hashes only those are looked up that
+lie below the ceiling of some partition whose items can fit in it, and whose bit is set in a bitmap of all sketches. Where
+one is found, shingles are counted exactly, as texts.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from . import common
 
 WORDS = 5
 CONTAINMENT = 0.8
-#: Sketch and shingle rows of the benchmark that may be broadcast; past it Spark joins by shuffle.
+#: Sketch, candidate and shingle rows that may be broadcast; past it Spark joins by shuffle and splits hot shingles.
 BROADCAST_ROWS = 500_000
+#: log2 of the bits of the bitmap of sketches, and partitions that have a ceiling of their own (larger ones share the last).
+BITS, CEILINGS = 18, 64
 
 
 def words_of(text: Column) -> Column:
@@ -29,7 +32,7 @@ def words_of(text: Column) -> Column:
 
 
 def _each_shingle(words: Column, make) -> Column:
-    """make(five words) for each shingle; null for fewer than five words."""
+    """make(five elements) for each run of five; null for fewer."""
 
     def made(w: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(w) - WORDS)
@@ -39,7 +42,8 @@ def _each_shingle(words: Column, make) -> Column:
 
 
 def shingle_hashes(words: Column) -> Column:
-    return _each_shingle(words, lambda w: F.xxhash64(*w))
+    """Words are hashed once, and shingles by the hashes of their words."""
+    return _each_shingle(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.xxhash64(*h))
 
 
 def shingle_texts(words: Column) -> Column:
@@ -47,11 +51,27 @@ def shingle_texts(words: Column) -> Column:
 
 
 def item_sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """items: item_id, words. Returns (h, item_id, n_shingles), the bottom-m sketch of each item."""
-    hashed = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("words")))).alias("hashes")).withColumn("n", F.size("hashes"))
-    largest = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1  # in the item's size partition
-    m = (largest - F.ceil(largest * containment - 1e-9) + 1).cast("int")
-    return hashed.filter("n > 0").select(F.explode(F.slice("hashes", 1, m)).alias("h"), "item_id", F.col("n").alias("n_shingles"))
+    """items: item_key, words. Returns (h, item_key, n_shingles, part), the bottom-m sketch of each item; part is m."""
+    hashed = items.select("item_key", F.array_sort(F.array_distinct(shingle_hashes(F.col("words")))).alias("hashes")).withColumn("n", F.size("hashes"))
+    m = (F.col("n") - F.ceil(F.col("n") * containment - 1e-9) + 1).cast("int")
+    return hashed.filter("n > 0").select(F.explode(F.slice("hashes", 1, m)).alias("h"), "item_key", F.col("n").alias("n_shingles"), m.alias("part"))
+
+
+def _low_hashes(sketches: DataFrame, hashes: Column, n_words: Column, containment: float) -> Column:
+    """Those of a document's hashes that may be in a sketch of an item that fits in it."""
+    parts = sketches.groupBy(F.least("part", F.lit(CEILINGS)).alias("part")).agg(F.min("n_shingles").alias("least"), F.max("h").alias("ceiling"))
+    own = [(r["least"], r["ceiling"]) for r in parts.orderBy("part").collect()]  # CEILINGS rows at most
+    ceiling = F.lit(-(2**63)).cast("long")
+    for least, top in own:
+        ceiling = F.greatest(ceiling, F.when(n_words - (WORDS - 1) >= least * containment - 1e-9, F.lit(top)))
+    slot = lambda h: h.bitwiseAND((1 << BITS) - 1)
+    words = sketches.groupBy(F.shiftright(slot(F.col("h")), 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    bitmap = [0] * (1 << (BITS - 6))
+    for r in words.collect():  # a row for each word of the bitmap
+        bitmap[r["at"]] = r["bits"]
+    bits = F.from_json(F.lit(str(bitmap)), "array<bigint>")
+    is_set = lambda h: F.getbit(F.get(bits, F.shiftright(slot(h), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+    return common.let(ceiling, lambda top: F.filter(hashes, lambda h: (h <= top) & is_set(h)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -59,28 +79,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Returns doc_id, text_key, item_id,
     n_shingles (distinct, of the item), n_found and containment. Words are in ASCII lower case and parted by white
-    space. Null and empty texts, and items of fewer than five words, have no shingles and match nothing. Equal
-    rows of docs give one pair; rows that share a doc_id with different texts give one pair each; a null id is a
-    value like others. Repeated items with one item_id count as one where their texts are equal.
+    space. Null and empty texts, and items of fewer than five words, have no shingles and match nothing; texts may be of
+    any length. Equal rows of docs give one pair; rows that share a doc_id with different texts give one pair each; a null
+    id of a document or an item is a value like others. Equal items count as one; items that share an item_id with
+    different texts are judged each on its own. Without documents or items there are no pairs.
     """
-    items = common.written(
-        benchmark.select(benchmark["item_id"].alias("item_id"), words_of(common.text_or_empty(benchmark)).alias("words")).distinct(), "benchmark-words"
-    )
+    item_text = common.text_or_empty(benchmark)
+    named = benchmark.select(benchmark["item_id"].alias("item_id"), item_text.alias("text"), F.xxhash64(benchmark["item_id"], item_text).alias("item_key"))
+    items = common.written(named.dropDuplicates(["item_key"]).select("item_key", "item_id", words_of(F.col("text")).alias("words")), "benchmark-words")
     sketches = common.written(item_sketches(items, containment), "benchmark-sketches")
-    n_sketch, ceiling = sketches.agg(F.count("*"), F.max("h")).first()
+    n_sketch = sketches.count()
     text = common.text_or_empty(docs)
-    mine = docs.select(F.coalesce(docs["doc_id"], F.lit(-(2**63))).alias("id_key"), docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_key"), words_of(text).alias("words"))
-    low = mine.select("id_key", "text_key", F.size("words").alias("n_words"), F.filter(shingle_hashes(F.col("words")), lambda h: h <= F.lit(ceiling)).alias("hashes"))
+    mine = docs.select(F.coalesce(docs["doc_id"], F.lit(-(2**63))).alias("id_key"), docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    worded = mine.select("id_key", "text_key", words_of(F.col("text")).alias("words"))
+    low = worded.select("id_key", "text_key", F.size("words").alias("n_words"), _low_hashes(sketches, shingle_hashes(F.col("words")), F.size("words"), containment).alias("hashes"))
     looked_up = low.select("id_key", "text_key", "n_words", F.explode("hashes").alias("h")).join(common.broadcast_if_small(sketches, n_sketch, BROADCAST_ROWS), "h")
     fits = F.col("n_words") - (WORDS - 1) >= F.col("n_shingles") * containment - 1e-9
-    candidates = common.written(looked_up.filter(fits).select("id_key", "text_key", "item_id").distinct(), "candidates")
-
-    texts = common.written(items.select("item_id", F.explode(shingle_texts(F.col("words"))).alias("shingle")).distinct(), "benchmark-shingles")
-    sizes = texts.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
-    suspects = mine.join(candidates.select("id_key", "text_key").distinct(), ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"])
-    held = suspects.select("id_key", "doc_id", "text_key", F.explode(shingle_texts(F.col("words"))).alias("shingle"))
-    found = held.join(common.broadcast_if_small(texts, texts.count(), BROADCAST_ROWS), "shingle").groupBy("id_key", "doc_id", "text_key", "item_id").agg(F.count("*").alias("n_found"))
-    judged = found.join(candidates, ["id_key", "text_key", "item_id"], "left_semi").join(sizes, "item_id").withColumn("containment", F.col("n_found") / F.col("n_shingles"))
+    candidates = common.written(looked_up.filter(fits).select("id_key", "text_key", "item_key").distinct(), "candidates")
+
+    texts = common.written(items.select("item_key", F.explode(shingle_texts(F.col("words"))).alias("shingle")), "benchmark-shingles")
+    sizes = texts.groupBy("item_key").agg(F.count("*").alias("n_shingles"))
+    named = items.select("item_key", "item_id").join(sizes, "item_key")
+    keys = common.written(candidates.select("id_key", "text_key").distinct(), "suspects")
+    suspects = mine.join(common.broadcast_if_small(keys, keys.count(), BROADCAST_ROWS), ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"])
+    held = suspects.select("id_key", "doc_id", "text_key", F.explode(shingle_texts(words_of(F.col("text")))).alias("shingle"))
+    found = held.join(common.broadcast_if_small(texts, texts.count(), BROADCAST_ROWS), "shingle").groupBy("id_key", "doc_id", "text_key", "item_key").agg(F.count("*").alias("n_found"))
+    judged = found.join(candidates, ["id_key", "text_key", "item_key"], "left_semi").join(named, "item_key").withColumn("containment", F.col("n_found") / F.col("n_shingles"))
     return judged.filter(F.col("containment") >= containment).select("doc_id", "text_key", "item_id", "n_shingles", "n_found", "containment")
 
 
