@@ -4,8 +4,8 @@ Lines become 128-bit hashes, which are range-partitioned with a secondary sort b
 streaming pass over each range sees the first document of a line before all others. What comes back is a
 run-length coded bitmap for each document that loses lines, never text.
 
-A line that many documents share would fill one range. A frequent-items sketch names such lines beforehand (at
-most HOT_KEYS of them); their first documents come from a map-side combined minimum and are broadcast instead.
+A line that many documents share would fill one range. A frequent-items sketch names beforehand the lines that would make
+up a quarter of a range or more; their first documents come from a map-side combined minimum and are broadcast instead.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_KEY = 10
-#: A line is hot from a 1/HOT_KEYS share of all lines on, so there are at most HOT_KEYS of them.
-HOT_KEYS = 1024
-SKETCH_ITEMS = 8192
+#: A line is hot from 1/HOT_SHARE of a range's rows on, so there are HOT_SHARE hot lines a range at most. Sketches track
+#: SKETCH_SHARE items for each of these, up to a bound on their memory; beyond it (16,384 ranges) the share of a range grows.
+HOT_SHARE, SKETCH_SHARE, MAX_SKETCH = 4, 8, 1 << 19
 
 
 def lines_of(text: Column) -> Column:
@@ -38,9 +38,12 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def hot_keys(lines: DataFrame) -> list[int]:
-    """Hashes that hold at least 1/HOT_KEYS of all lines. The sketch is off by under 1/2000 of the lines."""
-    row = lines.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h1, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top")).first()
-    return [x["item"] for x in row["top"] or [] if x["count"] * HOT_KEYS >= row["n"] and x["count"] > 1000]
+    """Hashes that hold at least 1/HOT_SHARE of the rows of an even range, give or take half of that."""
+    most = HOT_SHARE * max(64, common.partitions(lines.sparkSession))
+    items = min(MAX_SKETCH, 1 << (most * SKETCH_SHARE - 1).bit_length())
+    most = min(most, items // SKETCH_SHARE)
+    row = lines.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h1, {most}, {items})").alias("top")).first()
+    return [x["item"] for x in row["top"] or [] if x["count"] * most >= row["n"] and x["count"] > 1000]
 
 
 def dropped_lines(lines: DataFrame) -> DataFrame:
@@ -56,7 +59,7 @@ def dropped_lines(lines: DataFrame) -> DataFrame:
     if hot:
         mine = lines.filter(F.col("h1").isin(hot))
         firsts = mine.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-        # At most HOT_KEYS rows, as each stands for 1/HOT_KEYS of the lines.
+        # HOT_SHARE rows a range at most.
         gone = gone.unionByName(mine.join(F.broadcast(firsts), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text_key", "pos"))
     return gone
 
@@ -68,7 +71,8 @@ def line_bitmaps(docs: DataFrame) -> DataFrame:
     zeros: sorted runs of dropped line numbers (first, last), from 0; all other lines stay. A document without a
     row keeps all its lines. text_key is the hash of the text, since rows that share a doc_id may differ: such
     rows count as one document, so lines that only they share stay, and each row has a bitmap of its own. A null
-    doc_id counts as the largest. A null text is empty, and an empty text is one empty line.
+    doc_id counts as the largest. A null text is empty, and an empty text is one empty line. Texts may have any number of
+    lines. An empty table gives no rows.
     """
     gone = dropped_lines(common.written(_hashed(docs), "line-hashes"))
     at = gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("at"))
