@@ -116,10 +116,10 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     unlabelled = mine.select(mine["doc_id"].alias("id")).distinct().orderBy(F.xxhash64(F.lit("u"), "id"), "id").limit(MAX_UNLABELLED).withColumn("positive", F.lit(False))
     rows = common.written(positives.unionByName(unlabelled), "toxicity-ids")
     text = common.text_or_empty(docs)
-    joined = docs.select(docs["doc_id"].alias("id"), text.alias("text")).join(F.broadcast(rows), "id")  # at most the two limits
-    sample = joined.orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "positive").limit(MAX_POSITIVES + MAX_UNLABELLED)
-    spread = sample.select("text", "positive").repartition(common.partitions(docs.sparkSession))  # the limit leaves one partition
-    return common.written(spread, "toxicity-sample"), min(0.9, max(1e-3, toxic / n)) if n else PRIOR
+    joined = docs.select(docs["doc_id"].alias("id"), text.alias("text"), F.xxhash64(text).alias("key")).join(F.broadcast(rows), "id")  # at most the two limits
+    # One text an id; they are dealt by id, so no task gets more than its share.
+    sample = joined.groupBy("id", "positive").agg(F.min_by("text", "key").alias("text")).repartition(common.partitions(docs.sparkSession), "id")
+    return common.written(sample.select("text", "positive", F.xxhash64("id").alias("order")), "toxicity-sample"), min(0.9, max(1e-3, toxic / n)) if n else PRIOR
 
 
 def choose(sample: DataFrame, prior: float) -> list[int]:
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[int], np.ndarray, fl
 
     if not chosen:
         return [], np.zeros(1), float(np.log(prior / (1 - prior)))
-    found = sample.select(counts("text").alias("x"), "positive").toArrow()
+    found = sample.select(counts("text").alias("x"), "positive", "order").toArrow().sort_by([("order", "ascending"), ("positive", "ascending")])
     x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(chosen) + 1)
     return chosen, *fit(x, np.array(found["positive"].to_pylist(), bool), prior)
 
@@ -155,7 +155,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     label 1 outside the held-out rows (crc32 of doc_id mod 4 is 2) marks a positive; of label 0 nothing but its
     number is used, for the class prior. Null and empty texts are scored like any text without words. Labels that
     are null or not 0 or 1 count as unlabelled. Without positives every score is the prior. Rows with a null
-    doc_id are scored, not held out and not trained on. Repeated rows get equal scores.
+    doc_id are scored, not held out and not trained on. Repeated rows get equal scores. Where an id has several texts, one
+    is trained on. Features that tell equally well go by their number. An empty table gives no rows.
     """
     chosen, weights, bias = train(docs, labels)
 
