@@ -17,8 +17,9 @@ from . import common
 WEIGHTS = (5, 2, 1)
 #: A source is taken at most so many times over.
 MAX_EPOCHS = 3
-#: Documents in a key range, on average and at most.
-RANGE_ROWS = 2_000
+#: Documents in a key range, on average; ranges whose sums are added up together; and rows of targets that are broadcast (past
+#: it Spark joins by shuffle). Results do not depend on these.
+RANGE_ROWS, TOP, BROADCAST_ROWS = 2_000, 1_000, 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -30,7 +31,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 
     Sources are weighted by code point order, null last. What a capped source leaves goes to the others by weight,
     until none is above: sources in order of cap per weight, the first k capped, where k is the smallest number
-    at which the next one stays within its cap. It works on one row per source. Where all sizes are 0, targets are 0.
+    at which the next one stays within its cap. It works on one row per source, all of them in one task: three numbers and
+    a name each, so that a million sources are well within its reach. Where all sizes are 0, targets are 0.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     order = Window.orderBy(F.asc_nulls_last("source"))
@@ -54,7 +56,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     docs: doc_id, text, source; other columns are ignored. size counts words; taken is how many words the mix takes,
     over all epochs: each source's sum is its target rounded down, since the document at the cut gives a part of its
     words. The random key hashes doc_id (then by text), so reruns agree; rows that are equal in both take part each
-    on its own, in any order. Null ids, texts and sources are values like others; texts without words take nothing.
+    on its own, in any order. Null ids, texts and sources are values like others; texts without words take nothing. Texts
+    may have any length. An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = common.text_or_empty(docs)
@@ -65,13 +68,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
         "sizes",
     )
     targets = common.written(source_targets(sizes, weights, max_epochs).withColumn("ranges", F.ceil(F.col("n_rows") / RANGE_ROWS)), "targets")
-    per_source = common.broadcast_if_small(targets, targets.count(), 100_000)
+    per_source = common.broadcast_if_small(targets, targets.count(), BROADCAST_ROWS)
     share = F.expr("shiftrightunsigned(cast(conv(substr(key, 1, 8), 16, 10) as bigint) * ranges, 32)")  # the range that the key falls in
     placed = sizes.join(per_source, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"]).withColumn("range", share)
     sums = placed.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "range", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("start"))
-    starts = starts.select(F.col("source").alias("of"), F.col("range").alias("at"), "start")
+    # Sums over the ranges of a source in two steps, so that no window holds more than a row for each RANGE_ROWS * TOP documents.
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("top", F.floor(F.col("range") / TOP))
+    tops = sums.groupBy("source", "top").agg(F.sum("in_range").alias("in_top"))
+    high = tops.select(F.col("source").alias("of"), F.col("top").alias("nth"), F.coalesce(F.sum("in_top").over(until(Window.partitionBy("source").orderBy("top"))), F.lit(0)).alias("high"))
+    inner = until(Window.partitionBy("source", "top").orderBy("range"))
+    low = sums.select("source", "range", "top", F.coalesce(F.sum("in_range").over(inner), F.lit(0)).alias("low"))
+    both = low.join(high, low["source"].eqNullSafe(high["of"]) & (low["top"] == high["nth"]))
+    starts = both.select("of", F.col("range").alias("at"), (F.col("low") + F.col("high")).alias("start"))
     # A row for each RANGE_ROWS documents; Spark decides by its size how to join.
     located = placed.join(starts, placed["source"].eqNullSafe(starts["of"]) & (placed["range"] == starts["at"]))
     dealt = located.repartitionByRange(common.partitions(spark), "source", "range")

@@ -24,7 +24,8 @@ from .components import components
 WORDS = 3
 MAX_BITS = 3
 QUARTERS = 4
-#: Fingerprints that a task holds at a time; a quarter shared by more is dealt out to pairs of blocks of this size.
+#: Fingerprints that a task holds at a time; a quarter shared by more is dealt out to pairs of blocks of this size, all of
+#: which are compared: results do not depend on it.
 BLOCK = 200_000
 #: Node pairs that are walked at a time, and the block of pairs that is compared directly.
 FRONTIER = 1 << 18
@@ -202,7 +203,8 @@ def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     component_id is the smallest doc_id that links reach, the document's own included; first_key is the text_key
     of that document. Null and empty texts have fingerprint 0 and link like any other. Copies share a fingerprint
     and are compared once. Repeated rows get equal rows. A null doc_id counts as the largest: component_id is null
-    only where a whole component has no id.
+    only where a whole component has no id. A bit set in exactly half of the hashes is 0. Texts may have any length. An
+    empty table gives no rows.
     """
     fps = fingerprints(docs)
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("lowest")

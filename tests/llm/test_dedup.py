@@ -21,7 +21,8 @@ ROWS = [
 @pytest.fixture(scope="module")
 def edges(spark):
     """Null ids, texts and columns, repeated rows, and columns with clashing names."""
-    return spark.createDataFrame(ROWS, "doc_id long, text string, row string").selectExpr("*", "'q' as id", "1 as pos", "2 as fp", "3 as score", "4 as epoch")
+    return spark.createDataFrame(ROWS, "doc_id long, text string, row string").selectExpr("*", "'q' as id", "1 as pos", "2 as fp", "3 as score", "4 as epoch",
+        "5 as spans", "6 as base_spans", "7 as held_out", "8 as predicted", "9 as n_words", "10 as size", "11 as taken", "12 as text_key", "13 as id_key", "14 as stamp", "15 as key", "16 as rules", "17 as part", "18 as first", "19 as n_dropped")
 
 
 def made_up(rng, n):

@@ -1,15 +1,19 @@
 """Classifiers, scans, decontamination, mixing, the pipeline, and queries against DuckDB."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
+import struct
 import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -403,35 +407,166 @@ def test_mix_edges(spark, edges):  # noqa: F811
 # Pipeline
 
 
+def plain_fingerprint(text):
+    words = "".join(c.lower() if c.isascii() else c for c in text).encode().split()
+    shingles = [b" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_groups(ids, fingerprints):
+    """The smallest id that links of three bits or fewer reach, by union-find over all pairs."""
+    root = dict(zip(ids, ids, strict=True))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, x), (j, y) in itertools.combinations(zip(ids, fingerprints, strict=True), 2):
+        if (x ^ y).bit_count() <= 3:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_query(spark):
+    rows = read("documents", SF).to_dict("records")
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.queries()["op4_simhash_near_dedup"](spark, SF).collect()}
+    fps = {r["doc_id"]: plain_fingerprint(r["text"] or "") for r in rows}
+    lowest = plain_groups(list(fps), list(fps.values()))
+    assert got == {i: (f"{fp:016x}", lowest[i]) for i, fp in fps.items()}
+    assert len(set(lowest.values())) < len(lowest)
+
+
+def spark_hash(value):
+    """The 64-bit hash of a long by which Spark orders training rows."""
+    return np.uint64(xxhash.xxh64_intdigest(struct.pack("<q", value), 42)).view(np.int64).item()
+
+
+def test_quality_query_is_a_fit_on_the_right_rows(spark):
+    """Refit from features made here, on exactly the rows that may be learnt from."""
+    docs = {r["doc_id"]: r["text"] or "" for r in read("documents", SF).to_dict("records")}
+    labels = [(int(r.doc_id), int(r.quality)) for r in read("labels", SF).itertuples() if r.quality in (0, 1)]
+    known = sorted(((spark_hash(i), i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5), key=lambda r: r[:2])
+    known = [(i, y) for _, i, y in known if i in docs]
+
+    def numbers(text):
+        data = text.encode()
+        words = data.lower().split()
+        by_word, by_run = np.zeros(128), np.zeros(128)
+        for w in words:
+            by_word[zlib.crc32(w) % 128] += 1
+        low = data.lower()
+        for k in range(len(low) - 2):
+            by_run[((low[k] * 961 + low[k + 1] * 31 + low[k + 2]) * 2654435761 % 2**32) >> 25] += 1
+        shape = quality.shape(data, words, Counter(words))
+        return np.concatenate([shape, np.sqrt(by_word / max(1, len(words))), np.sqrt(by_run / max(1, len(low) - 2))]).astype(np.float32)
+
+    x, y = np.array([numbers(docs[i]) for i, _ in known]), np.array([q for _, q in known])
+    model = quality.fit(x, y, 1 - y.mean())
+    want = dict(zip(docs, quality.score(model, np.array([numbers(t) for t in docs.values()])), strict=True))
+    got = {r["doc_id"]: r for r in queries.queries()["op6_quality_classifier"](spark, SF).collect()}
+    assert got.keys() == want.keys()
+    for i, row in got.items():
+        assert abs(row["score"] - want[i]) < 1e-3
+        assert row["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_toxicity_query_is_a_fit_on_the_right_rows(spark):
+    """Positives, unlabelled rows, prior and features made here; the scores are those of the query."""
+    docs = {r["doc_id"]: r["text"] or "" for r in read("documents", SF).to_dict("records")}
+    mine = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    labels = [(int(r.doc_id), int(r.toxic)) for r in read("labels", SF).itertuples() if r.toxic in (0, 1) and mine(r.doc_id)]
+    prior = min(0.9, max(1e-3, sum(t for _, t in labels) / len(labels)))
+    sample = [(spark_hash(i), p, docs[i]) for p, ids in ((True, [i for i, t in labels if t]), (False, [i for i in docs if mine(i)])) for i in ids]
+    sample.sort(key=lambda r: r[:2])
+
+    def parts(text):
+        words = set(re.sub(r"[^0-9a-z\x80-\xff]", " ", text.lower().encode().decode("latin-1")).encode("latin-1").split())
+        return words, [zlib.crc32(x) % toxicity.DIM for w in words for x in [b"=" + w, *(w[:n] for n in (4, 6, 8) if len(w) >= n)]]
+
+    p, u = Counter(), Counter()
+    for _, positive, text in sample:
+        (p if positive else u).update(set(parts(text)[1]))
+    n_p = sum(positive for _, positive, _ in sample)
+    n_u = len(sample) - n_p
+
+    def telling(f):
+        a, b = p[f] / n_p, u[f] / n_u
+        return (a - max(0.0, (b - prior * a) / (1 - prior))) / np.sqrt(max(b, a * prior) * (1 - b + 1e-3) / n_p)
+
+    chosen = sorted((f for f in p if p[f] >= 3), key=lambda f: (-telling(f), f))[: toxicity.MAX_FEATURES]
+    place = {f: k for k, f in enumerate(chosen)}
+
+    def counts(text):
+        words, found = parts(text)
+        out = np.zeros(len(chosen) + 1)
+        for f in found:
+            if f in place:
+                out[place[f]] += 1
+        out[-1] = len(words)
+        return np.log1p(out)
+
+    x = np.array([counts(t) for _, _, t in sample]).astype(np.float32)
+    weights, bias = toxicity.fit(x, np.array([positive for _, positive, _ in sample]), prior)
+    got = {r["doc_id"]: r for r in queries.queries()["op10_toxicity"](spark, SF).collect()}
+    assert got.keys() == docs.keys()
+    for i, row in got.items():
+        assert abs(row["score"] - 1 / (1 + np.exp(-(counts(docs[i]) @ weights + bias)))) < 1e-2
+        assert row["held_out"] == (not mine(i))
+
+
+def plain_mix(rows):
+    """(doc_id, epoch, words) that a mix takes: whole rounds of a source first, then documents in order of their keys."""
+    size = {r["doc_id"]: len(r["text"].encode().split()) for r in rows}
+    sources = sorted({r["source"] for r in rows})
+    total = {s: sum(size[r["doc_id"]] for r in rows if r["source"] == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    full: set = set()
+    while True:
+        left = sum(total.values()) - sum(3 * total[s] for s in full)
+        share = {s: left * weight[s] / sum(weight[x] for x in sources if x not in full) for s in sources if s not in full}
+        over = {s for s, t in share.items() if t > 3 * total[s]}
+        if not over:
+            break
+        full |= over
+    out = set()
+    for s in sources:
+        rest = int(3 * total[s] if s in full else share[s] + 1e-9)
+        order = sorted((r for r in rows if r["source"] == s), key=lambda r: (hashlib.md5(f"mix:{r['doc_id']}".encode()).hexdigest(), r["doc_id"]))
+        epoch = 0
+        while rest > 0:
+            for r in order:
+                words = min(size[r["doc_id"]], rest)
+                if words > 0:
+                    out.add((r["doc_id"], epoch, words))
+                rest -= words
+            epoch += 1
+    return out
+
+
 def test_pipeline_against_brute_force(spark):
+    """Every row of the mix, by plain Python from the second stage on; the first is the query of operator 6, tested above."""
     sf = SF
-    docs = common.table(spark, sf, "documents")
-    model = quality.train(docs, common.table(spark, sf, "labels"))
-    rows = [r for r in read("documents", sf).to_dict("records")]
-    scores = quality.score(model, np.array([quality.features(r["text"].encode()) for r in rows]))
-    rows = [r for r, s in zip(rows, scores, strict=True) if s >= quality.CUT]
-    from tests.llm.test_dedup import closure, lines_by_hand
-
-    for r, (_, _, _, kept) in zip(rows, lines_by_hand([(r["doc_id"], r["text"]) for r in rows]), strict=True):
-        r["text"] = kept
-    from commentscan.llm.simhash import fingerprint_of
+    scores = {r["doc_id"]: r["predicted"] for r in queries.queries()["op6_quality_classifier"](spark, sf).collect()}
+    rows = [r for r in read("documents", sf).to_dict("records") if scores[r["doc_id"]]]
+    from tests.llm.test_dedup import lines_by_hand
 
-    fps = np.array([fingerprint_of(r["text"].encode()) for r in rows], np.int64).view(np.uint64)
-    lowest = closure(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, [r["doc_id"] for r in rows])
-    rows = [r for r, c in zip(rows, lowest, strict=True) if r["doc_id"] == c]
+    for r, (_, _, n, kept) in zip(rows, lines_by_hand([(r["doc_id"], r["text"]) for r in rows]), strict=True):
+        r["text"] = kept
+        r["n_chars"] = len(kept) if n else r["n_chars"]
+    lowest = plain_groups([r["doc_id"] for r in rows], [plain_fingerprint(r["text"]) for r in rows])
+    rows = [r for r in rows if lowest[r["doc_id"]] == r["doc_id"]]
     shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(len(w) - 4)}
     items = [shingles(t) for t in read("benchmark", sf)["text"]]
     rows = [r for r in rows if not any(q and len(q & shingles(r["text"])) / len(q) >= 0.8 for q in items)]
-    sources: dict = {}
-    for r in rows:
-        sources.setdefault(r["source"], []).append(r)
-    sizes = {s: sum(len(r["text"].encode().split()) for r in x) for s, x in sources.items()}
-    got = P.run(spark, sf).toPandas()
-    assert set(got["doc_id"]) <= {r["doc_id"] for r in rows}
-    assert got.groupby("source")["n_words"].sum().max() <= 3 * max(sizes.values())
-    assert abs(got["n_words"].sum() - sum(sizes.values())) <= len(sizes)
-    text = {r["doc_id"]: r["text"] for r in rows}
-    assert all(text[i] == t for i, t in zip(got["doc_id"], got["text"], strict=True))
+    got = P.run(spark, sf).collect()
+    assert {(r["doc_id"], r["epoch"], r["n_words"]) for r in got} == plain_mix(rows)
+    assert len(got) == len({(r["doc_id"], r["epoch"]) for r in got})
+    whole = {r["doc_id"]: r for r in rows}
+    for r in got:
+        assert all(r[c] == whole[r["doc_id"]][c] for c in ("text", "source", "lang", "n_chars"))
 
 
 def test_stages_on_edges(spark, edges):  # noqa: F811
