@@ -13,12 +13,20 @@ from commentscan.llm import common, decontaminate, line_dedup, mixing, quality,
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from `labels`."""
+    """Documents that the quality classifier accepts; it learns from `labels`.
+
+    Null and empty texts are scored like any; without labels of both classes everything passes, unless all are 0. Rows of
+    one score fall together, repeated rows stay repeated, an empty table stays empty. Columns pass unchanged.
+    """
     return quality.accepted(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier document holds; n_chars, where present, follows the text."""
+    """All documents, without lines that an earlier document holds; n_chars, where present, follows the text.
+
+    A document may end up without lines; it stays, with an empty text. Null texts stay null. Rows of one doc_id do not
+    take lines from each other; a null doc_id comes last. Other columns pass unchanged, whatever their names.
+    """
     done = line_dedup.dedup_lines(docs)
     text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
     columns = {c: F.col("row")[c] for c in docs.columns} | {"text": text}
@@ -28,17 +36,28 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-copy group."""
+    """The document with the smallest doc_id of each near-copy group.
+
+    Texts without words form a group of their own. Of repeated rows one stays; of rows with one doc_id and different
+    texts in a group, the one with the smaller hash. A null doc_id comes last.
+    """
     return simhash.keep_one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of `benchmark`."""
+    """Documents that contain no item of `benchmark`: at least 0.8 of its five-word shingles.
+
+    Null and short texts and items match nothing; repeated rows go or stay together. Without items all stay.
+    """
     return decontaminate.without_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each epoch that takes a document, with epoch and n_words to take."""
+    """The mix: a row for each epoch that takes a document, with epoch and n_words to take.
+
+    Null sources are a source, the last one; texts without words are never taken. Ties of the random key go by doc_id and
+    text. Columns named epoch or n_words are replaced.
+    """
     return mixing.mixed_documents(docs)
 
 
