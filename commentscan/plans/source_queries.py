@@ -126,10 +126,20 @@ def delimited_round_trip(spark, sf_dir):
 
 
 def legacy_fallback(spark, sf_dir):
-    """The current table is empty, so the text-only one is read."""
+    """Once the current table is empty, so the text-only one is read; once it holds rows, and that one counts for nothing."""
     legacy = table(spark, sf_dir, "documents").select("text", F.col("doc_id").alias("seq"))
-    current = spark.createDataFrame([], "text string, source_url string, seq long")
-    return D.with_legacy(current, legacy).select("seq", "source_url", F.md5("text").alias("text_md5"))
+    current = legacy.filter("seq % 3 = 0").select("text", F.lit("https://h/").alias("source_url"), "seq")
+    both = [D.with_legacy(now, legacy).withColumn("empty", F.lit(empty)) for now, empty in ((current.limit(0), True), (current, False))]
+    return both[0].unionByName(both[1]).select("empty", "seq", "source_url", F.md5("text").alias("text_md5"))
+
+
+def scan_input(spark, sf_dir):
+    """What a scan reads: explicit comments, else those of one URL, else the provider's and the monitored ones."""
+    explicit, url, provided, monitored = (table(spark, sf_dir, "documents").filter(F.col("doc_id") % 4 == k).select("text", F.col("doc_id").alias("seq")) for k in range(4))
+    chosen = {"explicit": C.comments_for_scan(explicit, url, provided, monitored), "url": C.comments_for_scan(None, url, provided, monitored), "monitored": C.comments_for_scan(None, None, provided, monitored)}
+    chosen["provider"] = C.comments_for_scan(provided=provided)
+    tagged = [df.select(F.lit(name).alias("input"), "seq", F.md5("text").alias("text_md5")) for name, df in chosen.items()]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).unionByName(tagged[3])
 
 
 def json_unescape(spark, sf_dir):
@@ -143,7 +153,7 @@ def json_unescape(spark, sf_dir):
 
 PAGED = f"SELECT conv_id, n, n // 2 AS page, n % 2 AS pos, text, max(n // 2) OVER (PARTITION BY conv_id) AS last FROM ({TURNS}) WHERE {TRIMMED} <> ''"
 WELL = f"SELECT *, CASE WHEN conv_id % 11 = 4 AND page >= 1 THEN page + 1 ELSE page END AS page_no FROM ({PAGED}) WHERE NOT (conv_id % 7 = 3 AND page = 1)"
-STITCHED = f"SELECT * FROM ({WELL}) WHERE page = 0 OR (conv_id % 7 <> 3 AND conv_id % 11 <> 4)"
+STITCHED = f"SELECT * FROM ({WELL}) WHERE conv_id % 5 <> 0 AND (page = 0 OR (conv_id % 7 <> 3 AND conv_id % 11 <> 4))"
 HTML = f"SELECT conv_id, n, {TRIMMED} AS text FROM ({TURNS}) WHERE {TRIMMED} <> ''"
 ROUTED = f"SELECT 'https://h/p/c_' || conv_id || '/' AS source_url, conv_id, text FROM ({STITCHED}) UNION ALL SELECT 'https://h/u/' || conv_id, conv_id, text FROM ({HTML})"
 
@@ -177,7 +187,14 @@ QUERIES = {
     "scan_batches": (scan_batches, f"SELECT comment_id // 50 AS batch_id, count(*) AS total, count(*) FILTER (flagged) AS flagged FROM ({DECIDED}) GROUP BY 1"),
     "source_priority": (source_priority, "SELECT source, count(*) AS n_comments FROM documents GROUP BY source"),
     "delimited_round_trip": (delimited_round_trip, "SELECT doc_id AS seq, md5(text) AS text_md5, CASE WHEN lang <> 'es' THEN 'https://h/' || source END AS source_url FROM documents"),
-    "legacy_fallback": (legacy_fallback, "SELECT doc_id AS seq, NULL::VARCHAR AS source_url, md5(text) AS text_md5 FROM documents"),
+    "legacy_fallback": (legacy_fallback, """SELECT true AS empty, doc_id AS seq, NULL::VARCHAR AS source_url, md5(text) AS text_md5 FROM documents
+        UNION ALL SELECT false, doc_id, 'https://h/', md5(text) FROM documents WHERE doc_id % 3 = 0"""),
+    "scan_input": (
+        scan_input,
+        """SELECT CASE doc_id % 4 WHEN 0 THEN 'explicit' ELSE 'url' END AS input, doc_id AS seq, md5(text) AS text_md5 FROM documents WHERE doc_id % 4 < 2
+           UNION ALL SELECT 'monitored', min(doc_id), md5(text) FROM documents WHERE doc_id % 4 >= 2 GROUP BY text
+           UNION ALL SELECT 'provider', min(doc_id), md5(text) FROM documents WHERE doc_id % 4 = 2 GROUP BY text""",
+    ),
     "json_unescape": (json_unescape, "SELECT doc_id, md5('\\/ \"' || chr(9) || text) AS text_md5 FROM documents"),
 }
 

@@ -16,9 +16,9 @@ from commentscan.functions import text as T
 PAYLOAD = r"[\x01\n]"
 LINES = r"\r\n|\n|\r"
 PAGE_SCHEMA = """data struct<shortcode_media: struct<edge_media_to_parent_comment: struct<
-  edges: array<struct<node: struct<text: string>>>, page_info: struct<has_next_page: boolean, end_cursor: string>>>>,
+  edges: array<struct<node: struct<text: string>>>, page_info: struct<has_next_page: boolean>>>>,
 graphql struct<shortcode_media: struct<edge_media_to_parent_comment: struct<
-  edges: array<struct<node: struct<text: string>>>, page_info: struct<has_next_page: boolean, end_cursor: string>>>>"""
+  edges: array<struct<node: struct<text: string>>>, page_info: struct<has_next_page: boolean>>>>"""
 
 
 def split_comments(df: DataFrame, column: str = "payload", separator: str = PAYLOAD) -> DataFrame:
@@ -43,10 +43,10 @@ def comments_from_html(pages: DataFrame, limit: int | None = PER_URL) -> DataFra
     return first_per_url(texts, limit, "page_no", "pos")
 
 
-def parsed_pages(pages: DataFrame) -> DataFrame:
-    """pages (shortcode, page_no, json) with ok, has_next, end_cursor and texts; malformed JSON is not ok."""
+def parsed_pages(pages: DataFrame, shapes: tuple[str, ...] = ("data", "graphql")) -> DataFrame:
+    """pages (shortcode, page_no, json) with ok, has_next and texts; malformed JSON, or of another shape, is not ok."""
     read = pages.withColumn("_page", F.from_json("json", PAGE_SCHEMA))
-    media = F.coalesce(F.col("_page.data.shortcode_media"), F.col("_page.graphql.shortcode_media"))
+    media = F.coalesce(*(F.col(f"_page.{shape}.shortcode_media") for shape in shapes))
     block = read.withColumn("_block", media["edge_media_to_parent_comment"])
     texts = F.filter(F.transform("_block.edges", lambda e: e["node"]["text"]), lambda t: t.isNotNull() & ~t.rlike(r"(?U)^\s*$"))
     return block.select(
@@ -54,7 +54,6 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
         "page_no",
         F.col("_block").isNotNull().alias("ok"),
         F.coalesce("_block.page_info.has_next_page", F.lit(False)).alias("has_next"),
-        F.col("_block.page_info.end_cursor").alias("end_cursor"),
         F.coalesce(texts, F.expr("cast(array() as array<string>)")).alias("texts"),
     )
 
@@ -66,9 +65,10 @@ def comments_from_json(pages: DataFrame, limit: int | None = PER_URL) -> DataFra
 
 
 def stitch_comment_pages(pages: DataFrame, limit: int | None = PER_URL) -> DataFrame:
-    """As comments_from_json, but only of the pages from the first on that are there, well-formed and linked by a next page."""
+    """As comments_from_json, but only of the pages from the first on, by page_no, that are there, well-formed and linked by a
+    next page. Pages that follow each other come in the data shape only."""
     order = Window.partitionBy("shortcode").orderBy("page_no")
-    good = parsed_pages(pages).withColumn("_in_place", F.col("page_no") == F.row_number().over(order) - 1)
+    good = parsed_pages(pages, ("data",)).withColumn("_in_place", F.col("page_no") == F.row_number().over(order) - 1)
     linked = F.min(F.col("ok") & F.col("has_next") & F.col("_in_place")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     prefix = good.withColumn("_linked", F.coalesce(linked, F.lit(True))).filter(F.col("_linked") & F.col("ok") & F.col("_in_place"))
     each = prefix.select(F.col("shortcode").alias("source_url"), "page_no", F.posexplode("texts").alias("pos", "text"))
