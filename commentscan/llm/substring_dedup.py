@@ -452,7 +452,8 @@ def repeated_spans(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     windows = passages.filter(F.col("k2") == WIDE_KEY).mapInArrow(lambda it: _windows(it, hash_bits), WINDOWS)
     windows = common.written(windows, "windows")
     firsts = windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "words")).alias("first"), F.max("id").alias("last")).filter("last > first.id").select("k1", "k2", "first")
-    meet = windows.join(firsts, ["k1", "k2"]).filter("id > first.id").select("id", "stamp", "at", "words", F.col("first.words").alias("first"))
+    firsts = common.written(firsts, "first-windows")  # a table of its own, so that Spark can split the join where a window is hot
+    meet = windows.join(common.broadcast_if_small(firsts, firsts.count(), BROADCAST_ROWS), ["k1", "k2"]).filter("id > first.id").select("id", "stamp", "at", "words", F.col("first.words").alias("first"))
     return marks.unionByName(meet.mapInArrow(_single_windows, MARKS))
 
 
