@@ -122,8 +122,8 @@ def new_flag_log(spark, sf_dir):
 
 
 def training_queue(spark, sf_dir):
-    """A queue of 60, without what is labelled."""
-    return M.training_queue(new_flag_log(spark, sf_dir), labelled(spark, sf_dir), 60).select("seq", F.md5("text").alias("text_md5"))
+    """A queue of 30, without what is labelled."""
+    return M.training_queue(new_flag_log(spark, sf_dir), labelled(spark, sf_dir), 30).select("seq", F.md5("text").alias("text_md5"))
 
 
 ENQUEUED = f"""SELECT comment_id AS seq, text FROM ({DECIDED}) WHERE flagged AND text NOT IN ({KNOWN})
@@ -153,8 +153,8 @@ def review_view(spark, sf_dir):
 
 
 def append_then_cap(spark, sf_dir):
-    """Flags appended in three batches, one of them twice, to a table that holds 50; what it holds in the end."""
-    log = CappedLog(spark, scratch(spark, "flagged-log"), "seq long, text string", 50)
+    """Flags appended in three batches, one of them twice, to a table that holds 20; what it holds in the end."""
+    log = CappedLog(spark, scratch(spark, "flagged-log"), "seq long, text string", 20)
     flags = flagged_log(spark, sf_dir).select("seq", "text")
     for batch in (0, 1, 2, 1):
         log.append(flags.filter(F.col("seq") % 3 == batch), batch)
@@ -261,10 +261,10 @@ def text_functions(spark, sf_dir):
 
 
 def maintain_urls(spark, sf_dir):
-    """Page visits as URL changes: views add a user's URL, errors remove it."""
+    """Page visits as URL changes: views add a user's URL, errors remove it; forty are monitored at most."""
     change = F.when(F.col("event_type") == "view", "add").when(F.col("event_type") == "error", "remove")
     changes = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit(" https://h/"), F.col("user_id")).alias("url"), change.alias("change"))
-    return M.maintain_urls(changes.filter("change is not null"))
+    return M.maintain_urls(changes.filter("change is not null"), 40)
 
 
 def stream_scan(spark, sf_dir):
@@ -310,7 +310,7 @@ QUERIES = {
     "keep_last_per_source": (keep_last_per_source, "SELECT source, doc_id AS seq FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 5"),
     "training_queue": (
         training_queue,
-        f"SELECT seq, md5(text) AS text_md5 FROM (SELECT * FROM ({ENQUEUED}) ORDER BY seq DESC LIMIT 60) WHERE text NOT IN (SELECT text FROM ({LABELLED}))",
+        f"SELECT seq, md5(text) AS text_md5 FROM (SELECT * FROM ({ENQUEUED}) ORDER BY seq DESC LIMIT 30) WHERE text NOT IN (SELECT text FROM ({LABELLED}))",
     ),
     "last_comments": (
         last_comments,
@@ -321,7 +321,7 @@ QUERIES = {
         f"""SELECT false AS everything, comment_id AS seq, 'https://h/' || source AS source_url, md5(text) AS text_md5 FROM ({DECIDED}) WHERE flagged
             UNION ALL SELECT true, doc_id + 1, NULL, md5(text) FROM documents WHERE doc_id // 50 = (SELECT max(doc_id) // 50 FROM documents)""",
     ),
-    "append_then_cap": (append_then_cap, f"SELECT seq, md5(text) AS text_md5 FROM ({FLAGGED}) ORDER BY seq DESC LIMIT 50"),
+    "append_then_cap": (append_then_cap, f"SELECT seq, md5(text) AS text_md5 FROM ({FLAGGED}) ORDER BY seq DESC LIMIT 20"),
     "lexicon_capped": (
         lexicon_capped,
         f"""SELECT polarity, 'user ' || (e // 1000000000) AS phrase, e % 1000000000 AS seq FROM (
@@ -362,7 +362,7 @@ QUERIES = {
     "maintain_urls": (
         maintain_urls,
         f"""SELECT 'https://h/' || (e // 1000000000) AS url, e % 1000000000 AS seq FROM (
-             SELECT unnest({FIFO.format(cap=100)}) AS e
+             SELECT unnest({FIFO.format(cap=40)}) AS e
              FROM (SELECT event_id AS seq, (user_id * 1000000000 + event_id + CASE event_type WHEN 'error' THEN 1000000000000000000 ELSE 0 END)::BIGINT AS code
                    FROM events WHERE event_type IN ('view', 'error')))""",
     ),
