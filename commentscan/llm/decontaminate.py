@@ -57,21 +57,39 @@ def item_sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFra
     return hashed.filter("n > 0").select(F.explode(F.slice("hashes", 1, m)).alias("h"), "item_key", F.col("n").alias("n_shingles"), m.alias("part"))
 
 
-def _low_hashes(sketches: DataFrame, hashes: Column, n_words: Column, containment: float) -> Column:
-    """Those of a document's hashes that may be in a sketch of an item that fits in it."""
+def _ceiling(sketches: DataFrame, n_words: Column, containment: float) -> Column:
+    """The largest hash of a document of so many words that may be in a sketch of an item that fits in it."""
     parts = sketches.groupBy(F.least("part", F.lit(CEILINGS)).alias("part")).agg(F.min("n_shingles").alias("least"), F.max("h").alias("ceiling"))
-    own = [(r["least"], r["ceiling"]) for r in parts.orderBy("part").collect()]  # CEILINGS rows at most
     ceiling = F.lit(-(2**63)).cast("long")
-    for least, top in own:
-        ceiling = F.greatest(ceiling, F.when(n_words - (WORDS - 1) >= least * containment - 1e-9, F.lit(top)))
+    for r in parts.orderBy("part").collect():  # CEILINGS rows at most
+        ceiling = F.greatest(ceiling, F.when(n_words - (WORDS - 1) >= r["least"] * containment - 1e-9, F.lit(r["ceiling"])))
+    return ceiling
+
+
+def _in_bitmap(sketches: DataFrame, h: Column) -> Column:
+    """Whether a hash may be in some sketch."""
     slot = lambda h: h.bitwiseAND((1 << BITS) - 1)
     words = sketches.groupBy(F.shiftright(slot(F.col("h")), 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
     bitmap = [0] * (1 << (BITS - 6))
     for r in words.collect():  # a row for each word of the bitmap
         bitmap[r["at"]] = r["bits"]
     bits = F.from_json(F.lit(str(bitmap)), "array<bigint>")
-    is_set = lambda h: F.getbit(F.get(bits, F.shiftright(slot(h), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
-    return common.let(ceiling, lambda top: F.filter(hashes, lambda h: (h <= top) & is_set(h)))
+    return F.getbit(F.get(bits, F.shiftright(slot(h), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+
+
+def _looked_up(mine: DataFrame, sketches: DataFrame, containment: float) -> DataFrame:
+    """(id_key, text_key, n_words, h): the documents' shingle hashes that may be in a sketch.
+
+    Words are hashed once a document; the runs of five are put together, judged and mostly dropped in compiled code, row by
+    row and without a copy of the document's hashes.
+    """
+    hashed = mine.select("id_key", "text_key", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    sized = hashed.select("*", F.size("hashes").alias("n_words")).withColumn("ceiling", _ceiling(sketches, F.col("n_words"), containment))
+    starts = F.when(F.col("n_words") >= WORDS, F.sequence(F.lit(0), F.col("n_words") - WORDS))
+    # Outer, as Spark would else work out the hashes once more, to ask beforehand whether there are any starts.
+    each = sized.select("*", F.explode_outer(starts).alias("i")).filter("i is not null")
+    runs = each.select("id_key", "text_key", "n_words", "ceiling", F.xxhash64(*(F.get("hashes", F.col("i") + k) for k in range(WORDS))).alias("h"))
+    return runs.filter((F.col("h") <= F.col("ceiling")) & _in_bitmap(sketches, F.col("h"))).drop("ceiling")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -91,9 +109,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     n_sketch = sketches.count()
     text = common.text_or_empty(docs)
     mine = docs.select(F.coalesce(docs["doc_id"], F.lit(-(2**63))).alias("id_key"), docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    worded = mine.select("id_key", "text_key", words_of(F.col("text")).alias("words"))
-    low = worded.select("id_key", "text_key", F.size("words").alias("n_words"), _low_hashes(sketches, shingle_hashes(F.col("words")), F.size("words"), containment).alias("hashes"))
-    looked_up = low.select("id_key", "text_key", "n_words", F.explode("hashes").alias("h")).join(common.broadcast_if_small(sketches, n_sketch, BROADCAST_ROWS), "h")
+    looked_up = _looked_up(mine, sketches, containment).join(common.broadcast_if_small(sketches, n_sketch, BROADCAST_ROWS), "h")
     fits = F.col("n_words") - (WORDS - 1) >= F.col("n_shingles") * containment - 1e-9
     candidates = common.written(looked_up.filter(fits).select("id_key", "text_key", "item_key").distinct(), "candidates")
 
