@@ -394,8 +394,8 @@ def _groups(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _paired(nodes: DataFrame, cosine: float) -> DataFrame:
-    """Rows for each pair of blocks that may share a link: of either block the vectors that visit the other."""
+def _paired(nodes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """Rows for each pair of blocks that may share a link: of either block the vectors that visit the other; and the table they come from."""
     eps, n = float(np.sqrt(2 - 2 * cosine)), common.partitions(nodes.sparkSession)
     routers = _routers(nodes, eps)
     placed = _placed(nodes, routers)
@@ -429,6 +429,7 @@ def _paired(nodes: DataFrame, cosine: float) -> DataFrame:
     dealt = placed.mapInArrow(deal, f"{_row(nodes)}, block int")
     dealt = dealt.repartition(n, "length", "block").sortWithinPartitions("length", "block")
     treed = common.written(dealt.mapInArrow(lambda it: _grown(it, eps), f"{_row(nodes)}, block int, path array<int>"), "blocks")
+    common.drop(placed)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each pair of blocks that a vector takes part in."""
@@ -456,7 +457,7 @@ def _paired(nodes: DataFrame, cosine: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*numbers, *(taken.column(c) for c in kept)], ["pair", "slot", "host", "side", *kept])
 
     schema = f"pair long, slot int, host int, side int, path array<int>, {_row(nodes)}"
-    return treed.mapInArrow(meet, schema).repartitionById(n, F.col("slot")).sortWithinPartitions("length", "pair", "side")
+    return treed.mapInArrow(meet, schema).repartitionById(n, F.col("slot")).sortWithinPartitions("length", "pair", "side"), treed
 
 
 def _walk_pairs(cosine: float):
@@ -490,7 +491,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     vectors each. An empty table gives no rows.
     """
     usable, rest, nodes = _classes(vectors)
-    walked = common.written(_paired(nodes, cosine).mapInArrow(_walk_pairs(cosine), "node long, root long, count long"), "walked")
+    pairs, blocks = _paired(nodes, cosine)
+    walked = common.written(pairs.mapInArrow(_walk_pairs(cosine), "node long, root long, count long"), "walked")
+    common.drop(blocks)
     counts = walked.groupBy("node").agg(F.sum("count").alias("count"))
     found = components(walked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     classes = nodes.select("node", "k1", "k2", "weight", F.col("vec_id").alias("lowest")).join(found, "node", "left").join(counts, "node", "left")
