@@ -74,9 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.spread(common.table(spark, sf_dir, "documents"))
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = common.written(docs, name)
-    return docs
+    docs, before = common.spread(common.table(spark, sf_dir, "documents")), None
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.drop(before)  # nothing reads it again
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
