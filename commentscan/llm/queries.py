@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dups, exact_dedup, line_dedup, mixing, pii, quality, secret_scan, simhash, substring_dedup, toxicity
+from . import conversation_repair, decontaminate, embedding_dups, exact_dedup, line_dedup, mixing, pii, quality, secret_scan, simhash, substring_dedup, toxicity
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
         "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+        "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql():
         "op8_mix_sources": mixing.OP8_SQL,
         "op9_substring_dedup": substring_dedup.OP9_SQL,
         "op12_exact_dedup": exact_dedup.OP12_SQL,
+        "op13_conversation_repair": conversation_repair.OP13_SQL,
     }
