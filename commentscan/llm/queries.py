@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_repair, decontaminate, embedding_dups, exact_dedup, line_dedup, mixing, pii, quality, secret_scan, simhash, substring_dedup, toxicity
+from . import conversation_repair, decontaminate, embedding_dups, exact_dedup, line_dedup, mixing, pii, quality, ranked_search, secret_scan, simhash, substring_dedup, toxicity
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_ranked_search": ranked_search.op11_ranked_search,
         "op12_exact_dedup": exact_dedup.op12_exact_dedup,
         "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     }
@@ -30,6 +31,7 @@ def oracle_sql():
         "op7_embedding_near_dedup": embedding_dups.OP7_SQL,
         "op8_mix_sources": mixing.OP8_SQL,
         "op9_substring_dedup": substring_dedup.OP9_SQL,
+        "op11_ranked_search": ranked_search.OP11_SQL,
         "op12_exact_dedup": exact_dedup.OP12_SQL,
         "op13_conversation_repair": conversation_repair.OP13_SQL,
     }
