@@ -274,7 +274,7 @@ def test_taken():
 
 
 def test_personal_data_edges(spark, edges, tagger):  # noqa: F811
-    odd = edges.selectExpr("*", "'mine' as spans", "4 as base_spans", "5 as rank", "true as held_out", "6 as n_words", "'h' as hash")
+    odd = edges.selectExpr("*", "5 as rank", "'h' as hash")
     for model in (None, tagger):
         done = pii.find_personal_data(odd, model)
         assert done.count() == len(ROWS) and all(r["spans"] == r["base_spans"] == [] for r in done.collect())
