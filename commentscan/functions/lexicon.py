@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentscan.config import CAPS
 from commentscan.functions import text as T
+from commentscan.functions.automaton import DEPTH, Automaton
 from commentscan.functions.capped import capped_adds
+from commentscan.sources.scratch import scratch_table
 
 # Terms and weights of the base lexicon, in the order of summation, and what a user phrase adds or takes.
 PHRASES = {
@@ -19,6 +25,8 @@ WORDS = {
     "bitch": 0.8, "slur": 0.7, "idiot": 0.5, "dumb": 0.4, "stupid": 0.5, "trash": 0.4,
 }
 HATE_WEIGHT, SAFE_WEIGHT = 0.8, 0.4
+#: Entries of a capped lexicon's side that may be broadcast; a larger one is joined by shuffle.
+SMALL = 100_000
 
 
 def single(value: float) -> Column:
@@ -65,7 +73,9 @@ def build_lexicon(labels: DataFrame, cap: int | None = CAPS["phrases"]) -> DataF
         return known.groupBy("polarity", "phrase").agg(F.min("seq").alias("seq"))
     adds = known.select(F.col("polarity").alias("side"), "seq", F.sha2("phrase", 256).alias("key"), F.lit("add").alias("change"))
     held = capped_adds(adds, cap)
-    places = F.broadcast(held.select(F.col("side").alias("polarity"), "seq"))  # cap rows a side
+    places = held.select(F.col("side").alias("polarity"), "seq")
+    if cap <= SMALL:
+        places = F.broadcast(places)  # cap rows a side
     return known.join(places, ["polarity", "seq"]).select("polarity", "phrase", "seq")
 
 
@@ -75,28 +85,51 @@ def phrase_arrays(lexicon: DataFrame) -> DataFrame:
     return lexicon.agg(side("hate").alias("hate"), side("safe").alias("safe"))
 
 
-def _grams(text: Column, sizes: list[int]) -> Column:
-    """The distinct runs of characters of those lengths in a text."""
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))) for n in sizes]  # noqa: B023
-    return F.array_distinct(F.concat(*runs))
+#: Bytes of phrases' heads, which bound the states of an automaton (a few hundred bytes each), and of whole phrases, that one
+#: broadcast holds, on average; and broadcasts that one pass over the texts uses. A larger lexicon is split by phrase.
+HEADS, WHOLE, TOGETHER = 400_000, 32_000_000, 4
+
+
+def _matcher(spark: SparkSession, phrases: DataFrame) -> Callable[[str], Column] | None:
+    """A function of a text in lower case: array(hate phrases, safe phrases) that occur in it. None if there are no phrases."""
+    sides: dict[bytes, list[int]] = {}
+    for r in phrases.collect():  # a part of the lexicon of bounded size
+        sides.setdefault(r["phrase"].encode(), [0, 0])[r["polarity"] != "hate"] = 1
+    if not sides:
+        return None
+    sent = spark.sparkContext.broadcast((Automaton(list(sides)), np.array(list(sides.values()), np.int64)))
+
+    @F.arrow_udf("array<bigint>")
+    def counts(texts: pa.Array) -> pa.Array:
+        automaton, side = sent.value
+        texts = texts.cast(pa.binary()) if pa.types.is_string(texts.type) else texts
+        cuts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        text, phrase = automaton.occurrences(np.frombuffer(texts.buffers()[2] or b"", np.uint8), cuts)
+        each = np.stack([np.bincount(text, side[phrase, k], len(texts)) for k in (0, 1)], axis=1).astype(np.int64)
+        return pa.FixedSizeListArray.from_arrays(pa.array(each.reshape(-1)), 2).cast(pa.list_(pa.int64()))
+
+    return counts
 
 
 def phrase_hits(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(comment_id, n_hate_hits, n_safe_hits), for lexicons too large for an array. comments: comment_id (once each), text.
+    """(comment_id, n_hate_hits, n_safe_hits), one row per comment, for lexicons too large for an array. comments: comment_id, text.
 
-    Each phrase is looked up by the one of its trigrams that fewest phrases share (itself, if it is shorter), in an equi-join
-    with the comments' trigrams; what is found is verified in the text. Blank phrases never occur.
+    How many different phrases of each side occur in the text in lower case, null texts being empty. lexicon: polarity (hate or
+    safe), phrase; repeated rows count once, blank and null phrases never occur. An automaton of the phrases reads each text
+    once; texts are neither moved nor cut up. The lexicon is counted first; one too large for a broadcast is split by phrase,
+    and one too large for a task's memory is read in several passes, between which texts and counts are written.
     """
-    lowered = comments.select("comment_id", F.lower(F.coalesce("text", F.lit(""))).alias("lowered"))
-    phrases = lexicon.select("polarity", "phrase").filter(~F.col("phrase").rlike(r"(?U)^\s*$"))
-    sizes = sorted({r["n"] for r in phrases.select(F.least(F.lit(3), F.char_length("phrase")).alias("n")).distinct().collect()})  # three rows at most
-    if not sizes:
-        return comments.select("comment_id", F.lit(0).cast("long").alias("n_hate_hits"), F.lit(0).cast("long").alias("n_safe_hits"))
-    own = F.when(F.char_length("phrase") >= 3, _grams(F.col("phrase"), [3])).otherwise(F.array("phrase"))
-    each = phrases.select("polarity", "phrase", F.explode(own).alias("gram"))
-    shared = each.groupBy("gram").agg(F.count("*").alias("n"))
-    keyed = each.join(shared, "gram").groupBy("polarity", "phrase").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    found = lowered.select("comment_id", F.explode(_grams(F.col("lowered"), sizes)).alias("gram")).join(keyed, "gram").select("comment_id", "polarity", "phrase")
-    verified = lowered.join(found, "comment_id").filter(F.contains("lowered", "phrase"))
-    counts = verified.groupBy("comment_id").agg(F.count_if(F.col("polarity") == "hate").alias("n_hate_hits"), F.count_if(F.col("polarity") == "safe").alias("n_safe_hits"))
-    return lowered.select("comment_id").join(counts, "comment_id", "left").na.fill(0, ["n_hate_hits", "n_safe_hits"])
+    spark = comments.sparkSession
+    known = lexicon.select("polarity", F.col("phrase").cast("string").alias("phrase")).filter(F.col("polarity").isin("hate", "safe") & ~F.col("phrase").rlike(r"(?U)^\s*$")).distinct()
+    size = F.octet_length("phrase")
+    heads, whole = known.agg(F.sum(F.least(size, F.lit(DEPTH))), F.sum(size)).first()
+    parts = max((heads or 0) // HEADS, (whole or 0) // WHOLE) + 1
+    rows = comments.select("comment_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.lit(0).cast("long").alias("n_hate_hits"), F.lit(0).cast("long").alias("n_safe_hits"))
+    for part in range(parts):
+        found = _matcher(spark, known.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part))
+        if found is not None:
+            rows = rows.withColumn("found", found("text"))
+            rows = rows.select("comment_id", "text", *((F.col(n) + F.get("found", k)).alias(n) for k, n in enumerate(("n_hate_hits", "n_safe_hits"))))
+        if part % TOGETHER == TOGETHER - 1 and part + 1 < parts:
+            rows = scratch_table(rows, "phrase-hits")
+    return rows.drop("text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RECORD, FIELD = "\x01", "\x02"
@@ -13,6 +13,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like this one that none of the tables has."""
+    while any(name.lower() == c.lower() for df in frames for c in df.columns):
+        name += "_"
+    return name
+
+
 def trim_all(text: Column) -> Column:
     """Without white space of any script at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|(?<!\s)\s+$", "")  # a run inside the text is tried once, not at each of its blanks
@@ -32,9 +39,10 @@ def contains_phrase(lowered: Column, phrase: Column | str) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    """NaN counts as 0."""
+    """NaN counts as 0; null stays null, where `least` and `greatest` would skip it."""
     kind = "float"
-    return F.greatest(F.lit(low).cast(kind), F.least(F.lit(high).cast(kind), F.nanvl(value.cast(kind), F.lit(0.0).cast(kind))))
+    held = F.greatest(F.lit(low).cast(kind), F.least(F.lit(high).cast(kind), F.nanvl(value.cast(kind), F.lit(0.0).cast(kind))))
+    return F.when(value.isNotNull(), held)
 
 
 def json_unescape(text: Column) -> Column:

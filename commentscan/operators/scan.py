@@ -1,4 +1,7 @@
-"""Score, second opinion, overrides, decisions, and what is new."""
+"""Score, second opinion, overrides, decisions, and what is new.
+
+Columns that these functions add replace columns of that name; other columns of the comments pass, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +14,13 @@ from pyspark.sql import functions as F
 from commentscan.config import BAND, ScanConfig
 from commentscan.functions import lexicon as L
 from commentscan.functions import text as T
+from commentscan.operators.models import TableModel
 
-#: Text to a score, or to a struct of score and error (see `guarded`).
-Model = Callable[[Column], Column]
-#: Text to a score, or null for no opinion, or to such a struct. The text is null in rows that are not asked, so a Python function skips those.
-Opinion = Callable[[Column], Column]
+#: Text to a score, or to a struct of score and error (see `guarded`); or a model of tables.
+Model = Callable[[Column], Column] | TableModel
+#: As a model; a null score is no opinion. A column function gets a null text in rows that are not asked, so a Python function skips those;
+#: a model of tables gets the rows that are asked alone.
+Opinion = Model
 # The keyword opinion's words and scores.
 OPINION_WORDS, OPINION_YES, OPINION_NO = ("fuck", "kill", "hate"), 0.85, 0.15
 
@@ -55,9 +60,11 @@ def guarded(score: Callable[[str], float]) -> Model:
     return run
 
 
-def _asked_of(df: DataFrame, answer: Column) -> DataFrame:
-    """df with _score, and with error filled where the answer has one."""
-    both = df.withColumn("_answer", answer)
+def _answered(df: DataFrame, by: Model, text: Column) -> DataFrame:
+    """df with _score, which is null where the answer has none, and with error filled where it has one."""
+    if isinstance(by, TableModel):
+        return by.answers(df).withColumn("error", F.coalesce("error", "_error")).drop("_error")
+    both = df.withColumn("_answer", by(text))
     if both.schema["_answer"].dataType.typeName() == "struct":
         both = both.withColumn("error", F.coalesce("error", "_answer.error")).withColumn("_score", F.col("_answer.score"))
     else:
@@ -65,6 +72,11 @@ def _asked_of(df: DataFrame, answer: Column) -> DataFrame:
     return both.drop("_answer")
 
 
+def _raised(score: str = "_score") -> Column:
+    """The larger of the score and an answer; no answer, or none that is a number, counts 0."""
+    return F.greatest("score", F.coalesce(T.clamp(F.col(score), 0, 1), L.single(0)))
+
+
 def parse_opinion(json: Column) -> Column:
     """struct(label, score) of an opinion in JSON: unknown and 0 where missing or malformed; the score held to 0..1."""
     read = F.from_json(json, "label string, score string")
@@ -72,81 +84,112 @@ def parse_opinion(json: Column) -> Column:
     return F.struct(F.coalesce(read["label"], F.lit("unknown")).alias("label"), score.alias("score"))
 
 
+def _with_phrases(comments: DataFrame, phrases: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """comments beside the one row of phrase_arrays, and its two arrays."""
+    hate, safe = T.unused("_hate", comments), T.unused("_safe", comments)
+    return comments.crossJoin(F.broadcast(phrases.select(F.col("hate").alias(hate), F.col("safe").alias(safe)))), F.col(hate), F.col(safe)
+
+
 def with_rule_scores(comments: DataFrame, phrases: DataFrame, model: Model = no_model) -> DataFrame:
-    """comments with hate_hits, safe_hits, error (of the model, else null) and score, the larger of lexicon and model. phrases: the one row of phrase_arrays."""
-    both = comments.crossJoin(F.broadcast(phrases))  # one row
+    """comments with hate_hits, safe_hits, error (of the model, else null) and score, the larger of lexicon and model. phrases: the one row of phrase_arrays.
+
+    A model that fails on a row counts 0 there, as does one that has no score.
+    """
+    rest = comments.drop("hate_hits", "safe_hits", "error", "score")
+    both, hate, safe = _with_phrases(rest, phrases)
     text = F.col("text")
-    found = both.select(*comments.columns, L.hits(text, F.col("hate")).alias("hate_hits"), L.hits(text, F.col("safe")).alias("safe_hits"))
+    found = both.select(*(F.col(f"`{c}`") for c in rest.columns), L.hits(text, hate).alias("hate_hits"), L.hits(text, safe).alias("safe_hits"))
     ruled = found.withColumn("error", F.lit(None).cast("string")).withColumn("score", L.score_with_hits(text, F.col("hate_hits"), F.col("safe_hits")))
-    if model is no_model:
-        return ruled
-    return _asked_of(ruled, model(text)).withColumn("score", F.greatest("score", T.clamp(F.coalesce("_score", L.single(0)), 0, 1))).drop("_score")
+    return ruled if model is no_model else _answered(ruled, model, text).withColumn("score", _raised()).drop("_score")
 
 
 def with_second_opinion(scored: DataFrame, config: ScanConfig, opinion: Opinion | None) -> DataFrame:
-    """Adds asked, and raises the score of borderline rows to the opinion's, in one pass. Only their texts reach the opinion."""
+    """Adds asked, and raises the score of borderline rows to the opinion's. Only their texts reach the opinion.
+
+    A column function answers in the same pass. A model of tables gets the borderline rows dealt anew over all tasks, since
+    an answer may take seconds; the others never leave the JVM.
+    """
     on = bool(opinion and config.use_opinion)
     marked = scored.withColumn("asked", borderline(F.col("score"), config.threshold) & F.lit(on))
     if not on:
         return marked
-    said = _asked_of(marked, opinion(F.when(F.col("asked"), F.col("text"))))
-    raised = F.greatest("score", F.coalesce(T.clamp(F.col("_score"), 0, 1), L.single(0)))
-    return said.withColumn("score", F.when(F.col("asked"), raised).otherwise(F.col("score"))).drop("_score")
+    if isinstance(opinion, TableModel):
+        band = marked.filter("asked").repartition(int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        said = _answered(band, opinion, F.col("text")).withColumn("score", _raised()).drop("_score")
+        return marked.filter(~F.col("asked")).unionByName(said.select(*marked.columns))
+    said = _answered(marked, opinion, F.when(F.col("asked"), F.col("text")))
+    return said.withColumn("score", F.when(F.col("asked"), _raised()).otherwise(F.col("score"))).drop("_score")
 
 
 def with_decision(scored: DataFrame, threshold: float) -> DataFrame:
-    """Adds override and flagged: a hate phrase flags, else a safe phrase clears, else the threshold decides. No score, or an error: not flagged."""
+    """Adds override and flagged: a hate phrase flags, else a safe phrase clears, else the threshold decides. No score, or a
+    failure (a column of the comments, where there is one): not flagged."""
     override = F.when(F.size("hate_hits") > 0, "hate").when(F.size("safe_hits") > 0, "safe")
     flagged = F.when(override == "hate", True).when(override == "safe", False).otherwise(F.coalesce(F.col("score") >= L.single(threshold), F.lit(False)))
-    return scored.withColumn("override", override).withColumn("flagged", flagged & F.col("error").isNull())
+    failed = F.col("failure").isNotNull() if "failure" in scored.columns else F.lit(False)
+    return scored.withColumn("override", override).withColumn("flagged", flagged & ~failed)
 
 
 def decide(comments: DataFrame, phrases: DataFrame, config: ScanConfig | None = None, model: Model | None = None, opinion: Opinion | None = None) -> DataFrame:
-    """comments (comment_id, text, ...) with score, asked, error, override and flagged."""
+    """comments (comment_id, text, ...) with score, asked, error, override and flagged.
+
+    A null text scores 0; a null or repeated id is a row like others. A model or an opinion that fails on a row counts 0 there and
+    leaves its message in error; rules and overrides decide all the same. A comment that its source could not read has a
+    message in the column failure, if there is one: it is not flagged. No comments give no rows.
+    """
     config = (config or ScanConfig()).clamped()
     scored = with_rule_scores(comments, phrases, model if model and config.use_model else no_model)
     return with_decision(with_second_opinion(scored, config, opinion), config.threshold)
 
 
 def decision_log(decisions: DataFrame) -> DataFrame:
-    """decisions with line, what the log says of each: the decision, or the error that kept it from being made."""
+    """decisions with line, what the log says of each: the decision, with what failed on the way to it, or why there is none."""
     note = F.when(F.col("override").isNotNull(), F.concat(F.lit(" override="), F.col("override"))).otherwise("")
+    missed = F.when(F.col("error").isNotNull(), F.concat(F.lit(" error="), F.col("error"))).otherwise("")
     shown = F.concat(F.lit(" text='"), T.preview(F.coalesce("text", F.lit(""))), F.lit("'"))
-    line = F.concat(F.lit("scan:decision score="), T.two_places(F.col("score")), F.lit(" flagged="), F.col("flagged").cast("string"), note, shown)
-    return decisions.withColumn("line", F.when(F.col("error").isNull(), line).otherwise(F.concat(F.lit("scan:error "), "error")))
+    line = F.concat(F.lit("scan:decision score="), T.two_places(F.col("score")), F.lit(" flagged="), F.col("flagged").cast("string"), note, missed, shown)
+    if "failure" in decisions.columns:
+        line = F.when(F.col("failure").isNull(), line).otherwise(F.concat(F.lit("scan:error "), "failure"))
+    return decisions.withColumn("line", line)
 
 
 def quick_check(comments: DataFrame, phrases: DataFrame) -> DataFrame:
-    """The user score at a fixed cut, without model, opinion or overrides."""
-    score = L.user_score(F.col("text"), F.col("hate"), F.col("safe"))
-    both = comments.crossJoin(F.broadcast(phrases)).withColumn("score", score)
-    return both.select(*comments.columns, "score", F.when(F.col("score") >= L.single(0.8), "Harmful").otherwise("Okay").alias("verdict"))
+    """comments with score, the user score, and verdict at a fixed cut, without model, opinion or overrides."""
+    both, hate, safe = _with_phrases(comments, phrases)
+    scored = both.withColumn("score", L.user_score(F.col("text"), hate, safe))
+    judged = scored.withColumn("verdict", F.when(F.col("score") >= L.single(0.8), "Harmful").otherwise("Okay"))
+    return judged.select(*(F.col(f"`{c}`") for c in comments.drop("score", "verdict").columns), "score", "verdict")
 
 
-def not_known(found: DataFrame, *known: DataFrame) -> DataFrame:
-    """Rows of `found` whose text no known table holds, repeats kept. Stored texts have separators blanked, so both sides are.
+def text_key(text: Column) -> Column:
+    """Stored texts have separators blanked, so both sides do; they meet by a 256-bit hash, and no text is moved to be compared."""
+    return F.sha2(T.without_separators(text), 256)
 
-    Texts meet by a 256-bit hash, in one join over all known tables, so that no text is moved to be compared.
-    """
+
+def _known_keys(known: tuple[DataFrame, ...], name: str) -> DataFrame:
+    keys = known[0].select(text_key(F.col("text")).alias(name))
+    for table in known[1:]:
+        keys = keys.unionByName(table.select(text_key(F.col("text")).alias(name)))
+    return keys.distinct()
+
+
+def not_known(found: DataFrame, *known: DataFrame) -> DataFrame:
+    """Rows of `found` whose text no known table holds, repeats and null texts kept; one join over all known tables."""
     if not known:
         return found
-    key = F.sha2(T.without_separators(F.col("text")), 256).alias("_key")
-    texts = known[0].select(key)
-    for table in known[1:]:
-        texts = texts.unionByName(table.select(key))
-    return found.withColumn("_key", key).join(texts.distinct(), "_key", "left_anti").drop("_key")
+    key = T.unused("_key", found)
+    return found.withColumn(key, text_key(F.col("text"))).join(_known_keys(known, key), key, "left_anti").drop(key)
 
 
 def with_fresh(decisions: DataFrame, *known: DataFrame) -> DataFrame:
-    """decisions with fresh: flagged, and not held by a known table. One join, to which rows that are not flagged bring keys
-    of their own, so that none of them meet in one task."""
-    key = lambda text: F.sha2(T.without_separators(text), 256)
-    texts = known[0].select(key(F.col("text")).alias("_key"))
-    for table in known[1:]:
-        texts = texts.unionByName(table.select(key(F.col("text")).alias("_key")))
-    mine = F.when(F.col("flagged") & F.col("text").isNotNull(), key(F.col("text"))).otherwise(F.concat(F.lit("row "), F.col("comment_id").cast("string")))
-    both = decisions.withColumn("_key", mine).join(texts.distinct().withColumn("_held", F.lit(True)), "_key", "left")
-    return both.withColumn("fresh", F.col("flagged") & F.col("_held").isNull()).drop("_key", "_held")
+    """decisions with fresh: flagged, and not held by a known table (null texts are held by none). One join, to which rows that
+    are not flagged bring keys of their own, so that none of them meet in one task."""
+    if not known:
+        return decisions.withColumn("fresh", F.col("flagged"))
+    key, held = T.unused("_key", decisions), T.unused("_held", decisions)
+    mine = F.when(F.col("flagged") & F.col("text").isNotNull(), text_key(F.col("text"))).otherwise(F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+    both = decisions.withColumn(key, mine).join(_known_keys(known, key).withColumn(held, F.lit(True)), key, "left")
+    return both.withColumn("fresh", F.col("flagged") & F.col(held).isNull()).drop(key, held)
 
 
 def scan_stats(decisions: DataFrame, *by: str) -> DataFrame:

@@ -9,7 +9,9 @@ from commentscan.config import ScanConfig
 from commentscan.functions import lexicon as L
 from commentscan.functions import text as T
 from commentscan.operators import scan as S
+from commentscan.operators.models import Batched, Learned
 from commentscan.sources import comments as C
+from commentscan.sources.scratch import scratch
 from commentscan.sources.tables import spread, table
 
 HATE, SAFE = ("idiot",), ("trash", "die")
@@ -185,9 +187,48 @@ def brittle(text: str) -> float:
 
 
 def row_errors(spark, sf_dir):
-    """A model that raises on some rows: those are not flagged and say why, the others are decided as ever."""
+    """A model that raises on some rows: it counts 0 there and says why; rules and phrases decide those, as they do the others."""
     done = decided(spark, sf_dir, ScanConfig(use_model=True), model=S.guarded(brittle))
-    return done.groupBy("source").agg(F.count("*").alias("total"), F.count_if("flagged").alias("flagged"), F.count_if(F.col("error") == "no answer").alias("errors"))
+    both = F.count_if((F.col("error") == "no answer") & F.col("flagged")).alias("errors_flagged")
+    return done.groupBy("source").agg(F.count("*").alias("total"), F.count_if("flagged").alias("flagged"), F.count_if(F.col("error") == "no answer").alias("errors"), both)
+
+
+def load_keywords():
+    """Stands for a model that takes long to load, and fails on a batch that holds certain texts."""
+
+    def score(texts: list[str]) -> list[float]:
+        if any(len(t) % 11 == 0 for t in texts):
+            raise ValueError("no answer")
+        return [S.OPINION_YES if any(w in t.lower() for w in S.OPINION_WORDS) else S.OPINION_NO for t in texts]
+
+    return score
+
+
+def batched_opinion(spark, sf_dir):
+    """A Python opinion, asked of borderline rows alone and batch by batch; texts that it fails on get none."""
+    done = decided(spark, sf_dir, ScanConfig(use_opinion=True), opinion=Batched(load_keywords))
+    return done.select("comment_id", "asked", shown().alias("score"), "flagged", "error")
+
+
+def learned_model_scan(spark, sf_dir):
+    """A classifier fitted on the labels, saved, loaded and fused with the rules."""
+    path = scratch(spark, "learned")
+    Learned.fit(labelled(spark, sf_dir)).save(path)
+    done = decided(spark, sf_dir, ScanConfig(use_model=True), model=Learned.load(path))
+    return done.select("comment_id", shown().alias("score"), "flagged")
+
+
+def pair_phrases(spark, sf_dir):
+    """Each two words that follow each other in a benchmark item, in lower case: hate of items with an even id, else safe."""
+    words = F.split(F.lower("text"), " ")
+    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))
+    long = table(spark, sf_dir, "benchmark").withColumn("words", words).filter("size(words) > 1")
+    return long.select(F.when(F.col("item_id") % 2 == 0, "hate").otherwise("safe").alias("polarity"), F.explode(pairs).alias("phrase"))
+
+
+def phrase_hits_large(spark, sf_dir):
+    """Hits of some thousand phrases, in one pass over each text."""
+    return L.phrase_hits(documents(spark, sf_dir), pair_phrases(spark, sf_dir))
 
 
 FINAL = f"""SELECT *, CASE WHEN borderline THEN greatest(score, {OPINION}) ELSE score END AS final FROM ({DECIDED})"""
@@ -242,7 +283,22 @@ QUERIES = {
     "row_errors": (
         row_errors,
         f"""SELECT source, count(*) AS total, count(*) FILTER (length(text) % 7 = 0) AS errors,
-            count(*) FILTER (length(text) % 7 <> 0 AND CASE WHEN n_hate > 0 THEN true WHEN n_safe > 0 THEN false ELSE greatest(score, {FEATURE}) >= 0.8::REAL END) AS flagged
-            FROM ({SCORED}) GROUP BY source""",
+            count(*) FILTER (hit) AS flagged, count(*) FILTER (hit AND length(text) % 7 = 0) AS errors_flagged
+            FROM (SELECT *, CASE WHEN n_hate > 0 THEN true WHEN n_safe > 0 THEN false ELSE greatest(score, CASE WHEN length(text) % 7 = 0 THEN 0 ELSE {FEATURE} END) >= 0.8::REAL END AS hit FROM ({SCORED}))
+            GROUP BY source""",
+    ),
+    "batched_opinion": (
+        batched_opinion,
+        f"""SELECT comment_id, asked, round(final::DOUBLE, 2) AS score, CASE WHEN n_hate > 0 THEN true WHEN n_safe > 0 THEN false ELSE final >= 0.8::REAL END AS flagged, error
+            FROM (SELECT *, borderline AS asked, CASE WHEN borderline AND length(text) % 11 = 0 THEN 'no answer' END AS error,
+                  CASE WHEN borderline AND length(text) % 11 <> 0 THEN greatest(score, {OPINION}) ELSE score END AS final FROM ({DECIDED}))""",
+    ),
+    "learned_model_scan": (learned_model_scan, None),
+    "phrase_hits_large": (
+        phrase_hits_large,
+        """WITH words AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark),
+             pairs AS (SELECT DISTINCT item_id % 2 = 0 AS hate, w[i] || ' ' || w[i + 1] AS phrase FROM (SELECT *, unnest(range(1, len(w))) AS i FROM words) WHERE trim(w[i] || w[i + 1], chr(9) || chr(10) || chr(13) || ' ') <> ''),
+             hits AS (SELECT doc_id, count(*) FILTER (hate) AS h, count(*) FILTER (NOT hate) AS s FROM (SELECT doc_id, lower(text) AS t FROM documents) JOIN pairs ON contains(t, phrase) GROUP BY doc_id)
+           SELECT doc_id AS comment_id, coalesce(h, 0) AS n_hate_hits, coalesce(s, 0) AS n_safe_hits FROM documents LEFT JOIN hits USING (doc_id)""",
     ),
 }

@@ -1,12 +1,17 @@
 """Golden rows of the scan, and its edges."""
 
+import random
+
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from commentscan.config import ScanConfig
 from commentscan.functions import lexicon as L
+from commentscan.functions.automaton import Automaton
 from commentscan.operators import scan as S
+from commentscan.operators.models import Batched, Learned
 from commentscan.plans.scan_queries import phrase_row
 
 # The sample comments and the phrase that the scan must handle.
@@ -121,24 +126,160 @@ def test_blank_and_short_phrases_in_the_join(spark):
     assert {r["n_hate_hits"] for r in L.phrase_hits(comments(spark, ["x", None]), lexicon.limit(0)).collect()} == {0}
 
 
-def test_failing_rows_are_not_flagged_and_say_why(spark):
+def test_a_failing_model_counts_nothing_and_says_why(spark):
     def model(text):
         if "bad" in text:
             raise ValueError("cannot read")
         return 0.9
 
     for more in ({"model": S.guarded(model), "config": ScanConfig(use_model=True)}, {"opinion": S.guarded(model), "config": ScanConfig(use_opinion=True)}):
-        rows = decided(spark, ["you people bad", "you people", "fuck you bad"], hate=("bad",), **more)
+        rows = decided(spark, ["you people bad", "you people", "kill bad", "a pal bad", "die bad"], hate=("pal",), **more)
         failed = rows["you people bad"]
-        assert (failed["flagged"], failed["error"]) == ((False, "cannot read") if "model" in more else (True, None))
+        assert (failed["flagged"], round(failed["score"], 2), failed["error"]) == (False, 0.6, "cannot read")
         assert rows["you people"]["flagged"] and rows["you people"]["error"] is None
+        assert all(rows[t]["flagged"] for t in ("kill bad", "a pal bad", "die bad"))  # by the rules, and by the phrase
     df = S.decide(comments(spark, ["bad", "trash pal", "fine'"]), phrase_row(spark, (), ("pal",)), ScanConfig(use_model=True), S.guarded(model))
     lines = {r["text"]: r["line"] for r in S.decision_log(df).collect()}
-    assert lines["bad"] == "scan:error cannot read"
+    assert lines["bad"] == "scan:decision score=0.00 flagged=false error=cannot read text='bad'"
     assert lines["trash pal"] == "scan:decision score=0.90 flagged=false override=safe text='trash pal'"
     assert lines["fine'"] == "scan:decision score=0.90 flagged=true text='fine''"
 
 
+def test_comments_that_could_not_be_read_are_not_flagged(spark):
+    rows = spark.createDataFrame([(1, "kill", None), (2, "kill", "no page")], "comment_id long, text string, failure string")
+    done = S.decision_log(S.decide(rows, phrase_row(spark))).collect()
+    assert [(r["comment_id"], r["flagged"]) for r in done] == [(1, True), (2, False)] and done[1]["line"] == "scan:error no page"
+
+
+@pytest.mark.parametrize("answer", [None, float("nan"), 0.0, -3.0])
+def test_no_opinion_raises_nothing(spark, answer):
+    @F.pandas_udf("float")
+    def column(texts: pd.Series) -> pd.Series:
+        return pd.Series([answer] * len(texts), dtype="float32")
+
+    for opinion in (lambda t: F.lit(answer).cast("float"), S.guarded(lambda t: answer), column, Batched(lambda: lambda texts: [answer] * len(texts))):
+        for kind in ("opinion", "model"):
+            rows = decided(spark, ["hate", "toxic", "die"], config=ScanConfig(use_opinion=kind == "opinion", use_model=kind == "model"), **{kind: opinion})
+            assert {t: (round(r["score"], 2), r["flagged"]) for t, r in rows.items()} == {"hate": (0.7, False), "toxic": (0.6, False), "die": (0.8, True)}
+
+
+def test_batched_opinions(spark):
+    """One load a worker, only borderline rows reach Python, a batch that fails is asked again row by row."""
+    loads, seen = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+
+        def score(texts):
+            seen.add(len(texts))
+            if any("bad" in t for t in texts):
+                raise ValueError("cannot read")
+            return [0.9] * len(texts)
+
+        return score
+
+    texts = [f"hate {k}" for k in range(50)] + [f"fine {k}" for k in range(500)] + ["hate bad", "kill bad"]
+    rows = decided(spark, texts, config=ScanConfig(use_opinion=True), opinion=Batched(load, size=10))
+    assert len(rows) == len(texts) and all(rows[f"hate {k}"]["flagged"] for k in range(50))
+    assert (rows["hate bad"]["flagged"], rows["hate bad"]["error"]) == (False, "cannot read")
+    assert (rows["kill bad"]["flagged"], rows["kill bad"]["asked"]) == (True, False)
+    assert 51 <= seen.value <= 51 + 10 and 1 <= loads.value <= 4
+
+
+def test_opinions_that_take_too_long_or_never_load(spark):
+    import time
+
+    def slow(texts):
+        if "slow" in texts[0] or len(texts) > 1:
+            time.sleep(30)
+        return [0.9] * len(texts)
+
+    def broken():
+        raise OSError("no such file")
+
+    config, began = ScanConfig(use_opinion=True), time.time()
+    rows = decided(spark, ["hate", "hate slow"], config=config, opinion=Batched(lambda: slow, seconds=0.5))
+    assert time.time() - began < 25
+    assert rows["hate"]["flagged"] and rows["hate slow"]["error"] == "no answer in 0.5 s" and not rows["hate slow"]["flagged"]
+    rows = decided(spark, ["hate", "kill"], config=config, opinion=Batched(broken))
+    assert rows["hate"]["error"] == "no such file" and rows["kill"]["flagged"]
+    rows = decided(spark, ["hate 1", "hate 2"], config=config, opinion=Batched(lambda: lambda texts: [0.9][: 2 - len(texts)]))
+    assert all(r["flagged"] for r in rows.values())  # short answers to both, right ones to each
+
+
+def test_a_learned_model_equals_a_plain_refit(spark, tmp_path):
+    """The same words, fitted by Newton's method in numpy."""
+    rng = np.random.default_rng(1)
+    words = [f"w{k}" for k in range(30)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 8))) for _ in range(120)]
+    label = [("hate" if ("w1" in t.split()) + (k % 7 == 0) > 0 else "safe") for k, t in enumerate(texts)]
+    rows = spark.createDataFrame([*zip(texts, label, strict=True), (None, "hate"), ("w1", None), ("w1", "other")], "text string, label string")
+    model = Learned.fit(rows, penalty=0.05)
+    x = np.array([[w in t.split() for w in words] for t in texts], float)
+    y = np.array([v == "hate" for v in label], float)
+    # The penalty applies to columns in units of their standard deviation.
+    scale = x.std(0, ddof=1)
+    z = np.hstack([x / np.where(scale > 0, scale, 1), np.ones((len(x), 1))])
+    ridge, b = np.diag([0.05] * len(words) + [0]), np.zeros(len(words) + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ b))
+        b -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) / len(x) + ridge, z.T @ (p - y) / len(x) + ridge @ b)
+    want = 1 / (1 + np.exp(-z @ b))
+    model.save(str(tmp_path / "model"))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, " "])], "comment_id long, text string")
+    got = sorted(Learned.load(str(tmp_path / "model")).answers(df).collect(), key=lambda r: r["comment_id"])
+    assert max(abs(r["_score"] - w) for r, w in zip(got, want)) < 1e-3
+    assert [(r["text"], r["_score"]) for r in got[-2:]] == [(None, None), (" ", None)]
+    scanned = S.decide(df, phrase_row(spark), ScanConfig(use_model=True), model=model)
+    assert {r["comment_id"] for r in scanned.filter("flagged").collect()} == {r["comment_id"] for r in got if (r["_score"] or 0) >= 0.8}
+
+
+def test_columns_with_clashing_names(spark):
+    odd = comments(spark, ["kill", None]).selectExpr("*", "1 as hate", "2 as safe", "3 as _hate", "4 as _key", "5 as _held", "6 as `a.b`", "7 as score", "8 as error", "9 as hate_hits")
+    done = S.decide(odd, phrase_row(spark), ScanConfig(use_model=True), S.guarded(lambda t: 0.1))
+    assert [(r["hate"], r["safe"], r["_hate"], r["_key"], r["a.b"], r["flagged"]) for r in done.collect()] == [(1, 2, 3, 4, 6, True), (1, 2, 3, 4, 6, False)]
+    assert [r["verdict"] for r in S.quick_check(odd, phrase_row(spark)).collect()] == ["Harmful", "Okay"]
+    known = comments(spark, ["kill"])
+    assert S.not_known(done, known).count() == 1 and not any(r["fresh"] for r in S.with_fresh(done, known).collect())
+    assert [r["fresh"] for r in S.with_fresh(done).collect()] == [True, False] and S.with_fresh(done, known).columns == [*done.columns, "fresh"]
+
+
+def test_automaton_finds_what_a_plain_search_finds():
+    rng = random.Random(1)
+    for _ in range(150):
+        letters = rng.choice(["ab", "abc é", "xyzß日"])
+        phrases = list({"".join(rng.choices(letters, k=rng.choice((1, 2, 3, 5, 12, 13, 20)))).encode() for _ in range(rng.randrange(1, 30))})
+        texts = ["".join(rng.choices(letters, k=rng.choice((0, 1, 5, 40, 600, 1500)))).encode() for _ in range(rng.randrange(1, 8))]
+        cuts, data = np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), np.uint8)
+        got = Automaton(phrases).occurrences(data, cuts)
+        assert list(zip(*(g.tolist() for g in got), strict=True)) == sorted((k, j) for k, t in enumerate(texts) for j, p in enumerate(phrases) if p in t)
+
+
+def test_phrase_hits_of_many_phrases_and_long_texts(spark, monkeypatch):
+    """Linear in the text; a hundred thousand phrases; a lexicon in several broadcasts and passes; null and repeated ids."""
+    import time
+
+    rng = random.Random(2)
+    phrases = list({f"x{rng.randrange(10**6)} y{rng.randrange(10)}" for _ in range(100_000)})
+    rows = [("hate" if k % 2 else "safe", p) for k, p in enumerate(phrases)] + [("hate", phrases[0]), ("other", "q"), ("hate", None)]
+    lexicon = spark.createDataFrame(pd.DataFrame(rows, columns=["polarity", "phrase"]))
+    few = rng.sample(phrases, 40)
+    took = []
+    for n in (50_000, 400_000):
+        long = ("Filler é words " * n)[: n // 2] + " ".join(few).upper() + ("z y0 x1 " * n)[: n // 2]
+        df = spark.createDataFrame([(None, long), (None, "none"), (7, few[0]), (7, None)], "comment_id long, text string")
+        want = [sum(phrases.index(p) % 2 == odd for p in few) for odd in (1, 0)]
+        began = time.time()
+        got = L.phrase_hits(df, lexicon).collect()
+        took.append(time.time() - began)
+        assert [r["comment_id"] for r in got] == [None, None, 7, 7] and [*got[0]][1:] == want and [*got[1]][1:] == [*got[3]][1:] == [0, 0]
+        assert sum([*got[2]][1:]) >= 1
+    assert took[1] < took[0] * 8 + 10
+    monkeypatch.setattr(L, "HEADS", 300_000)
+    monkeypatch.setattr(L, "TOGETHER", 2)
+    assert sorted(map(repr, L.phrase_hits(df, lexicon).collect())) == sorted(map(repr, got))
+
+
 def test_trim_is_linear_in_inner_blanks(spark):
     import time
 
