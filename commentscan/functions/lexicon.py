@@ -33,32 +33,46 @@ def single(value: float) -> Column:
     return F.lit(value).cast("float")
 
 
-def base_score(text: Column) -> Column:
-    """Each term that occurs counts once, wherever it stands; at most 1. Null texts score 0."""
+def _total(lowered: Column) -> Column:
+    score = single(0)
+    for term, weight in {**PHRASES, **WORDS}.items():
+        score = score + F.when(lowered.contains(term), single(weight)).otherwise(single(0))
+    return F.least(score, single(1))
+
+
+def _occurring(lowered: Column, phrases: Column) -> Column:
+    return F.filter(phrases, lambda p: F.contains(lowered, p) & ~p.rlike(r"(?U)^\s*$"))
+
 
-    def total(lowered: Column) -> Column:
-        score = single(0)
-        for term, weight in {**PHRASES, **WORDS}.items():
-            score = score + F.when(lowered.contains(term), single(weight)).otherwise(single(0))
-        return F.least(score, single(1))
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
 
-    return T.let(F.lower(F.coalesce(text, F.lit(""))), total)
+
+def base_score(text: Column) -> Column:
+    """Each term that occurs counts once, wherever it stands; at most 1. Null texts score 0."""
+    return T.let(lowered(text), _total)
 
 
 def hits(text: Column, phrases: Column) -> Column:
     """The phrases of an array that occur in the text; blank ones never do."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    return T.let(lowered, lambda t: F.filter(phrases, lambda p: F.contains(t, p) & ~p.rlike(r"(?U)^\s*$")))
+    return T.let(lowered(text), lambda t: _occurring(t, phrases))
+
+
+def _with_hits(base: Column, n_hate: Column, n_safe: Column) -> Column:
+    """The capped base score, plus and minus the weights of the phrases that occur, one by one; held to 0..1 at the end only."""
+    raised = F.aggregate(n_hate, base, lambda s, _: (s + single(HATE_WEIGHT)).cast("float"))
+    return T.clamp(F.aggregate(n_safe, raised, lambda s, _: (s - single(SAFE_WEIGHT)).cast("float")), 0, 1)
 
 
-def score_with_hits(text: Column, hate_hits: Column, safe_hits: Column) -> Column:
-    """The capped base score, plus and minus the weights of the phrases that occur; held to 0..1 at the end only."""
-    raised = F.aggregate(hate_hits, base_score(text), lambda s, _: (s + single(HATE_WEIGHT)).cast("float"))
-    return T.clamp(F.aggregate(safe_hits, raised, lambda s, _: (s - single(SAFE_WEIGHT)).cast("float")), 0, 1)
+def hits_and_score(text: Column, hate: Column, safe: Column) -> Column:
+    """struct(hate_hits, safe_hits, score): the phrases of two arrays that occur in the text, and the user score; the text is put
+    in lower case once."""
+    found = T.let(lowered(text), lambda t: F.struct(_occurring(t, hate).alias("hate_hits"), _occurring(t, safe).alias("safe_hits"), _total(t).alias("base")))
+    return T.let(found, lambda f: F.struct(f["hate_hits"].alias("hate_hits"), f["safe_hits"].alias("safe_hits"), _with_hits(f["base"], f["hate_hits"], f["safe_hits"]).alias("score")))
 
 
 def user_score(text: Column, hate: Column, safe: Column) -> Column:
-    return score_with_hits(text, hits(text, hate), hits(text, safe))
+    return hits_and_score(text, hate, safe)["score"]
 
 
 def build_lexicon(labels: DataFrame, cap: int | None = CAPS["phrases"]) -> DataFrame:

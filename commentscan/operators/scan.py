@@ -98,8 +98,9 @@ def with_rule_scores(comments: DataFrame, phrases: DataFrame, model: Model = no_
     rest = comments.drop("hate_hits", "safe_hits", "error", "score")
     both, hate, safe = _with_phrases(rest, phrases)
     text = F.col("text")
-    found = both.select(*(F.col(f"`{c}`") for c in rest.columns), L.hits(text, hate).alias("hate_hits"), L.hits(text, safe).alias("safe_hits"))
-    ruled = found.withColumn("error", F.lit(None).cast("string")).withColumn("score", L.score_with_hits(text, F.col("hate_hits"), F.col("safe_hits")))
+    found = both.select(*(F.col(f"`{c}`") for c in rest.columns), L.hits_and_score(text, hate, safe).alias("score"))
+    error = F.lit(None).cast("string").alias("error")
+    ruled = found.select(*(F.col(f"`{c}`") for c in rest.columns), "score.hate_hits", "score.safe_hits", error, F.col("score.score").alias("score"))
     return ruled if model is no_model else _answered(ruled, model, text).withColumn("score", _raised()).drop("_score")
 
 
@@ -114,9 +115,13 @@ def with_second_opinion(scored: DataFrame, config: ScanConfig, opinion: Opinion
     if not on:
         return marked
     if isinstance(opinion, TableModel):
-        band = marked.filter("asked").repartition(int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        # Filters that ask for a row number stay above it, so scores are worked out once a row and side, not once more to filter by them.
+        row = T.unused("_row", marked)
+        numbered = marked.withColumn(row, F.monotonically_increasing_id())
+        either = lambda asked: numbered.filter(asked & (F.col(row) >= 0)).drop(row)
+        band = either(F.col("asked")).repartition(int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         said = _answered(band, opinion, F.col("text")).withColumn("score", _raised()).drop("_score")
-        return marked.filter(~F.col("asked")).unionByName(said.select(*marked.columns))
+        return either(~F.col("asked")).unionByName(said.select(*marked.columns))
     said = _answered(marked, opinion, F.when(F.col("asked"), F.col("text")))
     return said.withColumn("score", F.when(F.col("asked"), _raised()).otherwise(F.col("score"))).drop("_score")
 
