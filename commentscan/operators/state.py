@@ -195,14 +195,29 @@ def corrections_as_labels(actions: DataFrame) -> DataFrame:
 
 
 def training_queue(enqueued: DataFrame, labels: DataFrame, cap: int | None = CAPS["queue"]) -> DataFrame:
-    """enqueued (seq, text): the last `cap` of them, without those that someone has labelled since; oldest first.
+    """enqueued (seq, text) to what waits after all labels (seq, text), oldest first: `cap` texts at most.
 
-    New flags are enqueued, and flags by hand. The cap counts before labels do: what it pushed out does not come back. Stored
-    texts have record separators blanked, on both sides.
+    A label answers the oldest occurrence of its text that waits; one that finds none answers nothing. So a text that is
+    enqueued again after its label is asked again, and of two equal ones, one label leaves one. Each text that is enqueued
+    pushes out the oldest beyond the cap, which no label can answer any more. Stored texts have record separators blanked, on
+    both sides. At equal seqs labels come first; null texts are never answered.
     """
-    key = T.without_separators(F.col("text"), both=False)
-    held = keep_last(enqueued, cap).withColumn("text", key)
-    return held.join(labels.select(key.alias("text")).distinct(), "text", "left_anti").orderBy("seq")
+    text = T.without_separators(F.col("text"), both=False)
+    key = F.coalesce(F.sha2(text, 256), F.lit(""))
+    ins = enqueued.select("seq", key.alias("key"))
+    outs = labels.filter("text is not null").select("seq", key.alias("key")).join(ins.select("key").distinct(), "key", "left_semi")
+    numbered = enqueued.withColumn("key", key).withColumn("text", text)
+    if cap is not None:
+        changes = ins.withColumn("change", F.lit("add")).unionByName(outs.withColumn("change", F.lit("remove")))
+        held = capped_adds(changes.select(F.lit("queue").alias("side"), "seq", "key", "change"), cap, repeats=True)
+        return numbered.join(held.select("seq", "key"), ["seq", "key"], "left_semi").drop("key").orderBy("seq")
+    # Without a cap, a text's balance rises with each entry and falls with each label. All labels but those that would have brought
+    # it below 0 were spent, on the oldest entries.
+    events = ins.withColumn("enters", F.lit(1)).unionByName(outs.withColumn("enters", F.lit(-1)))
+    level = F.sum("enters").over(Window.partitionBy("key").orderBy("seq", "enters").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spent = events.withColumn("level", level).groupBy("key").agg((F.count_if(F.col("enters") < 0) + F.least(F.lit(0), F.min("level"))).alias("spent"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
+    return numbered.withColumn("nth", nth).join(spent, "key").filter("nth > spent").drop("nth", "spent", "key").orderBy("seq")
 
 
 def last_comments(scanned: DataFrame, clears: DataFrame | None = None, cap: int | None = CAPS["last_comments"]) -> DataFrame:

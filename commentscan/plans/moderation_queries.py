@@ -121,13 +121,28 @@ def new_flag_log(spark, sf_dir):
     return fresh.unionByName(by_hand)
 
 
+def answers(spark, sf_dir):
+    """Labels after the scan, some of them once more after the flags by hand."""
+    once = labelled(spark, sf_dir).select((F.col("seq") + 5 * 10**8).alias("seq"), "text")
+    return once.unionByName(once.filter("seq % 3 = 0").withColumn("seq", F.col("seq") + 2 * 10**9))
+
+
 def training_queue(spark, sf_dir):
-    """A queue of 30, without what is labelled."""
-    return M.training_queue(new_flag_log(spark, sf_dir), labelled(spark, sf_dir), 30).select("seq", F.md5("text").alias("text_md5"))
+    """A queue of 30, without what is answered; what is flagged by hand after its label is asked again."""
+    return M.training_queue(new_flag_log(spark, sf_dir), answers(spark, sf_dir), 30).select("seq", F.md5("text").alias("text_md5"))
 
 
 ENQUEUED = f"""SELECT comment_id AS seq, text FROM ({DECIDED}) WHERE flagged AND text NOT IN ({KNOWN})
   UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 50 = 0"""
+#: Event by event, texts being numbered: an entry goes to the end of the last thirty, a label takes the oldest of its text.
+WAITING = f"""SELECT unnest(list_reduce(list_prepend([]::BIGINT[], list([id * 10000000000 + seq, enters] ORDER BY seq, enters)), lambda acc, x:
+    CASE WHEN x[2] = 1 THEN list_concat(acc, [x[1]])[-30:]
+         WHEN list_position(list_transform(acc, lambda e: e // 10000000000), x[1] // 10000000000) IS NULL THEN acc
+         ELSE list_concat(acc[:list_position(list_transform(acc, lambda e: e // 10000000000), x[1] // 10000000000) - 1],
+                          acc[list_position(list_transform(acc, lambda e: e // 10000000000), x[1] // 10000000000) + 1:]) END)) % 10000000000 AS seq
+  FROM (SELECT dense_rank() OVER (ORDER BY text) AS id, seq, enters
+        FROM (SELECT text, seq, 1 AS enters FROM ({ENQUEUED}) UNION ALL SELECT text, seq + 500000000, 0 FROM ({LABELLED})
+              UNION ALL SELECT text, seq + 2500000000, 0 FROM ({LABELLED}) WHERE (seq + 500000000) % 3 = 0))"""
 
 
 def scanned(spark, sf_dir):
@@ -299,6 +314,65 @@ def stream_moderation(spark, sf_dir):
     return settled(R.latest_state(spark, out))
 
 
+def scan_in_batches(spark, sf_dir, out):
+    """All documents as three scans, one after the other."""
+    docs = documents(spark, sf_dir).withColumn("source_url", F.lit(None).cast("string"))
+    for k in range(3):
+        batch = docs.filter(F.col("comment_id") % 3 == k).withColumn("seq", F.col("comment_id"))
+        R.scan_batch(batch.withColumn("comment_id", F.col("comment_id").cast("string")), k, out, lambda: phrase_row(spark), ScanConfig())
+
+
+def stream_history(spark, sf_dir):
+    """The history that scans leave: what each held, flagged, and flagged anew."""
+    out = scratch(spark, "history")
+    scan_in_batches(spark, sf_dir, out)
+    return R.scan_history(spark, out).select("batch_id", "total", "flagged", "new_flags")
+
+
+def stream_last_comments(spark, sf_dir):
+    """What the last of the scans leaves to review: its last comments by arrival, not by id."""
+    out = scratch(spark, "last")
+    scan_in_batches(spark, sf_dir, out)
+    return R.last_comments(spark, out).select("seq", "comment_id", F.md5("text").alias("text_md5"))
+
+
+def stream_progress(spark, sf_dir):
+    """How far a streamed scan was when it ended."""
+    out = scratch(spark, "progress")
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
+    comments = docs.select(F.col("doc_id").cast("string").alias("comment_id"), "text", F.lit(None).cast("string").alias("source_url"))
+    progress = R.ScanProgress(spark, out)
+    R.start_scan(comments, out, f"{out}/_state", lambda: phrase_row(spark), once=True, progress=progress).awaitTermination()
+    progress.wait()
+    rows = R.scan_progress(spark, out)
+    return rows.groupBy("message").agg(F.max("done").alias("done"), F.max("total").alias("total")).filter("message = 'Done'")
+
+
+def ordered_scan(spark, sf_dir):
+    """All documents as three files that arrive one after the other, scanned fifty at a time."""
+    out = scratch(spark, "ordered")
+    docs = documents(spark, sf_dir).select(F.col("comment_id").cast("string").alias("comment_id"), "text", F.lit(None).cast("string").alias("source_url"), F.col("comment_id").alias("seq"))
+    for k in range(3):
+        docs.filter(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    R.start_ordered_scan(spark, f"{out}/in", "comment_id string, text string, source_url string, seq long", out, f"{out}/_state", lambda: phrase_row(spark)).awaitTermination()
+    return R.scan_history(spark, out, None).select("batch_id", "part", "total", "flagged", "new_flags")
+
+
+def request_outbox(spark, sf_dir):
+    """Hide and delete requests over three batches, the last of which runs twice: each is emitted once."""
+    out, flags = scratch(spark, "outbox"), flagged_log(spark, sf_dir)
+    ids = M.upsert_comment_ids(id_map(spark, sf_dir), None)
+    ask = lambda action: M.moderation_requests(flags, ids, action).withColumn("epoch", F.lit(1))
+    hide, delete = ask("hide"), ask("delete")
+    for batch, requests in enumerate((hide, delete, hide.unionByName(delete))):
+        R.emit_requests(requests, batch, out)
+    R.emit_requests(hide.unionByName(delete).unionByName(hide.withColumn("epoch", F.lit(2))), 2, out)
+    return R.read_table(spark, f"{out}/requests", R.REQUESTS).select("comment_id", "action", "epoch", F.md5("text").alias("text_md5"))
+
+
+#: Each flag with the scan that made it: new unless an earlier scan flagged its text.
+SCANNED = """WITH scans AS ({scans}), flags AS (SELECT text, min(scan) AS first FROM scans WHERE flagged GROUP BY text)
+  SELECT {keys}, count(*) AS total, count(*) FILTER (flagged) AS flagged, count(*) FILTER (flagged AND scan = first) AS new_flags FROM scans LEFT JOIN flags USING (text) GROUP BY ALL"""
 FLAGGED = f"SELECT comment_id AS seq, text FROM ({DECIDED}) WHERE flagged"
 LINE = "CASE event_type WHEN 'view' THEN 'scan:' WHEN 'click' THEN 'provider:' ELSE 'other:' END || event_type || ' ' || event_id"
 
@@ -310,7 +384,7 @@ QUERIES = {
     "keep_last_per_source": (keep_last_per_source, "SELECT source, doc_id AS seq FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 5"),
     "training_queue": (
         training_queue,
-        f"SELECT seq, md5(text) AS text_md5 FROM (SELECT * FROM ({ENQUEUED}) ORDER BY seq DESC LIMIT 30) WHERE text NOT IN (SELECT text FROM ({LABELLED}))",
+        f"SELECT seq, md5(text) AS text_md5 FROM ({ENQUEUED}) WHERE seq IN ({WAITING})",
     ),
     "last_comments": (
         last_comments,
@@ -366,6 +440,24 @@ QUERIES = {
              FROM (SELECT event_id AS seq, (user_id * 1000000000 + event_id + CASE event_type WHEN 'error' THEN 1000000000000000000 ELSE 0 END)::BIGINT AS code
                    FROM events WHERE event_type IN ('view', 'error')))""",
     ),
+    "stream_history": (stream_history, SCANNED.format(scans=f"SELECT *, comment_id % 3 AS scan FROM ({DECIDED})", keys="scan::INT AS batch_id")),
+    "stream_last_comments": (
+        stream_last_comments,
+        "SELECT doc_id AS seq, doc_id::VARCHAR AS comment_id, md5(text) AS text_md5 FROM documents WHERE doc_id % 3 = 2 ORDER BY doc_id DESC LIMIT 500",
+    ),
+    "stream_progress": (stream_progress, "SELECT 'Done' AS message, count(*) AS done, count(*) AS total FROM documents"),
+    "ordered_scan": (
+        ordered_scan,
+        SCANNED.format(
+            scans=f"SELECT *, b * 1000000 + part AS scan FROM (SELECT *, comment_id % 3 AS b, (row_number() OVER (PARTITION BY comment_id % 3 ORDER BY comment_id) - 1) // 50 AS part FROM ({DECIDED}))",
+            keys="b::INT AS batch_id, part",
+        ),
+    ),
+    "request_outbox": (
+        request_outbox,
+        f"""SELECT DISTINCT 'c' || m.id AS comment_id, action, epoch::BIGINT AS epoch, md5(f.text) AS text_md5
+            FROM ({FLAGGED}) f JOIN (SELECT text, max(doc_id) AS id FROM documents GROUP BY text) m ON f.text = m.text, (VALUES ('hide', 1), ('delete', 1), ('hide', 2)) v(action, epoch)""",
+    ),
     "stream_scan": (stream_scan, f"SELECT DISTINCT md5(text) AS text_md5 FROM ({FLAGGED})"),
     "stream_moderation": (stream_moderation, STATE),
 }

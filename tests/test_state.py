@@ -9,6 +9,7 @@ from commentscan.functions import lexicon as L
 from commentscan.operators import state as M
 from commentscan.plans.scan_queries import phrase_row
 from commentscan.sources.logs import CappedLog
+from commentscan.sources import keyed
 from commentscan.streaming import scan_stream as R
 
 
@@ -100,7 +101,7 @@ def test_evicted_urls_come_back_at_the_end(spark):
 
 def test_queue_caps_before_labels(spark):
     rows = spark.createDataFrame([(k, f"t\x01{k}") for k in range(1, 7)], "seq long, text string")
-    labels = spark.createDataFrame([("t 5",), ("t\x016",)], "text string")
+    labels = spark.createDataFrame([(7, "t 5"), (8, "t\x016"), (9, "t 1")], "seq long, text string")
     assert [r["seq"] for r in M.training_queue(rows, labels, 4).collect()] == [3, 4]
 
 
@@ -135,7 +136,7 @@ def test_caps_upserts_and_queue(spark):
     rows = spark.createDataFrame([(k, f"t{k % 3}", f"c{k}") for k in range(9)], "seq long, text string, comment_id string")
     assert {r["seq"] for r in M.keep_last(rows, 2).collect()} == {7, 8}
     assert {(r["text"], r["comment_id"]) for r in M.upsert_comment_ids(rows).collect()} == {("t0", "c6"), ("t1", "c7"), ("t2", "c8")}
-    labels = spark.createDataFrame([("t1",)], "text string")
+    labels = spark.createDataFrame([(9, "t1")], "seq long, text string")
     assert [r["seq"] for r in M.training_queue(rows, labels, 4).collect()] == [5, 6, 8]
     asked = M.moderation_requests(rows.filter("seq = 1").unionByName(rows.filter("seq = 2")).select("text"), M.upsert_comment_ids(rows, 1), "hide")
     assert [tuple(r) for r in asked.collect()] == [("c8", "hide", "t2")]
@@ -178,9 +179,9 @@ def test_stream_scan_is_idempotent(spark, tmp_path):
     assert R.read_table(spark, str(tmp_path / "out/flagged"), R.FLAGGED).count() == 2
 
 
-@pytest.mark.parametrize("snapshot", [2, 50])
-def test_stream_state_equals_the_fold_of_the_whole_log(spark, tmp_path, monkeypatch, snapshot):
-    monkeypatch.setattr(R, "SNAPSHOT", snapshot)
+@pytest.mark.parametrize("fan", [2, 10])
+def test_stream_state_equals_the_fold_of_the_whole_log(spark, tmp_path, monkeypatch, fan):
+    monkeypatch.setattr(keyed, "FAN", fan)
     rng = random.Random(7)
     names = ["flag", "flag", "hide", "unhide", "delete", "correct"] * 3 + ["clear_flagged", "clear_hidden"]
     log = [(k, f"i{rng.randrange(9)}", rng.choice(names)) for k in range(120)]
