@@ -37,11 +37,19 @@ RULES = {
     "web_token": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     "url_login": (r"[a-z]+://[A-Za-z0-9._-]+:[^\x20\x09-\x0D/:@]+@", 0, 0),
 }
+_RUN = "[A-Za-z0-9_-]"
 #: Patterns with the same long enough matches that look at a long run of letters once, not at each of them. The parts of
 #: RULES are what queries derive from, and what SQL without lookbehind can run.
-QUICK = {"hex": r"(?<![0-9a-f])[0-9a-f]{24,}", "url_login": r"(?<![a-z])" + RULES["url_login"][0]}
+QUICK = {
+    "hex": r"(?<![0-9a-f])[0-9a-f]{24,}",
+    "url_login": r"(?<![a-z])" + RULES["url_login"][0],
+    # A run is read from its begin to its first eyJ, where alone a match can start, and from there to its end.
+    "web_token": rf"(?<!{_RUN})((?>{_RUN}*?(?=eyJ)))(eyJ{_RUN}++\.{_RUN}++\.{_RUN}++)",
+}
+#: Of quick patterns that read something before a match: the groups of that and of the match.
+PARTS = {"web_token": (1, 2)}
 BASE = ("assign", "access", "hex")
-#: Candidates that are broadcast; past it Spark joins by shuffle, with a filter on the larger side.
+#: Candidates that are broadcast; past it Spark joins by shuffle what a bitmap of the candidates leaves.
 BROADCAST_ROWS = 200_000
 #: Matches whose places are added up at a time.
 STEP = 256
@@ -173,9 +181,13 @@ def spans_of(text: Column, rule: str) -> Column:
     """
     pattern, group, least = RULES[rule]
     pattern = QUICK.get(rule, pattern)
+    skipped, whole = PARTS.get(rule, (None, 0))
 
     def placed(x: Column) -> Column:
-        lengths = F.transform(F.arrays_zip(x["gaps"], x["all"]), lambda p: F.struct(F.char_length(p["gaps"]).alias("gap"), F.coalesce(F.char_length(p["all"]), F.lit(0)).alias("long")))
+        before = lambda p: F.coalesce(F.char_length(p["skip"]), F.lit(0))
+        lengths = F.transform(
+            F.arrays_zip(x["gaps"], x["all"], x["skip"]), lambda p: F.struct((F.char_length(p["gaps"]) + before(p)).alias("gap"), F.coalesce(F.char_length(p["all"]), F.lit(0)).alias("long"))
+        )
         each = F.arrays_zip(common.let(lengths, _starts).alias("at"), x["all"].alias("all"), x["sized"].alias("sized"))
         good = F.filter(each, lambda p: F.char_length(p["sized"]) >= least)
         return F.transform(
@@ -187,8 +199,9 @@ def spans_of(text: Column, rule: str) -> Column:
 
     found = F.struct(
         F.split(text, pattern, -1).alias("gaps"),
-        F.regexp_extract_all(text, F.lit(pattern), 0).alias("all"),
-        F.regexp_extract_all(text, F.lit(pattern), group).alias("sized"),
+        F.regexp_extract_all(text, F.lit(pattern), whole).alias("all"),
+        F.regexp_extract_all(text, F.lit(pattern), group or whole).alias("sized"),
+        (F.expr("cast(array() as array<string>)") if skipped is None else F.regexp_extract_all(text, F.lit(pattern), skipped)).alias("skip"),
     )
     return F.when(text.rlike(pattern), common.let(found, placed)).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
@@ -215,9 +228,11 @@ def scan_secrets(docs: DataFrame, rules: tuple[str, ...] = tuple(RULES)) -> Data
     if not words:
         return base.select("doc_id", "text_key", F.array_sort("base").alias("spans"))
     named = common.written(candidates(trigram_index(docs, words), queries), "candidates")
-    named = common.broadcast_if_small(named, named.count(), BROADCAST_ROWS)
+    n_named = named.count()
+    read = mine if n_named <= BROADCAST_ROWS else common.may_be_in(mine, "id", named)  # most other texts are not moved
+    named = common.broadcast_if_small(named, n_named, BROADCAST_ROWS)
     per_rule = [F.when(F.array_contains("rules", r), spans_of(F.col("text"), r)).otherwise(nothing) for r in rules if queries[r]]
-    verified = mine.join(named, "id").select("id", "text_key", F.concat(*per_rule).alias("more")).filter(F.size("more") > 0)
+    verified = read.join(named, "id").select("id", "text_key", F.concat(*per_rule).alias("more")).filter(F.size("more") > 0)
     once = verified.groupBy("id", "text_key").agg(F.first("more").alias("more"))
     both = base.join(once, ["id", "text_key"], "left")
     return both.select("doc_id", "text_key", F.array_sort(F.concat("base", F.coalesce("more", nothing))).alias("spans"))
