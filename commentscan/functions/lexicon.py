@@ -75,6 +75,21 @@ def user_score(text: Column, hate: Column, safe: Column) -> Column:
     return hits_and_score(text, hate, safe)["score"]
 
 
+def register_sql_functions(spark: SparkSession) -> None:
+    """base_score(text) and user_score(text, hate phrases, safe phrases) for spark.sql, as long as the session lasts; written
+    out of the same terms, in single precision."""
+    quoted = lambda term: "'" + term.replace("'", "\\'") + "'"
+    total = "CAST(0 AS FLOAT)"
+    for term, weight in {**PHRASES, **WORDS}.items():
+        total = f"({total} + CASE WHEN contains(t, {quoted(term)}) THEN {weight}F ELSE 0F END)"
+    base = f"transform(array(lower(coalesce(text, ''))), t -> least({total}, 1F))[0]"
+    hits = lambda side: f"filter({side}, p -> contains(lower(coalesce(text, '')), p) AND NOT p RLIKE r'(?U)^\\s*$')"
+    raised = f"aggregate({hits('hate')}, {base}, (s, p) -> CAST(s + {HATE_WEIGHT}F AS FLOAT))"
+    lowered_by = f"aggregate({hits('safe')}, {raised}, (s, p) -> CAST(s - {SAFE_WEIGHT}F AS FLOAT))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION base_score(text STRING) RETURNS FLOAT RETURN {base}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION user_score(text STRING, hate ARRAY<STRING>, safe ARRAY<STRING>) RETURNS FLOAT RETURN greatest(0F, least(1F, {lowered_by}))")
+
+
 def build_lexicon(labels: DataFrame, cap: int | None = CAPS["phrases"]) -> DataFrame:
     """labels (seq, text, label: hate or safe) to (polarity, phrase, seq): trimmed, lower case, at most `cap` a side.
 

@@ -93,6 +93,14 @@ def user_score(spark, sf_dir):
     return both.select("comment_id", score.alias("score")).select("comment_id", shown().alias("score"))
 
 
+def sql_scores(spark, sf_dir):
+    """Both scores by functions of spark.sql."""
+    L.register_sql_functions(spark)
+    array = lambda words: "array(" + ", ".join(f"'{w}'" for w in words) + ")"
+    query = f"SELECT comment_id, round(CAST(base_score(text) AS DOUBLE), 2) AS base, round(CAST(user_score(text, {array(HATE)}, {array(SAFE)}) AS DOUBLE), 2) AS score FROM {{comments}}"
+    return spark.sql(query, comments=documents(spark, sf_dir))
+
+
 def override_decision(spark, sf_dir):
     return decided(spark, sf_dir).select("comment_id", "override", "flagged")
 
@@ -241,6 +249,7 @@ QUERIES = {
     "scan_stats_by_source": (scan_stats_by_source, f"SELECT source, count(*) AS total, count(*) FILTER (flagged) AS flagged, 0::BIGINT AS asked FROM ({DECIDED}) GROUP BY source"),
     "build_lexicon": (build_lexicon, f"SELECT polarity, md5(phrase) AS phrase_md5, seq FROM ({LEXICON}) QUALIFY row_number() OVER (PARTITION BY polarity ORDER BY seq DESC, phrase) <= 1000"),
     "user_score": (user_score, f"SELECT comment_id, round(score::DOUBLE, 2) AS score FROM ({SCORED})"),
+    "sql_scores": (sql_scores, f"SELECT comment_id, round(base::DOUBLE, 2) AS base, round(score::DOUBLE, 2) AS score FROM ({SCORED})"),
     "override_decision": (override_decision, f"SELECT comment_id, override, flagged FROM ({DECIDED})"),
     "quick_check": (quick_check, f"SELECT comment_id, round(score::DOUBLE, 2) AS score, CASE WHEN score >= 0.8::REAL THEN 'Harmful' ELSE 'Okay' END AS verdict FROM ({SCORED})"),
     "phrase_hits": (

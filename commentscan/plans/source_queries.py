@@ -70,6 +70,13 @@ def stitch_pages(spark, sf_dir):
     return C.stitch_comment_pages(json_pages(spark, sf_dir), limit=None).select("source_url", "page_no", "pos", F.md5("text").alias("text_md5"))
 
 
+def stitch_by_cursor(spark, sf_dir):
+    """The same pages without their numbers: each knows the cursor that it was asked for with, and names the next one."""
+    cursor = F.when(F.col("page_no") > 0, (F.col("page_no") - 1).cast("string"))
+    pages = json_pages(spark, sf_dir).select("shortcode", cursor.alias("cursor"), "json")
+    return C.stitch_by_cursor(pages, limit=None).select("source_url", "page_no", "pos", F.md5("text").alias("text_md5"))
+
+
 def first_per_url(spark, sf_dir):
     return C.comments_from_html(html_pages(spark, sf_dir), limit=3).groupBy("source_url").agg(F.count("*").alias("n_comments"))
 
@@ -173,6 +180,7 @@ QUERIES = {
     "comments_from_html": (comments_from_html, f"SELECT 'https://h/u/' || conv_id AS source_url, n::INT AS pos, md5(text) AS text_md5 FROM ({HTML})"),
     "comments_from_json": (comments_from_json, f"SELECT 'c_' || conv_id AS source_url, page_no::INT AS page_no, pos::INT AS pos, md5(text) AS text_md5 FROM ({WELL})"),
     "stitch_pages": (stitch_pages, f"SELECT 'c_' || conv_id AS source_url, page_no::INT AS page_no, pos::INT AS pos, md5(text) AS text_md5 FROM ({STITCHED})"),
+    "stitch_by_cursor": (stitch_by_cursor, f"SELECT 'c_' || conv_id AS source_url, page_no::INT AS page_no, pos::INT AS pos, md5(text) AS text_md5 FROM ({STITCHED})"),
     "first_per_url": (first_per_url, f"SELECT 'https://h/u/' || conv_id AS source_url, least(3, count(*)) AS n_comments FROM ({HTML}) GROUP BY conv_id"),
     "url_shortcode": (
         url_shortcode,

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from commentscan.config import MONITORED_PER_URL, PER_URL
 from commentscan.functions import text as T
+from commentscan.sources.scratch import scratch_table
 
 PAYLOAD = r"[\x01\n]"
 LINES = r"\r\n|\n|\r"
 PAGE_SCHEMA = """data struct<shortcode_media: struct<edge_media_to_parent_comment: struct<
-  edges: array<struct<node: struct<text: string>>>, page_info: struct<has_next_page: boolean>>>>,
+  edges: array<struct<node: struct<text: string>>>, page_info: struct<has_next_page: boolean, end_cursor: string>>>>,
 graphql struct<shortcode_media: struct<edge_media_to_parent_comment: struct<
-  edges: array<struct<node: struct<text: string>>>, page_info: struct<has_next_page: boolean>>>>"""
+  edges: array<struct<node: struct<text: string>>>, page_info: struct<has_next_page: boolean, end_cursor: string>>>>"""
 
 
 def split_comments(df: DataFrame, column: str = "payload", separator: str = PAYLOAD) -> DataFrame:
@@ -31,8 +32,8 @@ def first_per_url(df: DataFrame, limit: int | Column | None, *order: str) -> Dat
     """The first `limit` rows of each source_url; all rows, unranked, if it is None."""
     if limit is None:
         return df
-    rank = F.row_number().over(Window.partitionBy("source_url").orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+    rank = T.unused("_rank", df)
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy("source_url").orderBy(*order))).filter(F.col(rank) <= limit).drop(rank)
 
 
 def comments_from_html(pages: DataFrame, limit: int | None = PER_URL) -> DataFrame:
@@ -44,16 +45,18 @@ def comments_from_html(pages: DataFrame, limit: int | None = PER_URL) -> DataFra
 
 
 def parsed_pages(pages: DataFrame, shapes: tuple[str, ...] = ("data", "graphql")) -> DataFrame:
-    """pages (shortcode, page_no, json) with ok, has_next and texts; malformed JSON, or of another shape, is not ok."""
+    """pages (shortcode, page_no or cursor, json) with ok, has_next, end_cursor and texts; malformed JSON, or of another shape, is not ok."""
+    place = "page_no" if "page_no" in pages.columns else "cursor"
     read = pages.withColumn("_page", F.from_json("json", PAGE_SCHEMA))
     media = F.coalesce(*(F.col(f"_page.{shape}.shortcode_media") for shape in shapes))
     block = read.withColumn("_block", media["edge_media_to_parent_comment"])
     texts = F.filter(F.transform("_block.edges", lambda e: e["node"]["text"]), lambda t: t.isNotNull() & ~t.rlike(r"(?U)^\s*$"))
     return block.select(
         "shortcode",
-        "page_no",
+        place,
         F.col("_block").isNotNull().alias("ok"),
         F.coalesce("_block.page_info.has_next_page", F.lit(False)).alias("has_next"),
+        F.col("_block.page_info.end_cursor").alias("end_cursor"),
         F.coalesce(texts, F.expr("cast(array() as array<string>)")).alias("texts"),
     )
 
@@ -75,6 +78,35 @@ def stitch_comment_pages(pages: DataFrame, limit: int | None = PER_URL) -> DataF
     return first_per_url(each, limit, "page_no", "pos")
 
 
+def numbered_by_cursor(pages: DataFrame) -> DataFrame:
+    """pages (shortcode, cursor, json) that the first page of their shortcode leads to, with page_no, ok and texts.
+
+    cursor is what a page was asked for with: null, or empty, for the first one; a page with a next one names the cursor of that. Numbers
+    come by list ranking: each round doubles how far every page looks ahead, and how many pages are numbered, so a chain
+    of a million pages takes twenty rounds, and a hot shortcode is many small keys. Where cursors lead back, the chain ends
+    before the page that it has had; of two pages with one cursor, the one with the smaller text counts. Pages that no chain reaches are left out.
+    """
+    places = ["shortcode", "cursor"]
+    read = parsed_pages(pages.withColumn("cursor", F.coalesce("cursor", F.lit(""))).groupBy(*places).agg(F.min("json").alias("json")), ("data",))
+    read = scratch_table(read, "pages")
+    leads = F.col("ok") & F.col("has_next") & (F.col("end_cursor") != "")
+    jump = scratch_table(read.filter(leads).select(*places, F.col("end_cursor").alias("to")), "jumps")
+    found, n, ahead = scratch_table(read.filter("cursor = ''").select(*places, F.lit(0).cast("long").alias("page_no")), "found"), -1, 1
+    while (now := found.count()) != n:
+        n = now
+        further = found.join(jump, places).select("shortcode", F.col("to").alias("cursor"), (F.col("page_no") + ahead).alias("page_no"))
+        found = scratch_table(found.unionByName(further.join(read.select(*places), places, "left_semi")).groupBy(*places).agg(F.min("page_no").alias("page_no")), "found")
+        twice = jump.alias("a").join(jump.alias("b"), (F.col("a.shortcode") == F.col("b.shortcode")) & (F.col("a.to") == F.col("b.cursor")))
+        jump, ahead = scratch_table(twice.select("a.shortcode", "a.cursor", "b.to"), "jumps"), ahead * 2
+    return found.join(read, places).select("shortcode", "page_no", "ok", "texts")
+
+
+def stitch_by_cursor(pages: DataFrame, limit: int | None = PER_URL) -> DataFrame:
+    """As stitch_comment_pages, of pages that know cursors instead of numbers."""
+    each = numbered_by_cursor(pages).filter("ok").select(F.col("shortcode").alias("source_url"), F.col("page_no").cast("int").alias("page_no"), F.posexplode("texts").alias("pos", "text"))
+    return first_per_url(each, limit, "page_no", "pos")
+
+
 def comments_by_url(requests: DataFrame, html_pages: DataFrame, json_pages: DataFrame, limit: int | None = PER_URL) -> DataFrame:
     """requests (url): posts and reels are read from JSON pages by their shortcode, other URLs from HTML."""
     urls = requests.select(T.trim_all(F.col("url")).alias("url")).distinct().withColumn("shortcode", T.shortcode(F.col("url")))

@@ -97,3 +97,27 @@ def test_delimited(spark, tmp_path):
     D.write_delimited(spark.createDataFrame(rows, "text string, source_url string, seq long"), str(tmp_path / "t"))
     back = D.read_delimited(spark, str(tmp_path / "t"), "text string, source_url string, seq long").orderBy("seq")
     assert [tuple(r) for r in back.collect()] == [("a\nb", None, 1), ("c d e", "https://h", 2), ('q"uo,te\\', None, 3)]
+
+
+def test_pages_by_cursor(spark):
+    """Shuffled pages without numbers: chains, a long one, missing and broken pages, cycles, pages with one cursor, empty tables."""
+    import json
+    import random
+
+    def paged(texts, to, root="data"):
+        info = {"has_next_page": to is not None, "end_cursor": to}
+        return json.dumps({root: {"shortcode_media": {"edge_media_to_parent_comment": {"edges": [{"node": {"text": t}} for t in texts], "page_info": info}}}})
+
+    n = 3000
+    rows = [("long", None if k == 0 else f"c{k}", paged([f"t{k}"], f"c{k + 1}" if k < n - 1 else None)) for k in range(n)]
+    rows += [("cycle", None, paged(["a"], "x")), ("cycle", "x", paged(["b"], "y")), ("cycle", "y", paged(["c"], "x"))]
+    rows += [("missing", "", paged(["a"], "x")), ("missing", "z", paged(["never"], None)), ("broken", None, paged(["a"], "x")), ("broken", "x", "{oops"), ("broken", "y", paged(["no"], None))]
+    rows += [("fork", None, paged(["a"], "x")), ("fork", "x", paged(["b"], None)), ("fork", "x", paged(["c"], None)), ("other", None, paged(["a"], None, "graphql")), ("none", None, None), ("orphan", "q", paged(["a"], None))]
+    random.Random(1).shuffle(rows)
+    pages = spark.createDataFrame(rows, "shortcode string, cursor string, json string")
+    got = {}
+    for r in sorted(C.stitch_by_cursor(pages, None).collect(), key=lambda r: (r["source_url"], r["page_no"], r["pos"])):
+        got.setdefault(r["source_url"], []).append((r["page_no"], r["text"]))
+    assert got.pop("long") == [(k, f"t{k}") for k in range(n)]
+    assert got == {"cycle": [(0, "a"), (1, "b"), (2, "c")], "missing": [(0, "a")], "broken": [(0, "a")], "fork": [(0, "a"), (1, "b")]}
+    assert C.stitch_by_cursor(pages.filter("shortcode = 'long'"), 50).count() == 50 and C.stitch_by_cursor(pages.limit(0)).count() == 0
