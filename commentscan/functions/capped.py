@@ -46,8 +46,11 @@ def _placed(changes: DataFrame) -> DataFrame:
     """changes with stretch, which numbers runs of REPLAY rows by (side, seq): rows are counted by ranges, and numbered within."""
     spark = changes.sparkSession
     order = ["side", "seq"]
-    ranged = changes.select("side", "seq", "key", "change").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
-    ranged = scratch_table(ranged.withColumn("_range", F.spark_partition_id()), "changes")
+    slim = scratch_table(changes.select("side", "seq", "key", "change"), "changes")
+    if slim.count() <= REPLAY:
+        return slim.withColumn("stretch", F.lit(0).cast("long"))
+    ranged = slim.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    ranged = scratch_table(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
     before, offsets = 0, []
     for r in sorted(ranged.groupBy("_range").count().collect()):  # a row for each range
         offsets.append((r["_range"], before))
@@ -70,11 +73,14 @@ def capped_adds(changes: DataFrame, cap: int, repeats: bool = False) -> DataFram
     """
     placed = _placed(changes)
     stretches = placed.select("side", "stretch").distinct()
+    schema = "side string, stretch long, seq long, key string"
+    if stretches.agg(F.max("stretch")).first()[0] == 0:
+        return placed.withColumn("stretch_row", F.lit(1)).groupBy("side", "stretch").applyInPandas(_replay(cap, repeats), schema).drop("stretch")
     before = stretches.select("side", "stretch", F.lag("stretch").over(Window.partitionBy("side").orderBy("stretch")).alias("_before"))
     before = scratch_table(before.filter("_before is not null"))  # a row for each REPLAY changes
     rows = placed.withColumn("stretch_row", F.lit(1))
     single = before.isEmpty()
-    schema, state, mark = "side string, stretch long, seq long, key string", None, None
+    state, mark = None, None
     while True:
         start = rows
         if state is not None:
