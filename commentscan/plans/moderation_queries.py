@@ -15,6 +15,7 @@ from commentscan.sources import comments as C
 from commentscan.sources.logs import CappedLog
 from commentscan.sources.scratch import scratch
 from commentscan.sources.tables import table
+from commentscan.streaming import keyed_moderation as K
 from commentscan.streaming import scan_stream as R
 
 MAPPED = {"view": "flag", "click": "hide", "purchase": "unhide", "error": "delete", "signup": "report"}
@@ -314,6 +315,38 @@ def stream_moderation(spark, sf_dir):
     return settled(R.latest_state(spark, out))
 
 
+def keyed_log(spark, sf_dir, name):
+    """The checkpoint of a stream over the log of every action, in three parts, with a start anew after each."""
+    out, log = scratch(spark, name), full_actions(spark, sf_dir)
+    edges = log.agg(F.min("seq"), F.max("seq")).first()
+    low, high = (x or 0 for x in edges)
+    third = (high - low) // 3 + 1
+    for k in range(3):
+        log.filter(F.floor((F.col("seq") - low) / third) == k).write.mode("append").parquet(f"{out}/in")
+        K.start_keyed_moderation(spark.readStream.schema(log.schema).parquet(f"{out}/in"), f"{out}/_state", once=True).awaitTermination()
+    return f"{out}/_state"
+
+
+def stream_keyed_moderation(spark, sf_dir):
+    """The state of each item with corrections and global clears in between, read out of the state store."""
+    return settled(K.stored_states(spark, keyed_log(spark, sf_dir, "keyed-states")))
+
+
+def stream_metrics(spark, sf_dir):
+    """The counters of the streamed log, read out of the state store."""
+    return K.stored_metrics(spark, keyed_log(spark, sf_dir, "keyed-counters"))
+
+
+def stream_totals(spark, sf_dir):
+    """Comments processed so far and the latest scan, as a streamed history of three files leaves them."""
+    out, rows = scratch(spark, "totals"), history_rows(spark, sf_dir)
+    for k in range(3):
+        rows.filter(F.pmod(F.xxhash64("ts"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    R.start_totals(M.read_history(stream), out, f"{out}/_state", once=True).awaitTermination()
+    return R.latest_totals(spark, out).select("total_processed", "scans", F.unix_millis("latest.ts").alias("ts"), "latest.total", "latest.flagged")
+
+
 def scan_in_batches(spark, sf_dir, out):
     """All documents as three scans, one after the other."""
     docs = documents(spark, sf_dir).withColumn("source_url", F.lit(None).cast("string"))
@@ -460,4 +493,10 @@ QUERIES = {
     ),
     "stream_scan": (stream_scan, f"SELECT DISTINCT md5(text) AS text_md5 FROM ({FLAGGED})"),
     "stream_moderation": (stream_moderation, STATE),
+    "stream_keyed_moderation": (stream_keyed_moderation, f"{WALK} SELECT user_id::VARCHAR AS item_id, state, CASE WHEN state = 'none' THEN -1 ELSE since END AS since FROM done"),
+    "stream_metrics": (stream_metrics, f"{WALK} {METRICS}"),
+    "stream_totals": (
+        stream_totals,
+        f"SELECT sum(total)::BIGINT AS total_processed, count(*) AS scans, max(epoch_ms(ts)) AS ts, arg_max(total, ts)::BIGINT AS total, arg_max(flagged, ts)::BIGINT AS flagged FROM ({HISTORY})",
+    ),
 }

@@ -115,6 +115,31 @@ def scan_history(spark: SparkSession, out: str, cap: int | None = CAPS["history"
     return M.keep_last(rows, cap, order="place").drop("place")
 
 
+TOTALS = "total_processed long, scans long, latest struct<ts: timestamp, total: long, flagged: long>"
+
+
+def start_totals(history: DataFrame, out: str, checkpoint: str, once: bool = False):
+    """Follow a stream of scans (ts, total, flagged): comments processed, scans, and the latest scan, in one row under `out`.
+
+    The aggregate lives in the state store; a batch writes the row as it then is, and removes the one before.
+    """
+    scan = F.struct("ts", F.col("total").cast("long").alias("total"), F.col("flagged").cast("long").alias("flagged"))
+    totals = history.groupBy().agg(F.sum(F.greatest("total", F.lit(0))).cast("long").alias("total_processed"), F.count("*").alias("scans"), F.max(scan).alias("latest"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch.coalesce(1), f"{out}/totals", batch_id)
+        remove(batch.sparkSession, f"{out}/totals/batch_id={batch_id - 1}")
+
+    trigger = {"availableNow": True} if once else {"processingTime": "1 minute"}
+    return totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def latest_totals(spark: SparkSession, out: str) -> DataFrame:
+    """The row of the last batch of start_totals; none before the first."""
+    table = read_table(spark, f"{out}/totals", TOTALS)
+    return table.join(F.broadcast(table.agg(F.max("batch_id").alias("batch_id"))), "batch_id").drop("batch_id")  # one row
+
+
 PROGRESS = "run string, batch long, done long, total long, message string, ts timestamp"
 
 
