@@ -2,7 +2,9 @@
 
 A MinHash of a whole document says nothing about a short item inside it, so the search is one-sided. Items are
 partitioned by size, and each gets a bottom-m sketch: the m smallest hashes of its shingles, m being the number of
-which a document that contains the threshold's share of the item must have one; nothing is lost. Sizes with one m are a
+which a document that contains the threshold's share of the item must have one; nothing is lost. As that holds for any m of
+them, hashes of shingles that many items share come last, by powers of two of their number: a passage that a whole benchmark
+and a third of all documents hold makes no candidates of items that have shingles of their own. Sizes with one m are a
 partition, with its own ceiling, the largest hash of its sketches. Of a document's hashes only those are looked up that
 lie below the ceiling of some partition whose items can fit in it, and whose bit is set in a bitmap of all sketches. Where
 one is found, shingles are counted exactly, as texts.
@@ -10,7 +12,7 @@ one is found, shingles are counted exactly, as texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -19,8 +21,10 @@ WORDS = 5
 CONTAINMENT = 0.8
 #: Sketch, candidate and shingle rows that may be broadcast; past it Spark joins by shuffle and splits hot shingles.
 BROADCAST_ROWS = 500_000
-#: log2 of the bits of the bitmap of sketches, and partitions that have a ceiling of their own (larger ones share the last).
-BITS, CEILINGS = 18, 64
+#: log2 of the bits of the bitmap of sketches, 16 a row within these bounds; past the upper one a second bitmap is broadcast.
+BITS, MORE_BITS = 18, 22
+#: Partitions that have a ceiling of their own (larger ones share the last).
+CEILINGS = 64
 
 
 def words_of(text: Column) -> Column:
@@ -51,10 +55,17 @@ def shingle_texts(words: Column) -> Column:
 
 
 def item_sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """items: item_key, words. Returns (h, item_key, n_shingles, part), the bottom-m sketch of each item; part is m."""
-    hashed = items.select("item_key", F.array_sort(F.array_distinct(shingle_hashes(F.col("words")))).alias("hashes")).withColumn("n", F.size("hashes"))
-    m = (F.col("n") - F.ceil(F.col("n") * containment - 1e-9) + 1).cast("int")
-    return hashed.filter("n > 0").select(F.explode(F.slice("hashes", 1, m)).alias("h"), "item_key", F.col("n").alias("n_shingles"), m.alias("part"))
+    """items: item_key, words. Returns (h, item_key, n_shingles, part), the bottom-m sketch of each item; part is m.
+
+    The order is that of hashes among shingles that about as many items share, those of fewer items first.
+    """
+    hashes = F.array_distinct(shingle_hashes(F.col("words")))
+    hashed = items.select("item_key", hashes.alias("hashes")).select("item_key", F.size("hashes").alias("n_shingles"), F.explode("hashes").alias("h"))
+    shared = hashed.groupBy("h").agg(F.floor(F.log2(F.count("*"))).alias("shared"))
+    m = (F.col("n_shingles") - F.ceil(F.col("n_shingles") * containment - 1e-9) + 1).cast("int")
+    place = F.row_number().over(Window.partitionBy("item_key").orderBy("shared", "h"))
+    ranked = hashed.join(shared, "h").select("h", "item_key", "n_shingles", m.alias("part"), place.alias("place"))
+    return ranked.filter(F.col("place") <= F.col("part")).drop("place")
 
 
 def _ceiling(sketches: DataFrame, n_words: Column, containment: float) -> Column:
@@ -66,18 +77,18 @@ def _ceiling(sketches: DataFrame, n_words: Column, containment: float) -> Column
     return ceiling
 
 
-def _in_bitmap(sketches: DataFrame, h: Column) -> Column:
+def _in_bitmap(sketches: DataFrame, h: Column, log_bits: int) -> Column:
     """Whether a hash may be in some sketch."""
-    slot = lambda h: h.bitwiseAND((1 << BITS) - 1)
+    slot = lambda h: h.bitwiseAND((1 << log_bits) - 1)
     words = sketches.groupBy(F.shiftright(slot(F.col("h")), 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
-    bitmap = [0] * (1 << (BITS - 6))
+    bitmap = [0] * (1 << (log_bits - 6))
     for r in words.collect():  # a row for each word of the bitmap
         bitmap[r["at"]] = r["bits"]
     bits = F.from_json(F.lit(str(bitmap)), "array<bigint>")
     return F.getbit(F.get(bits, F.shiftright(slot(h), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
 
 
-def _looked_up(mine: DataFrame, sketches: DataFrame, containment: float) -> DataFrame:
+def _looked_up(mine: DataFrame, sketches: DataFrame, containment: float, n_sketch: int) -> DataFrame:
     """(id_key, text_key, n_words, h): the documents' shingle hashes that may be in a sketch.
 
     Words are hashed once a document; the runs of five are put together, judged and mostly dropped in compiled code, row by
@@ -89,7 +100,9 @@ def _looked_up(mine: DataFrame, sketches: DataFrame, containment: float) -> Data
     # Outer, as Spark would else work out the hashes once more, to ask beforehand whether there are any starts.
     each = sized.select("*", F.explode_outer(starts).alias("i")).filter("i is not null")
     runs = each.select("id_key", "text_key", "n_words", "ceiling", F.xxhash64(*(F.get("hashes", F.col("i") + k) for k in range(WORDS))).alias("h"))
-    return runs.filter((F.col("h") <= F.col("ceiling")) & _in_bitmap(sketches, F.col("h"))).drop("ceiling")
+    log_bits = min(max(BITS, (16 * n_sketch).bit_length()), MORE_BITS)
+    found = runs.filter((F.col("h") <= F.col("ceiling")) & _in_bitmap(sketches, F.col("h"), log_bits)).drop("ceiling")
+    return common.may_be_in(found, "h", sketches) if 16 * n_sketch > 1 << MORE_BITS else found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -109,7 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     n_sketch = sketches.count()
     text = common.text_or_empty(docs)
     mine = docs.select(F.coalesce(docs["doc_id"], F.lit(-(2**63))).alias("id_key"), docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    looked_up = _looked_up(mine, sketches, containment).join(common.broadcast_if_small(sketches, n_sketch, BROADCAST_ROWS), "h")
+    looked_up = _looked_up(mine, sketches, containment, n_sketch).join(common.broadcast_if_small(sketches, n_sketch, BROADCAST_ROWS), "h")
     fits = F.col("n_words") - (WORDS - 1) >= F.col("n_shingles") * containment - 1e-9
     candidates = common.written(looked_up.filter(fits).select("id_key", "text_key", "item_key").distinct(), "candidates")
 

@@ -394,7 +394,30 @@ def test_few_hashes_are_looked_up(spark):
     words = docs.select(F.size(decontaminate.words_of(F.col("text"))).alias("n"))
     everything = words.agg(F.sum(F.greatest(F.col("n") - 4, F.lit(0)))).first()[0]
     mine = docs.select(F.col("doc_id").alias("id_key"), F.lit(0).alias("text_key"), "text")
-    assert decontaminate._looked_up(mine, sketches, 0.8).count() * 5 < everything
+    assert decontaminate._looked_up(mine, sketches, 0.8, sketches.count()).count() * 5 < everything
+
+
+def test_a_passage_of_many_items_makes_no_candidates(spark):
+    """Items share most of their words; documents hold that passage, and only one holds an item. Items with nothing else are found too."""
+    passage = " ".join(f"shared{k}" for k in range(30))
+    items = [(k, f"{passage} own{k} a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} i{k} j{k}") for k in range(40)] + [(50, passage), (51, passage + " .")]
+    docs = [(k, f"x {passage} y z{k}") for k in range(30)] + [(99, f"u {items[7][1]} v")]
+    named = spark.createDataFrame(items, "item_key long, text string").withColumn("words", decontaminate.words_of(F.col("text")))
+    mine = spark.createDataFrame(docs, "id_key long, text string").withColumn("text_key", F.lit(0))
+    sketches = decontaminate.item_sketches(named)
+    found = decontaminate._looked_up(mine, sketches, 0.8, sketches.count()).join(sketches, "h").select("id_key", "item_key").distinct()
+    pairs = {(r["id_key"], r["item_key"]) for r in found.filter("item_key < 50").collect()}
+    assert (99, 7) in pairs and len(pairs) < 10
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(k, i) for k, _ in docs for i in (50, 51)} | {(99, 7)}
+
+
+def test_sketches_past_the_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BITS", 6)
+    monkeypatch.setattr(decontaminate, "MORE_BITS", 6)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    test_contaminated_by_hand(spark)
 
 
 def test_decontamination_edges(spark, edges):  # noqa: F811
