@@ -517,6 +517,25 @@ def test_quality_query_is_a_fit_on_the_right_rows(spark):
     for i, row in got.items():
         assert abs(row["score"] - want[i]) < 1e-3
         assert row["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+    # A plain refit: gradient descent over every pair of the two classes.
+    scale = np.r_[np.ones(x.shape[1] - 256), np.full(256, model["hashed"])]
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -8, 8) * scale
+    diff = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(300):
+        w += 0.02 * ((1 / (1 + np.exp(np.clip(diff @ w, -40, 40)))) @ diff / len(diff) - 1e-3 * w)
+    plain, mine = z @ w, np.array([got[i]["score"] for i, _ in known])
+    assert (plain[y == 1][:, None] > plain[y == 0][None]).mean() > 0.95
+    assert np.corrcoef(np.argsort(np.argsort(plain)), np.argsort(np.argsort(mine)))[0, 1] > 0.8
+
+
+def test_the_scale_of_hashed_shares_is_chosen_within_the_rows_to_learn_from():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, quality.N_FEATURES))
+    noisy, telling = (x[:, 0] + 0.1 * x[:, 1] > 0).astype(int), (x[:, -60:].sum(1) > 0).astype(int)
+    assert quality.chosen_scale(x, telling) >= quality.chosen_scale(x, noisy)
+    assert quality.chosen_scale(x, noisy) < quality.HASHED[0]
+    assert quality.chosen_scale(x[:3], noisy[:3]) == quality.HASHED[0]
 
 
 def test_toxicity_query_is_a_fit_on_the_right_rows(spark):
