@@ -7,7 +7,8 @@ Unit vectors link where their distance is at most EPS = sqrt(2 - 2 * cosine). Th
    leaf that covering radii and the bisectors between siblings do not rule out.
 2. Cells are cut into blocks, so a hot cell is dealt over many tasks. A block's own cover tree (nested levels, halving
    radii) is built once; each vector carries its path in it.
-3. A task takes a pair of blocks, only the vectors of each that visit the other, and walks their trees together: a pair
+3. Blocks that follow each other are gathered into groups, and each vector is sent once for each group that it visits. A task takes
+   a pair of groups, and of each pair of blocks in it only the vectors that visit the other, and walks their trees together: a pair
    of nodes too far apart for their radii is dropped, one that lies within EPS as a whole is linked as a whole, all
    others open into their children. Nodes of one vector meet in single precision first, and in double precision where
    that is too near the threshold to tell.
@@ -34,6 +35,9 @@ COSINE = 0.9
 CELL, MAX_PIVOTS = 4_000, 65_536
 #: Vectors of a block, on average (fewer where they are long: about NUMBERS numbers), and rows of it that are compared at a time.
 BLOCK, NUMBERS, CHUNK = 6_000, 1_000_000, 500
+#: Most blocks of a group, and (vector, block) visits worked out at a time. A vector is sent once for each group of blocks that it
+#: visits, not once for each block, and a task holds two groups of vectors, of which it works through one pair of blocks at a time.
+GATHER, VISITS = 8, 4_000_000
 SLACK = 1e-9
 #: Error of a dot product in single precision, for each dimension.
 SINGLE = 2.4e-7
@@ -300,6 +304,11 @@ def block_rows(length: int) -> int:
     return min(BLOCK, max(500, NUMBERS // max(1, length)))
 
 
+def gathered(blocks: int, tasks: int) -> int:
+    """Blocks of a group: as many as leave each task sixteen pairs of groups or more, if all meet all."""
+    return max(1, min(GATHER, int(blocks / np.sqrt(32 * tasks))))
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
@@ -394,8 +403,9 @@ def _groups(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _paired(nodes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """Rows for each pair of blocks that may share a link: of either block the vectors that visit the other; and the table they come from."""
+def _paired(nodes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """Rows for each pair of groups of blocks that may share a link: of either group the vectors that visit blocks of the other; the table
+    they come from; and for each length the number of blocks of a group."""
     eps, n = float(np.sqrt(2 - 2 * cosine)), common.partitions(nodes.sparkSession)
     routers = _routers(nodes, eps)
     placed = _placed(nodes, routers)
@@ -431,51 +441,73 @@ def _paired(nodes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
     treed = common.written(dealt.mapInArrow(lambda it: _grown(it, eps), f"{_row(nodes)}, block int, path array<int>"), "blocks")
     common.drop(placed)
 
+    gather = {length: gathered(k, n) for length, k in next_block.items()}
+
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each pair of blocks that a vector takes part in."""
+        """A row for each pair of groups of blocks that a vector takes part in; its bits say which blocks of the other group it visits."""
         for batch in batches:
-            for b in _by_length(batch):
-                length, own = b.column("length")[0].as_py(), b.column("block").to_numpy().astype(np.int64)
-                rows, others = [np.arange(len(b))], [own]
-                router = routers.get(length)
-                if router:
-                    where = blocks[length]
-                    for leaf, found in router.visits(unit(_vectors(b.column("embedding"))), radius[length]):
+            for whole in _by_length(batch):
+                length = whole.column("length")[0].as_py()
+                g, router, where = gather.get(length, 1), routers.get(length), blocks.get(length, {})
+                few = max(1, VISITS // max(1, next_block.get(length, 1)))  # rows at a time, so that their visits fit
+                for start in range(0, len(whole), few):
+                    b = whole.slice(start, few)
+                    own = b.column("block").to_numpy().astype(np.int64)
+                    rows, others = [np.arange(len(b))], [own]
+                    for leaf, found in router.visits(unit(_vectors(b.column("embedding"))), radius[length]) if router else ():
                         if leaf in where:
                             for k in range(where[leaf][0], sum(where[leaf])):
                                 rows.append(found[own[found] != k])
                                 others.append(np.full(len(rows[-1]), k))
-                row, other = np.concatenate(rows), np.concatenate(others)
-                low, high = np.minimum(own[row], other), np.maximum(own[row], other)
-                pair = high * (high + 1) // 2 + low
-                slot = (pair + length * 7919) % n
-                for at in range(0, len(row), 10_000):  # keeps batches small where rows visit many blocks
-                    s = slice(at, at + 10_000)
-                    taken = b.take(pa.array(row[s]))
-                    numbers = [pa.array(pair[s]), *(pa.array(v.astype(np.int32)) for v in (slot[s], low[s], own[row[s]] > low[s]))]
-                    kept = ["path", "node", "weight", "length", "embedding"]
-                    yield pa.RecordBatch.from_arrays([*numbers, *(taken.column(c) for c in kept)], ["pair", "slot", "host", "side", *kept])
-
-    schema = f"pair long, slot int, host int, side int, path array<int>, {_row(nodes)}"
-    return treed.mapInArrow(meet, schema).repartitionById(n, F.col("slot")).sortWithinPartitions("length", "pair", "side"), treed
-
-
-def _walk_pairs(cosine: float):
+                    row, other = np.concatenate(rows), np.concatenate(others)
+                    groups = next_block.get(length, 1) // g + 1
+                    met, at_met = np.unique(row * groups + other // g, return_inverse=True)
+                    bits = np.bincount(at_met, weights=2.0 ** (other % g)).astype(np.int32)  # a row visits a block once, so bits add up
+                    row, group = met // groups, met % groups
+                    low, high = np.minimum(own[row] // g, group), np.maximum(own[row] // g, group)
+                    pair = high * (high + 1) // 2 + low
+                    slot = (pair + length * 7919) % n
+                    for at in range(0, len(row), 10_000):  # keeps batches small where rows visit many groups
+                        s = slice(at, at + 10_000)
+                        taken = b.take(pa.array(row[s]))
+                        numbers = [pa.array(pair[s]), *(pa.array(v.astype(np.int32)) for v in (slot[s], own[row[s]], bits[s]))]
+                        kept = ["path", "node", "weight", "length", "embedding"]
+                        yield pa.RecordBatch.from_arrays([*numbers, *(taken.column(c) for c in kept)], ["pair", "slot", "block", "bits", *kept])
+
+    schema = f"pair long, slot int, block int, bits int, path array<int>, {_row(nodes)}"
+    return treed.mapInArrow(meet, schema).repartitionById(n, F.col("slot")).sortWithinPartitions("length", "pair", "block"), treed, gather
+
+
+def _block_pairs(pair: int, block: np.ndarray, bits: np.ndarray, g: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Of a pair of groups each pair of blocks: the rows of either that visit the other (None: a block with itself). block is sorted."""
+    at = {k: np.flatnonzero(block == k) for k in np.unique(block).tolist()}
+    groups = {k // g for k in at}
+    high = max(groups)
+    alone = len(groups) == 1 and pair == high * (high + 1) // 2 + high  # a group with itself
+    for p, ps in at.items():
+        for q, qs in at.items():
+            if p == q and alone:
+                yield ps, None
+            elif p < q and (alone or p // g != q // g):
+                one, two = ps[bits[ps] >> (q % g) & 1 == 1], qs[bits[qs] >> (p % g) & 1 == 1]
+                if len(one) and len(two):
+                    yield one, two
+
+
+def _walk_pairs(cosine: float, gather: dict[int, int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by pair of blocks and side."""
-        for b in _groups(batches, ("length", "pair")):
-            side, pair, host = b.column("side").to_numpy(), b.column("pair")[0].as_py(), b.column("host")[0].as_py()
-            alone = pair == host * (host + 1) // 2 + host  # a block with itself
-            cut = int(np.searchsorted(side, 1))
-            if not alone and cut in (0, len(side)):
-                continue
-            x, node = unit(_vectors(b.column("embedding"))), b.column("node").to_numpy()
-            path = b.column("path").to_pylist()
-            links = Links(x, b.column("weight").to_numpy(), cosine)
-            first = regrown(x, np.arange(len(x) if alone else cut), path)
-            links.walk(first, first if alone else regrown(x, np.arange(cut, len(x)), path))
-            some = (links.count > 0) | (links.roots != np.arange(len(x)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[links.roots[some]]), pa.array(links.count[some])], ["node", "root", "count"])
+        """Rows come sorted by pair of groups and block; pairs of blocks are worked through one after another."""
+        for group in _groups(batches, ("length", "pair")):
+            length, pair = group.column("length")[0].as_py(), group.column("pair")[0].as_py()
+            for one, two in _block_pairs(pair, group.column("block").to_numpy(), group.column("bits").to_numpy(), gather.get(length, 1)):
+                b = group.take(pa.array(one if two is None else np.r_[one, two]))
+                x, node = unit(_vectors(b.column("embedding"))), b.column("node").to_numpy()
+                path = b.column("path").to_pylist()
+                links = Links(x, b.column("weight").to_numpy(), cosine)
+                first = regrown(x, np.arange(len(one)), path)
+                links.walk(first, first if two is None else regrown(x, np.arange(len(one), len(x)), path))
+                some = (links.count > 0) | (links.roots != np.arange(len(x)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[links.roots[some]]), pa.array(links.count[some])], ["node", "root", "count"])
 
     return run
 
@@ -491,8 +523,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     vectors each. An empty table gives no rows.
     """
     usable, rest, nodes = _classes(vectors)
-    pairs, blocks = _paired(nodes, cosine)
-    walked = common.written(pairs.mapInArrow(_walk_pairs(cosine), "node long, root long, count long"), "walked")
+    pairs, blocks, gather = _paired(nodes, cosine)
+    walked = common.written(pairs.mapInArrow(_walk_pairs(cosine, gather), "node long, root long, count long"), "walked")
     common.drop(blocks)
     counts = walked.groupBy("node").agg(F.sum("count").alias("count"))
     found = components(walked.select(F.col("node").alias("u"), F.col("root").alias("v")))

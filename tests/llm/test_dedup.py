@@ -280,6 +280,30 @@ def test_embeddings_in_clusters_of_clusters(spark, monkeypatch):
     assert got == by_hand(x, ids)
 
 
+@pytest.mark.parametrize("clusters", [3, 0])
+def test_blocks_in_groups(spark, monkeypatch, clusters):
+    """However many blocks a group has, the links are the same; vectors travel less often."""
+    monkeypatch.setattr(E, "BLOCK", 10)
+    monkeypatch.setattr(E, "CELL", 40)
+    monkeypatch.setattr(E, "VISITS", 500)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(900, 6))
+    if clusters:  # a hot cell of many blocks, and others
+        x = rng.normal(size=(clusters, 6))[np.minimum(rng.integers(0, 6, 900), clusters - 1)] + 0.2 * x
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sent = []
+    for most in (1, 3, 8):
+        monkeypatch.setattr(E, "gathered", lambda blocks, tasks, most=most: most)
+        sent.append(E._paired(E._classes(df)[2], 0.9)[0].count())
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_vectors(df).collect()}
+        assert got == by_hand(x, np.arange(len(x)))
+    assert sent[0] > 1.5 * sent[1] and sent[1] > 1.2 * sent[2]
+
+
+def test_groups_leave_work_to_every_task():
+    assert [E.gathered(b, 24) for b in (1, 9, 60, 120, 10**6)] == [1, 1, 2, 4, E.GATHER]
+
+
 def test_embeddings_of_many_lengths(spark):
     rng = np.random.default_rng(10)
     rows = []
