@@ -237,8 +237,10 @@ def _blocks(batches: Iterable[pa.RecordBatch], task: Task) -> Iterator[Block]:
         return Block(task, ids, np.concatenate([[0], np.cumsum(lengths)]), at, task.values(tf, np.repeat(n, lengths)))
 
     for batch in batches:
-        for first in range(0, len(batch), size - n_held or size):
-            part = batch.slice(first, size)
+        first = 0
+        while first < len(batch):
+            part = batch.slice(first, size - n_held)  # what still fits; a batch may begin or end amid a block
+            first += len(part)
             at, tf = part.column("at"), part.column("tf")
             held.append((part.column("doc_id").to_pylist(), at.value_lengths().to_numpy().astype(np.int64), part.column("n").to_numpy(), at.flatten().to_numpy().astype(np.int64), tf.flatten().to_numpy().astype(np.int64)))
             n_held += len(part)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from commentscan.llm import ranked_search as R
@@ -71,6 +72,31 @@ def test_batches_of_items(spark, monkeypatch):
     check(spark, list(enumerate(texts)), list(enumerate(rng.sample(texts, 20))))
 
 
+@pytest.mark.parametrize("sizes", [(30, 50), (7, 7, 7, 130), (64, 64), (20, 44, 1)])
+def test_each_row_is_in_one_block(monkeypatch, sizes):
+    """However the batches of a task lie to its blocks."""
+    monkeypatch.setattr(R, "BLOCK", 64)
+    ids, batches = iter(range(sum(sizes))), []
+    for n in sizes:
+        cuts = pa.array(np.arange(n + 1), pa.int32())
+        one = pa.ListArray.from_arrays(cuts, pa.array([0] * n, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array([1] * n, pa.int32()))
+        batches.append(pa.RecordBatch.from_arrays([pa.array([next(ids) for _ in range(n)]), pa.array([1] * n), *one], names=["doc_id", "n", "at", "tf"]))
+    blocks = list(R._blocks(batches, R.Task(100, 100, np.array([5]), [], 20)))
+    assert sorted(i for b in blocks for i in b.ids) == list(range(sum(sizes)))
+    assert max(len(b.ids) for b in blocks) <= 64
+
+
+def test_tasks_of_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        rng = random.Random(8)
+        texts = made_up(rng, 200)
+        check(spark, list(enumerate(texts)), list(enumerate(rng.sample(texts, 20))))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_bounds_hold_and_subtrees_are_pruned():
     """No row of a node scores above the node's bound; of documents on different subjects most are not scored."""
     rng = np.random.default_rng(3)
