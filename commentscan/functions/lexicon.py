@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from commentscan.config import CAPS
@@ -90,14 +90,18 @@ def register_sql_functions(spark: SparkSession) -> None:
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION user_score(text STRING, hate ARRAY<STRING>, safe ARRAY<STRING>) RETURNS FLOAT RETURN greatest(0F, least(1F, {lowered_by}))")
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    phrase = F.lower(T.trim_all(F.col("text")))
+    return labels.select(F.col("label").alias("polarity"), phrase.alias("phrase"), "seq").filter("phrase <> '' and polarity in ('hate', 'safe')")
+
+
 def build_lexicon(labels: DataFrame, cap: int | None = CAPS["phrases"]) -> DataFrame:
     """labels (seq, text, label: hate or safe) to (polarity, phrase, seq): trimmed, lower case, at most `cap` a side.
 
     A phrase keeps its place while it is there; each label that adds one caps at once, so a phrase that was pushed out and is
     labelled again goes to the end. Without a cap, the first label of a phrase counts.
     """
-    phrase = F.lower(T.trim_all(F.col("text")))
-    known = labels.select(F.col("label").alias("polarity"), phrase.alias("phrase"), "seq").filter("phrase <> '' and polarity in ('hate', 'safe')")
+    known = _known(labels)
     if cap is None:
         return known.groupBy("polarity", "phrase").agg(F.min("seq").alias("seq"))
     adds = known.select(F.col("polarity").alias("side"), "seq", F.sha2("phrase", 256).alias("key"), F.lit("add").alias("change"))
@@ -108,6 +112,23 @@ def build_lexicon(labels: DataFrame, cap: int | None = CAPS["phrases"]) -> DataF
     return known.join(places, ["polarity", "seq"]).select("polarity", "phrase", "seq")
 
 
+def newest_phrases(labels: DataFrame, cap: int = CAPS["phrases"]) -> DataFrame:
+    """labels as for build_lexicon to (polarity, phrase, seq): of all phrases ever labelled, each with the seq of its first label,
+    the `cap` newest a side. Nothing is pushed out on the way, so a phrase that is labelled again stays where it was.
+
+    Of one seq the phrases that sort first stay. Only hashes are grouped and ranked; texts are fetched for what stays.
+    """
+    known = _known(labels).withColumn("key", F.sha2("phrase", 256))
+    first = known.groupBy("polarity", "key").agg(F.min("seq").alias("seq"))
+    by_seq = Window.partitionBy("polarity").orderBy(F.desc("seq"))
+    places = first.withColumn("place", F.rank().over(by_seq)).filter(F.col("place") <= cap).drop("place")  # and ties of the last
+    if cap <= SMALL:
+        places = F.broadcast(places)
+    found = known.join(places, ["polarity", "key", "seq"]).groupBy("polarity", "key", "seq").agg(F.min("phrase").alias("phrase"))
+    newest = Window.partitionBy("polarity").orderBy(F.desc("seq"), "phrase")
+    return found.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= cap).select("polarity", "phrase", "seq")
+
+
 def phrase_arrays(lexicon: DataFrame) -> DataFrame:
     """One row: hate and safe, arrays in order of seq. The lexicon is capped, so the row is small."""
     side = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("polarity") == name, F.struct("seq", "phrase")))), lambda x: x["phrase"])

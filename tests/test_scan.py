@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,7 +13,7 @@ from commentscan.functions import lexicon as L
 from commentscan.functions.automaton import Automaton
 from commentscan.operators import scan as S
 from commentscan.operators.models import Batched, Learned
-from commentscan.plans.scan_queries import phrase_row
+from commentscan.plans.scan_queries import QUERIES, phrase_row
 
 # The sample comments and the phrase that the scan must handle.
 SAMPLES = ["Great post!", "This is awful", "I disagree", "Please be kind", "Usual suspects", "I hate you", "AFD", "88"]
@@ -115,6 +116,23 @@ def test_lexicon_keeps_first_place_and_last_phrases(spark):
     assert arrays["hate"] == ["awful", "x"] and arrays["safe"] == ["ok"]
 
 
+def test_the_newest_phrases_are_those_first_labelled_last(spark, tmp_path):
+    """A phrase that was pushed out and is labelled again stays where it was: the query agrees with its SQL."""
+    log = spark.createDataFrame([(1, "A", "hate"), (2, "b", "hate"), (3, "c", "hate"), (4, "a ", "hate"), (5, " ", "hate"), (3, "d", "hate"), (6, None, "safe"), (7, "s", "safe"), (8, "s", "safe")], "seq long, text string, label string")
+    rows = lambda cap: {tuple(r) for r in L.newest_phrases(log, cap).collect()}
+    assert rows(2) == {("hate", "c", 3), ("hate", "d", 3), ("safe", "s", 7)} and rows(1) == {("hate", "c", 3), ("safe", "s", 7)}
+    assert rows(9) == {("hate", "a", 1), ("hate", "b", 2), ("hate", "c", 3), ("hate", "d", 3), ("safe", "s", 7)}
+    n = 1100
+    docs = [(k, f"text {k % (n - 50)}") for k in range(n)]  # the first 50 come again, after they were pushed out
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 0, 1) for k in range(n)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    query, sql = QUERIES["build_lexicon"]
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(con.execute(sql).fetchall())
+
+
 def test_config_is_clamped():
     assert ScanConfig(threshold=0.2, max_per_url=9999, interval_minutes=1).clamped() == ScanConfig(threshold=0.5, max_per_url=5000, interval_minutes=15)
 
