@@ -1,8 +1,10 @@
 """Quality scores by Bradley-Terry ranking.
 
 Each document with label 1 is preferred to each with label 0. Scores are linear in features of the whole text: its shape,
-and shares of hashed words and of hashed runs of three bytes. Their weights minimise the logistic loss on feature
-differences of preference pairs. The cut is a quantile of the training scores, at the share of label 0, and the logistic
+and shares of hashed words and of hashed runs of three bytes. Their weights lower the logistic loss on feature differences,
+over all pairs of all rows that may be learnt from. What a row's pairs weigh together follows from its score and from how the
+scores of the other class lie, so a step needs two passes over the rows: one counts the scores of each class in narrow bins,
+one sums features by these weights. Passes run where the rows lie; the driver gets sums of fixed size. The cut is a quantile of the training scores, at the share of label 0, and the logistic
 scale puts it at the score CUT.
 """
 
@@ -21,13 +23,10 @@ from . import common
 
 #: A score of at least CUT predicts label 1.
 CUT = 0.3
-#: Labelled rows that training reads at most (those with the smallest hash of doc_id), and preference pairs.
-MAX_LABELLED = 20_000
-PAIRS = 60_000
+#: Labels of which all are sent to each task; more are joined by shuffle.
+SMALL = 1_000_000
 #: Buckets of hashed words, and of hashed runs of three bytes; words whose bucket a process remembers.
 WORD_BUCKETS, RUN_BUCKETS, MEMO = 128, 128, 200_000
-#: Pairs of a step of the fit.
-BATCH = 5_000
 
 #: Classes of bytes: a-z, A-Z, digits, white space, line ends, sentence marks, other ASCII, not ASCII.
 _SETS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\x0b\x0c\r", b"\n", b".,;:?'\"-()")
@@ -73,13 +72,29 @@ def features(data: bytes) -> np.ndarray:
 
 N_FEATURES = len(features(b""))
 #: Hashed shares are many and each says little, so they may count for less than a feature of the shape. How much is chosen among
-#: these by the loss on every FOLDth of the rows to learn from, after a fit of TRIAL steps on the others; rows held out have no say.
-HASHED, FOLD, TRIAL = (1.0, 0.5, 0.25, 0.125), 5, 100
+#: these by the loss on a FOLDth of the rows to learn from (by a hash of their features, so copies stay together), after a fit on
+#: the others; rows held out have no say.
+HASHED, FOLD = (1.0, 0.5, 0.25, 0.125), 5
+#: Steps of a fit, the ridge of its loss, and what keeps a step short where features hardly vary.
+STEPS, RIDGE, DAMPING = 6, 1e-3, 0.05
+#: Scores of a class are counted in bins this wide, up to a bound either way, to weigh all pairs at once.
+BIN, BOUND = 1 / 32, 32
+_EDGE = round(BOUND / BIN)
+_MIDS = (np.arange(-_EDGE, _EDGE) + 0.5) * BIN
+#: Numbers of a piece of a task's sums.
+PIECE = 2048
+
+
+def scales(hashed: float) -> np.ndarray:
+    return np.r_[np.ones(N_FEATURES - WORD_BUCKETS - RUN_BUCKETS), np.full(WORD_BUCKETS + RUN_BUCKETS, hashed)]
+
+
+def _plain(x: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / std, -8, 8)
 
 
 def standard(x: np.ndarray, model: dict) -> np.ndarray:
-    counts = np.r_[np.ones(N_FEATURES - WORD_BUCKETS - RUN_BUCKETS), np.full(WORD_BUCKETS + RUN_BUCKETS, model["hashed"])]
-    return np.clip((x - model["mean"]) / model["std"], -8, 8) * counts
+    return _plain(x, model["mean"], model["std"]) * scales(model["hashed"])
 
 
 @F.arrow_udf(T.ArrayType(T.FloatType()))
@@ -87,52 +102,201 @@ def feature_column(texts: pa.Array) -> pa.Array:
     return pa.array([features(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts], pa.list_(pa.float32()))
 
 
-def preferences(label: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """PAIRS rows with label 1, and as many with label 0."""
-    won, lost = (rng.choice(np.flatnonzero(label == k), PAIRS) for k in (1, 0))
-    return won, lost
+def left_out(x: np.ndarray) -> np.ndarray:
+    """Which rows a fit that is to choose a scale leaves out."""
+    return np.array([zlib.crc32(row.tobytes()) % FOLD == 0 for row in x.astype(np.float32)], bool)
+
+
+# Sums over rows (x, label), which add up over parts of a table.
+
+
+def _moments(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Left out or not, by label: number of rows, sums of features, sums of their squares."""
+    side, x = left_out(x).astype(int), x.astype(np.float64)
+    each = [x[(side == a) & (label == b)] for a in (0, 1) for b in (0, 1)]
+    return np.concatenate([np.r_[len(e), e.sum(0), (e * e).sum(0)] for e in each])
+
+
+def _products(mean: np.ndarray, std: np.ndarray):
+    """By label: sums of standard features and of their products."""
+
+    def sums(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+        z = _plain(x, mean, std)
+        return np.concatenate([np.r_[e.sum(0), (e.T @ e).ravel()] for e in (z[label == 0], z[label == 1])])
+
+    return sums
+
+
+def _histograms(mean: np.ndarray, std: np.ndarray, weights: np.ndarray):
+    """By model, left out or not, label and bin: number of rows. Scores past BOUND count in the last bin."""
+
+    def sums(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+        at = np.clip(np.floor(_plain(x, mean, std) @ weights.T / BIN), -_EDGE, _EDGE - 1).astype(np.int64) + _EDGE
+        group = (left_out(x) * 2 + label)[:, None] + 4 * np.arange(len(weights))
+        return np.bincount((group * 2 * _EDGE + at).ravel(), minlength=len(weights) * 8 * _EDGE).astype(np.float64)
+
+    return sums
+
+
+def _gradients(mean: np.ndarray, std: np.ndarray, weights: np.ndarray, curves: np.ndarray, trial: np.ndarray):
+    """By model: features summed by what their rows' pairs weigh (curves: by model, label and bin)."""
+
+    def sums(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+        z, left = _plain(x, mean, std), left_out(x)
+        s, out = z @ weights.T, []
+        for k in range(len(weights)):
+            pull = np.where(label == 1, np.interp(s[:, k], _MIDS, curves[k, 1]), np.interp(s[:, k], _MIDS, curves[k, 0]))
+            out.append((pull * ~(left & trial[k])) @ z)
+        return np.concatenate(out)
+
+    return sums
+
+
+class Rows:
+    """Rows in memory."""
+
+    def __init__(self, x: np.ndarray, label: np.ndarray):
+        self.x, self.label = x, label
+
+    def sums(self, of) -> np.ndarray:
+        return of(self.x, self.label)
 
+    def middle(self, model: dict, share_0: float) -> tuple[float, float]:
+        """Between which two scores the share lies, halfway; and how far scores spread."""
+        found = np.sort(standard(self.x, model) @ model["weights"])
+        k = _place(share_0, len(found))
+        return (found[k - 1] + found[k]) / 2, float(np.std(found))
 
-def weigh(x: np.ndarray, label: np.ndarray, hashed: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> dict:
-    """Weights that minimise the logistic loss on the feature differences of preference pairs."""
-    model = {"mean": x.mean(0), "std": x.std(0) + 1e-6, "hashed": hashed}
-    z = standard(x, model)
-    won, lost = preferences(label, np.random.default_rng(7))
-    w, m, v = np.zeros(N_FEATURES), np.zeros(N_FEATURES), np.zeros(N_FEATURES)
-    for t in range(1, steps + 1):
-        some = slice((t - 1) * BATCH % PAIRS, (t - 1) * BATCH % PAIRS + BATCH)
-        diff = z[won[some]] - z[lost[some]]
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -40, 40)))  # of the pair the wrong way round
-        g = -(p @ diff) / len(diff) + ridge * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return model | {"weights": w}
+
+def _place(share_0: float, n: int) -> int:
+    return int(np.clip(round(share_0 * n), 1, n - 1))
+
+
+def _batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES), batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+class Table:
+    """Rows of a table (x: array<float>, label: int), which stay where they are; tasks add up, the driver gets the total."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def sums(self, of) -> np.ndarray | None:
+        def run(batches):
+            total = None
+            for batch in batches:
+                if len(batch):
+                    part = of(*_batch(batch))
+                    total = part if total is None else total + part
+            if total is not None:
+                pieces = [total[a : a + PIECE] for a in range(0, len(total), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.list_(pa.float64()))], names=["k", "v"])
+
+        def add(table: pa.Table) -> pa.Table:
+            v = table["v"].combine_chunks()
+            total = v.flatten().to_numpy().reshape(len(table), -1).sum(0)
+            return pa.table({"k": table["k"].slice(0, 1), "v": pa.array([total], pa.list_(pa.float64()))})
+
+        found = self.rows.mapInArrow(run, "k int, v array<double>").groupBy("k").applyInArrow(add, "k int, v array<double>").toArrow().sort_by("k")
+        return found["v"].combine_chunks().flatten().to_numpy() if len(found) else None
+
+    def middle(self, model: dict, share_0: float) -> tuple[float, float]:
+        """As of Rows: the two scores are narrowed down by counts in bins, and counts in bins of a bin."""
+
+        def run(batches):
+            for batch in batches:
+                x, _ = _batch(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(standard(x, model) @ model["weights"], pa.float64())], names=["s"])
+
+        scores = common.written(self.rows.mapInArrow(run, "s double"), "quality-scores")
+        n, spread = scores.agg(F.count("*"), F.stddev_pop("s")).first()
+
+        def nth(k: int) -> float:
+            some = scores
+            for finer in (1, 1 << 12, 1 << 24, None):
+                bin = F.col("s") if finer is None else F.floor(F.col("s") * (finer / BIN))
+                for value, count in sorted((r["bin"], r["count"]) for r in some.groupBy(bin.alias("bin")).count().collect()):
+                    if k < count:
+                        break
+                    k -= count
+                some = some.filter(bin == value)
+            return value
+
+        k = _place(share_0, n)
+        found = (nth(k - 1) + nth(k)) / 2, spread
+        common.drop(scores)
+        return found
+
+
+def fits(rows: Rows | Table, counts: np.ndarray, mean: np.ndarray, std: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights for each of HASHED, and which of these has the least loss on pairs of the rows left out of a fit of its own; the
+    first where those or the others lack a class. counts: of rows, left out or not, by label.
+
+    A step is Newton's, with the curvature that the loss has at most, so it never overshoots; few of them keep the weights small.
+    """
+    scale = np.array([scales(h) for h in HASHED * 2])
+    trial = np.arange(len(scale)) >= len(HASHED)
+    of = rows.sums(_products(mean, std)).reshape(2, -1)
+    n = counts.sum(0)
+    means = of[:, :N_FEATURES] / n[:, None]
+    around = [of[k, N_FEATURES:].reshape(N_FEATURES, -1) / n[k] - np.outer(means[k], means[k]) for k in (0, 1)]
+    apart = means[1] - means[0]
+    most = 0.25 * (around[0] + around[1] + np.outer(apart, apart))
+    steps = [np.linalg.inv(most * np.outer(d, d) + DAMPING * np.eye(N_FEATURES)) for d in scale]
+    gap = _MIDS[None] - _MIDS[:, None]
+    wrong = 1 / (1 + np.exp(-gap))  # of a pair: a row of label 1 in a bin, one of label 0 in another
+    w = np.zeros(scale.shape)
+    size = np.maximum(1, np.where(trial[:, None], counts[0], n))
+    for step in range(STEPS + 1):
+        hist = rows.sums(_histograms(mean, std, w * scale)).reshape(len(w), 2, 2, -1)
+        if step == STEPS:
+            break
+        own = np.where(trial[:, None, None], hist[:, 0], hist.sum(1))
+        share = own / size[:, :, None]
+        curves = np.stack([share[:, 1] @ wrong, -(share[:, 0] @ wrong.T)], 1) / size[:, :, None]
+        g = rows.sums(_gradients(mean, std, w * scale, curves, trial)).reshape(w.shape) * scale + RIDGE * w
+        w = w - np.stack([a @ b for a, b in zip(steps, g, strict=True)])
+    if (counts == 0).any():
+        return w[: len(HASHED)], HASHED[0]
+    loss = np.logaddexp(0, gap)
+    lost = [float(h[1, 1] @ loss @ h[1, 0]) for h in hist[len(HASHED) :]]
+    return w[: len(HASHED)], HASHED[int(np.argmin(lost))]
+
+
+def _summary(rows: Rows | Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of rows, left out or not, by label; means and deviations of features."""
+    found = rows.sums(_moments)
+    if found is None:
+        found = np.zeros(4 * (1 + 2 * N_FEATURES))
+    found = found.reshape(2, 2, -1)
+    counts, total = found[:, :, 0], found.sum((0, 1))
+    mean = total[1 : 1 + N_FEATURES] / max(1, total[0])
+    return counts, mean, np.sqrt(np.maximum(0, total[1 + N_FEATURES :] / max(1, total[0]) - mean * mean)) + 1e-6
 
 
 def chosen_scale(x: np.ndarray, label: np.ndarray) -> float:
     """Of HASHED the one with the least loss on pairs of rows left out of its fit; the first where those lack a class."""
-    left = np.arange(len(x)) % FOLD == 0
-    if any(len(set(label[side].tolist())) < 2 for side in (left, ~left)):
-        return HASHED[0]
-    won, lost = preferences(label[left], np.random.default_rng(8))
+    rows = Rows(x, label)
+    summary = _summary(rows)
+    return HASHED[0] if (summary[0] == 0).any() else fits(rows, *summary)[1]
 
-    def loss(hashed: float) -> float:
-        model = weigh(x[~left], label[~left], hashed, TRIAL)
-        z = standard(x[left], model) @ model["weights"]
-        return float(np.logaddexp(0, z[lost] - z[won]).mean())
 
-    return min(HASHED, key=loss)
+def _fitted(rows: Rows | Table, share_0: float | None = None) -> dict:
+    counts, mean, std = _summary(rows)
+    n_0, n_1 = counts.sum(0)
+    if not n_0 or not n_1:  # nothing to prefer: everything passes, or nothing does
+        flat = {"mean": np.zeros(N_FEATURES), "std": 1.0, "hashed": 1.0, "weights": np.zeros(N_FEATURES)}
+        return flat | {"cut": 1.0 if n_0 else -1.0, "scale": 1.0}
+    weights, hashed = fits(rows, counts, mean, std)
+    model = {"mean": mean, "std": std, "hashed": hashed, "weights": weights[HASHED.index(hashed)]}
+    cut, spread = rows.middle(model, 1 - n_1 / (n_0 + n_1) if share_0 is None else share_0)
+    return model | {"cut": cut, "scale": max(1e-6, spread / 2)}
 
 
 def fit(x: np.ndarray, label: np.ndarray, share_0: float) -> dict:
     """Weights from preference pairs, and the cut at the quantile share_0 of the scores."""
-    if not len(x) or label.min() == label.max():  # nothing to prefer: everything passes, or nothing does
-        flat = {"mean": np.zeros(N_FEATURES), "std": 1.0, "hashed": 1.0, "weights": np.zeros(N_FEATURES)}
-        return flat | {"cut": -1.0 if not len(x) or label.max() else 1.0, "scale": 1.0}
-    model = weigh(x, label, chosen_scale(x, label))
-    score = np.sort(standard(x, model) @ model["weights"])
-    k = int(np.clip(round(share_0 * len(score)), 1, len(score) - 1))
-    return model | {"cut": (score[k - 1] + score[k]) / 2, "scale": max(1e-6, np.std(score) / 2)}
+    return _fitted(Rows(x, label.astype(np.int64)), share_0)
 
 
 def score(model: dict, x: np.ndarray) -> np.ndarray:
@@ -146,22 +310,29 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(doc_id.cast("string")) % by
 
 
-def training_rows(labels: DataFrame, label: str, by: int, held: int, limit: int) -> DataFrame:
-    """(id, label): labelled rows outside the held-out remainder; those with the smallest hashes if over limit."""
+def known_rows(labels: DataFrame, label: str, by: int, held: int) -> DataFrame:
+    """(id, label): labelled rows outside the held-out remainder."""
     known = labels.select(labels["doc_id"].alias("id"), labels[label].cast("int").alias("label")).filter(F.col("label").isin(0, 1))
-    return known.filter(remainder(F.col("id"), by) != held).orderBy(F.xxhash64("id"), "id", "label").limit(limit)
+    return known.filter(remainder(F.col("id"), by) != held)
+
+
+def training_rows(labels: DataFrame, label: str, by: int, held: int, limit: int) -> DataFrame:
+    """known_rows, those with the smallest hashes if over limit."""
+    return known_rows(labels, label, by, held).orderBy(F.xxhash64("id"), "id", "label").limit(limit)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """Fit on at most MAX_LABELLED rows. They are joined by broadcast, as their number is bounded."""
-    rows = common.written(training_rows(labels, "quality", 5, 0, MAX_LABELLED), "quality-labels")
-    mine = docs.select(docs["doc_id"].alias("id"), common.text_or_empty(docs).alias("text")).join(F.broadcast(rows), "id")
-    # Features before the sort, so that no text goes through it.
-    numbers = mine.select("id", F.xxhash64("text").alias("key"), "label", feature_column("text").alias("x"))
-    found = numbers.orderBy(F.xxhash64("id"), "id", "key", "label").limit(MAX_LABELLED).select("x", "label").toArrow()
-    label = np.array(found["label"].to_pylist(), np.int64)
-    x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, N_FEATURES)
-    return fit(x, label, 1 - label.mean() if len(label) else 0.0)
+    """Fit on all rows that may be learnt from. Their features are written once, and read by each pass."""
+    rows = known_rows(labels, "quality", 5, 0)
+    mine = docs.select(docs["doc_id"].alias("id"), common.text_or_empty(docs).alias("text"))
+    if rows.count() <= SMALL:
+        numbers = mine.join(F.broadcast(rows), "id").select("label", feature_column("text").alias("x"))
+    else:  # features are joined, so that no text goes through the shuffle
+        numbers = mine.select("id", feature_column("text").alias("x")).join(rows, "id").select("label", "x")
+    written = common.written(numbers, "quality-features")
+    model = _fitted(Table(written))
+    common.drop(written)
+    return model
 
 
 def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:

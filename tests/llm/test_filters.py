@@ -538,6 +538,28 @@ def test_the_scale_of_hashed_shares_is_chosen_within_the_rows_to_learn_from():
     assert quality.chosen_scale(x[:3], noisy[:3]) == quality.HASHED[0]
 
 
+def test_quality_is_learnt_from_every_row(spark):
+    """However many there are, with copies, by broadcast and by shuffle, in many parts: the fit in memory on all of them."""
+    n = 21_000
+    rows = [(k, f"{'the cat sat' if k % 3 else 'x!! 77'} {k % 40 if k % 2 else k}", int(k % 3 > 0 or k % 97 == 0)) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(5)
+    mine = [(t, q) for k, t, q in rows if zlib.crc32(str(k).encode()) % 5]
+    known = spark.createDataFrame([(k, q) for k, _, q in rows] * 2, "doc_id long, quality int")  # each label twice
+    x, y = np.array([quality.features(t.encode()) for t, _ in mine] * 2, np.float32), np.array([q for _, q in mine] * 2)
+    assert len(x) > 20_000
+    model, got = quality.fit(x, y, 1 - y.mean()), quality.train(docs.select("doc_id", "text"), known)
+    assert np.allclose(got["mean"], model["mean"]) and np.allclose(got["std"], model["std"])
+    assert got["hashed"] == model["hashed"] and np.abs(quality.score(got, x[:500]) - quality.score(model, x[:500])).max() < 1e-4
+
+
+def test_labels_may_be_too_many_to_send(spark, monkeypatch):
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    sent = quality.train(docs, labels)
+    monkeypatch.setattr(quality, "SMALL", 10)
+    joined = quality.train(docs, labels)
+    assert np.allclose(sent["weights"], joined["weights"]) and sent["cut"] == pytest.approx(joined["cut"])
+
+
 def test_toxicity_query_is_a_fit_on_the_right_rows(spark):
     """Positives, unlabelled rows, prior and features made here; the scores are those of the query."""
     docs = {r["doc_id"]: r["text"] or "" for r in read("documents", SF).to_dict("records")}
