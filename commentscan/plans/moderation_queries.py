@@ -382,12 +382,12 @@ def stream_progress(spark, sf_dir):
 
 
 def ordered_scan(spark, sf_dir):
-    """All documents as three files that arrive one after the other, scanned fifty at a time."""
+    """All documents as three loads that arrive one after the other, scanned fifty at a time; the stream starts anew for each."""
     out = scratch(spark, "ordered")
     docs = documents(spark, sf_dir).select(F.col("comment_id").cast("string").alias("comment_id"), "text", F.lit(None).cast("string").alias("source_url"), F.col("comment_id").alias("seq"))
     for k in range(3):
-        docs.filter(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(f"{out}/in")
-    R.start_ordered_scan(spark, f"{out}/in", "comment_id string, text string, source_url string, seq long", out, f"{out}/_state", lambda: phrase_row(spark)).awaitTermination()
+        docs.filter(F.col("seq") % 3 == k).write.mode("append").parquet(f"{out}/in")
+        R.start_ordered_scan(spark, f"{out}/in", "comment_id string, text string, source_url string, seq long", out, f"{out}/_state", lambda: phrase_row(spark), files=None).awaitTermination()
     return R.scan_history(spark, out, None).select("batch_id", "part", "total", "flagged", "new_flags")
 
 

@@ -66,6 +66,24 @@ def flagged_or_hidden(spark: SparkSession, out: str, keys: DataFrame, before: in
     return flags.join(gone, "comment_id", "left_anti").select("key").distinct()
 
 
+def _numbered(rows: DataFrame, size: int, path: str) -> DataFrame:
+    """rows with part: which of the scans of `size` comments each, in the order of seq, a row belongs to.
+
+    Rows are dealt by ranges of seq, written under path and counted; then they are numbered within their ranges.
+    """
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq").withColumn("_range", F.spark_partition_id())
+    ranged.write.mode("overwrite").parquet(path)
+    ranged = spark.read.parquet(path)
+    before, offsets = 0, []
+    for r in sorted(ranged.groupBy("_range").count().collect()):  # a row for each range
+        offsets.append((r["_range"], before))
+        before += r["count"]
+    offsets = spark.createDataFrame(offsets, "_range int, _before long")
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy("seq")) + F.col("_before") - 1
+    return ranged.join(F.broadcast(offsets), "_range").withColumn("part", F.floor(nth / size).cast("long")).drop("_range", "_before")
+
+
 def scan_batch(batch: DataFrame, batch_id: int, out: str, phrases: LexiconReader, config: ScanConfig, model=None, opinion=None, size: int | None = None, at: datetime | None = None) -> dict[str, int]:
     """Scan one batch of comments (comment_id, text, source_url, perhaps seq) into the tables under `out`; returns its statistics.
 
@@ -79,9 +97,8 @@ def scan_batch(batch: DataFrame, batch_id: int, out: str, phrases: LexiconReader
     path = f"{out}/decided/batch_id={batch_id}"
     S.decide(slim, phrases(), config, model, opinion).select("seq", "comment_id", "text", "source_url", "score", "flagged", "asked", "error").write.mode("overwrite").parquet(path)
     decided = spark.read.parquet(path)
-    # One task numbers a batch, as scans of so many must follow each other.
-    part = F.floor((F.row_number().over(Window.orderBy("seq")) - 1) / size) if size else F.lit(0)
-    decided = decided.withColumn("part", part.cast("long"))
+    ranges = f"{out}/ranges/batch_id={batch_id}"
+    decided = _numbered(decided, size, ranges) if size else decided.withColumn("part", F.lit(0).cast("long"))
     flagged = decided.filter("flagged").withColumn("key", S.text_key(F.col("text")))
     known = flagged_or_hidden(spark, out, flagged, batch_id)
     first = flagged.groupBy("key").agg(F.min("part").alias("part"))
@@ -93,11 +110,12 @@ def scan_batch(batch: DataFrame, batch_id: int, out: str, phrases: LexiconReader
     parts = decided.groupBy("part").agg(*counts) if size and not decided.isEmpty() else decided.agg(F.lit(0).cast("long").alias("part"), *counts)
     new = written.groupBy("part").agg(F.count("*").alias("new_flags"))
     stats = parts.join(new, "part", "left").na.fill(0, ["new_flags"]).select("part", F.lit(at).cast("timestamp").alias("ts"), *COUNTS)
-    _write_batch(stats.coalesce(1), f"{out}/stats", batch_id)
+    _write_batch(stats if size else stats.coalesce(1), f"{out}/stats", batch_id)
     last = decided.agg(F.max("part").alias("part"))
     kept = decided.join(F.broadcast(last), "part").orderBy(F.desc("seq")).limit(CAPS["last_comments"])  # one row
     _write_batch(kept.select("seq", "comment_id", T.without_separators(F.col("text"), both=False).alias("text")), f"{out}/last", batch_id)
     remove(spark, path)
+    remove(spark, ranges)
     remove(spark, f"{out}/last/batch_id={batch_id - 1}")  # overwritten, by the batch that counts
     done = spark.read.parquet(f"{out}/stats/batch_id={batch_id}").agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in COUNTS))
     return done.first().asDict()
@@ -196,10 +214,12 @@ def start_scan(comments: DataFrame, out: str, checkpoint: str, phrases: LexiconR
     return writer.start()
 
 
-def start_ordered_scan(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, phrases: LexiconReader, config: ScanConfig | None = None, size: int = BATCH):
-    """Scans of `size` comments each, one after the other, over the files of a folder: one file a trigger, the oldest first."""
-    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(folder)
-    return start_scan(files, out, checkpoint, phrases, config, once=True, size=size)
+def start_ordered_scan(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, phrases: LexiconReader, config: ScanConfig | None = None, size: int = BATCH, files: int | None = 1):
+    """Scans of `size` comments each, one after the other, over the files of a folder: one file a trigger, or so many, the oldest
+    first. Without a number, all files that have come since the last start are one batch; a large arrival may then be many."""
+    reader = spark.readStream.schema(schema).option("latestFirst", "false")
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
+    return start_scan(stream, out, checkpoint, phrases, config, once=True, size=size)
 
 
 ACTIONS = "seq long, item_id string, action string"

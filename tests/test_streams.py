@@ -5,14 +5,17 @@ import time
 from datetime import UTC, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from commentscan.config import ScanConfig
 from commentscan.functions import capped
 from commentscan.operators import state as M
+from commentscan.plans import moderation_queries
 from commentscan.plans.scan_queries import phrase_row
 from commentscan.sources import keyed
 from commentscan.streaming import scan_stream as R
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "comment_id string, text string, source_url string"
 
 
@@ -71,6 +74,33 @@ def test_files_are_scanned_in_the_order_of_arrival(spark, tmp_path):
     assert rows == sorted(rows, key=lambda r: r["ts"])
 
 
+def test_no_task_gets_a_whole_load(spark, tmp_path, monkeypatch):
+    """Loads are written and numbered in parts; scans still follow each other in the order of seq."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    numbered, seen, files = R._numbered, [], []
+
+    def watched(rows, size, path):
+        files.append(len(rows.inputFiles()))
+        done = numbered(rows, size, path)
+        seen.append([r["n"] for r in done.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()])
+        return done
+
+    monkeypatch.setattr(R, "_numbered", watched)
+    monkeypatch.setattr(moderation_queries, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    rows = moderation_queries.ordered_scan(spark, str(tmp_path)).collect()
+    n = docs.count()
+    assert sum(r["total"] for r in rows) == n and {r["batch_id"] for r in rows} == {0, 1, 2}
+    assert all(r["total"] == 50 for r in rows if (r["batch_id"], r["part"] + 1) in {(q["batch_id"], q["part"]) for q in rows})
+    assert len(seen) == 3 and all(max(parts) < 0.6 * sum(parts) for parts in seen) and min(files) > 1
+
+
+def test_parts_follow_seq_across_ranges(spark, tmp_path):
+    rows = spark.createDataFrame([(k * 7919 % 1009, f"{k}") for k in range(1009)], "seq long, text string").repartition(3)
+    assert all(r["part"] == r["seq"] // 10 for r in R._numbered(rows, 10, f"{tmp_path}/ranges").collect())
+    assert R._numbered(rows.limit(0), 10, f"{tmp_path}/none").count() == 0
+
+
 def test_history_keeps_the_last_scans(spark, tmp_path):
     out = str(tmp_path)
     for k in range(3):
