@@ -13,7 +13,7 @@ from commentscan.operators.scan import keyword_opinion
 from commentscan.plans.scan_queries import DECIDED, KNOWN, LABELLED, OPINED, decided, documents, known_tables, labelled, phrase_row
 from commentscan.sources import comments as C
 from commentscan.sources.logs import CappedLog
-from commentscan.sources.scratch import scratch
+from commentscan.sources.scratch import scratch, scratch_table
 from commentscan.sources.tables import table
 from commentscan.streaming import keyed_moderation as K
 from commentscan.streaming import scan_stream as R
@@ -393,8 +393,12 @@ def ordered_scan(spark, sf_dir):
 
 def request_outbox(spark, sf_dir):
     """Hide and delete requests over three batches, the last of which runs twice: each is emitted once."""
-    out, flags = scratch(spark, "outbox"), flagged_log(spark, sf_dir)
-    ids = M.upsert_comment_ids(id_map(spark, sf_dir), None)
+    out = scratch(spark, "outbox")
+    # All requests are of these texts, so documents are scanned and their ids looked up once; only ids of flagged texts are sought.
+    flags = scratch_table(flagged_log(spark, sf_dir), "outbox-flags")
+    mine = F.sha2(T.without_separators(F.col("text")), 256).alias("key")
+    log = id_map(spark, sf_dir).withColumn("key", mine).join(flags.select(mine).distinct(), "key", "left_semi").drop("key")
+    ids = scratch_table(M.upsert_comment_ids(log, None), "outbox-ids")
     ask = lambda action: M.moderation_requests(flags, ids, action).withColumn("epoch", F.lit(1))
     hide, delete = ask("hide"), ask("delete")
     for batch, requests in enumerate((hide, delete, hide.unionByName(delete))):

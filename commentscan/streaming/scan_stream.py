@@ -275,9 +275,13 @@ def emit_requests(requests: DataFrame, batch_id: int, out: str) -> DataFrame:
     spark = requests.sparkSession
     outbox = KeyedTable(spark, f"{out}/outbox", "key string")
     keyed = requests.select("comment_id", "action", F.col("epoch").cast("long").alias("epoch"), "text").withColumn("key", F.to_json(F.struct("comment_id", "action", "epoch")))
-    once = keyed.groupBy("key").agg(F.min(F.struct("comment_id", "action", "epoch", "text")).alias("r"))
+    # Written, as the lookup and what follows read them several times.
+    asked = f"{out}/asked/batch_id={batch_id}"
+    keyed.groupBy("key").agg(F.min(F.struct("comment_id", "action", "epoch", "text")).alias("r")).write.mode("overwrite").parquet(asked)
+    once = spark.read.parquet(asked)
     fresh = once.join(outbox.lookup(once, batch_id).select("key"), "key", "left_anti")
     _write_batch(fresh.select("key", "r.*"), f"{out}/requests", batch_id)
     written = spark.read.parquet(f"{out}/requests/batch_id={batch_id}")
     outbox.append(written.select("key"), batch_id)
+    remove(spark, asked)
     return written.drop("key")

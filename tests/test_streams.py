@@ -101,6 +101,20 @@ def test_parts_follow_seq_across_ranges(spark, tmp_path):
     assert R._numbered(rows.limit(0), 10, f"{tmp_path}/none").count() == 0
 
 
+def test_requests_are_made_once(spark, tmp_path):
+    """What asks for requests may be dear, and is not asked again to look them up and to write them."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def asked(n):
+        made.add(1)
+        return f"c{n}"
+
+    requests = spark.range(20).select(asked("id").alias("comment_id"), F.lit("hide").alias("action"), F.lit(1).alias("epoch"), F.lit("t").alias("text"))
+    assert R.emit_requests(requests, 0, str(tmp_path)).count() == 20 and made.value == 20
+    assert R.emit_requests(requests, 1, str(tmp_path)).count() == 0 and made.value == 40
+
+
 def test_history_keeps_the_last_scans(spark, tmp_path):
     out = str(tmp_path)
     for k in range(3):
